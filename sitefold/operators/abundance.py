@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType
 
 from sitefold.functions.columns import log_ieee
-from sitefold.operators.joins import null_safe_join
+from sitefold.operators.joins import key_join
 from sitefold.operators.order_stats import median_by
 from sitefold.session import cut_lineage
 
@@ -31,11 +31,11 @@ def log2_normalize_medians(
     logged = df.withColumn(out, F.col(value) if is_log else log_ieee(value))
     per_run = median_by(logged, [run], out, "_run_median")
     overall = median_by(per_run, [], "_run_median", "_median").withColumn("_one", F.lit(1))
-    shift = null_safe_join(
+    shift = key_join(
         per_run.withColumn("_one", F.lit(1)), F.broadcast(overall), ["_one"], "inner"
     ).select(run, (F.col("_median") - F.col("_run_median")).alias("_shift"))
     return (
-        null_safe_join(logged, shift, [run], "left")
+        key_join(logged, shift, [run], "left")
         .withColumn(out, F.col(out) + F.col("_shift"))
         .select(*df.columns, out)
     )
@@ -90,16 +90,20 @@ def fit_censored(
     return mu
 
 
+def _filled(pdf: pd.DataFrame, feature: str, run: str, value: str):
+    """The feature x run table of one protein with censored cells fitted."""
+    table = pdf.pivot(index=feature, columns=run, values=[value, "_cut"])
+    names = table[value]
+    y, cut = names.to_numpy(float), table["_cut"].to_numpy(float)
+    seen = ~np.isnan(y)
+    if not seen.all():
+        y = np.where(seen, y, fit_censored(np.where(seen, y, 0.0), cut, seen))
+    return names, y, seen
+
+
 def _impute_group(protein: str, feature: str, run: str, value: str):
     def impute(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([feature, run], kind="stable").reset_index(drop=True)
-        table = pdf.pivot(index=feature, columns=run, values=[value, "_cut"])
-        y, cut = table[value].to_numpy(float), table["_cut"].to_numpy(float)
-        seen = ~np.isnan(y)
-        if not seen.all():
-            mu = fit_censored(np.where(seen, y, 0.0), cut, seen)
-            y = np.where(seen, y, mu)
-        names = table[value]
+        names, y, seen = _filled(pdf, feature, run, value)
         out = pd.DataFrame(
             {
                 feature: np.repeat(names.index.to_numpy(), names.shape[1]),
@@ -130,14 +134,14 @@ def censored_grid(df: DataFrame, protein: str, feature: str, run: str, value: st
         .where(F.col("_n") > 1)
         .drop("_n")
     )
-    kept = null_safe_join(obs, feats, [protein, feature], "inner")
+    kept = key_join(obs, feats, [protein, feature], "inner")
     runs = kept.groupBy(protein).agg(F.collect_set(run).alias("_runs"))
     grid = (
-        null_safe_join(feats, runs, [protein], "inner")
+        key_join(feats, runs, [protein], "inner")
         .withColumn(run, F.explode("_runs"))
         .drop("_runs")
     )
-    return null_safe_join(grid, obs, [protein, feature, run], "left")
+    return key_join(grid, obs, [protein, feature, run], "left")
 
 
 def split_by_size(df: DataFrame, protein: str, max_cells: int) -> tuple[DataFrame, DataFrame | None]:
@@ -147,8 +151,8 @@ def split_by_size(df: DataFrame, protein: str, max_cells: int) -> tuple[DataFram
     if large.isEmpty():
         return df, None
     return (
-        null_safe_join(df, large, [protein], "left_anti"),
-        null_safe_join(df, large, [protein], "left_semi"),
+        key_join(df, large, [protein], "left_anti"),
+        key_join(df, large, [protein], "left_semi"),
     )
 
 
@@ -178,9 +182,9 @@ def _additive_fit(rows: DataFrame, protein: str, feature: str, run: str) -> Data
     f = rows.groupBy(protein, feature).agg(F.avg("_ey").alias("_fm"))
     r = rows.groupBy(protein, run).agg(F.avg("_ey").alias("_rm"))
     g = rows.groupBy(protein).agg(F.avg("_ey").alias("_gm"))
-    out = null_safe_join(rows, f, [protein, feature], "left")
-    out = null_safe_join(out, r, [protein, run], "left")
-    out = null_safe_join(out, g, [protein], "left")
+    out = key_join(rows, f, [protein, feature], "left")
+    out = key_join(out, r, [protein, run], "left")
+    out = key_join(out, g, [protein], "left")
     return out.withColumn("_new", F.col("_fm") + F.col("_rm") - F.col("_gm")).drop(
         "_fm", "_rm", "_gm"
     )
@@ -194,7 +198,7 @@ def _impute_distributed(df, protein, feature, run, value, max_rounds, tol) -> Da
     dev = state.groupBy(protein).agg(
         F.greatest(F.sqrt(F.avg(F.pow(F.col("_ey") - F.col("_mu"), 2))), F.lit(1e-6)).alias("_sd")
     )
-    state = cut_lineage(null_safe_join(state, dev, [protein], "left"))
+    state = cut_lineage(key_join(state, dev, [protein], "left"))
     for _ in range(max_rounds):
         a = (F.col("_cut") - F.col("_mu")) / F.col("_sd")
         rows = state.withColumn("_a", a).withColumn("_h", _hazard(F.col("_a")))
@@ -214,11 +218,11 @@ def _impute_distributed(df, protein, feature, run, value, max_rounds, tol) -> Da
             F.max(F.abs(F.col("_new") - F.col("_mu"))).alias("_moved"),
         )
         moved = (
-            null_safe_join(rows, dev, [protein], "left")
+            key_join(rows, dev, [protein], "left")
             .agg(F.max(F.greatest("_moved", F.abs(F.col("_sd2") - F.col("_sd")))))
             .first()[0]
         )
-        state = null_safe_join(rows, dev.drop("_moved"), [protein], "left").select(
+        state = key_join(rows, dev.drop("_moved"), [protein], "left").select(
             protein, feature, run, value, "_cut",
             F.col("_new").alias("_mu"), F.col("_sd2").alias("_sd"),
         )
@@ -292,6 +296,17 @@ def tukey_median_polish(
     )
 
 
+def _fit_and_polish_group(protein: str, feature: str, run: str, value: str, out: str):
+    def run_abundance(pdf: pd.DataFrame) -> pd.DataFrame:
+        names, y, _ = _filled(pdf, feature, run, value)
+        overall, _, cols = polish(y)
+        res = pd.DataFrame({run: names.columns.to_numpy(), out: overall + cols})
+        res.insert(0, protein, pdf[protein].iloc[0])
+        return res
+
+    return run_abundance
+
+
 def _polish_distributed(df, protein, feature, run, value, out, max_iter, eps) -> DataFrame:
     """The same sweeps as aggregations.
 
@@ -308,39 +323,39 @@ def _polish_distributed(df, protein, feature, run, value, out, max_iter, eps) ->
     for _ in range(max_iter):
         on = state.select(protein, "_on")
         step = z.groupBy(protein, feature).agg(F.median("_z").alias("_s"))
-        step = null_safe_join(step, on, [protein]).select(
+        step = key_join(step, on, [protein]).select(
             protein, feature, (F.col("_s") * F.col("_on")).alias("_s")
         )
-        z = null_safe_join(z, step, [protein, feature]).select(
+        z = key_join(z, step, [protein, feature]).select(
             protein, feature, run, (F.col("_z") - F.col("_s")).alias("_z")
         )
-        rows = null_safe_join(rows, step, [protein, feature]).select(
+        rows = key_join(rows, step, [protein, feature]).select(
             protein, feature, (F.col("_r") + F.col("_s")).alias("_r")
         )
-        shift = null_safe_join(
+        shift = key_join(
             cols.groupBy(protein).agg(F.median("_c").alias("_s")), on, [protein]
         ).select(protein, (F.col("_s") * F.col("_on")).alias("_s1"))
         z, rows = cut_lineage(z), cut_lineage(rows)
-        step = null_safe_join(median_by(z, [protein, run], "_z", "_s"), on, [protein]).select(
+        step = key_join(median_by(z, [protein, run], "_z", "_s"), on, [protein]).select(
             protein, run, (F.col("_s") * F.col("_on")).alias("_s")
         )
         step = cut_lineage(step)
         z = cut_lineage(
-            null_safe_join(z, step, [protein, run]).select(
+            key_join(z, step, [protein, run]).select(
                 protein, feature, run, (F.col("_z") - F.col("_s")).alias("_z")
             )
         )
-        cols = null_safe_join(null_safe_join(cols, shift, [protein]), step, [protein, run]).select(
+        cols = key_join(key_join(cols, shift, [protein]), step, [protein, run]).select(
             protein, run, (F.col("_c") - F.col("_s1") + F.col("_s")).alias("_c")
         )
-        shift2 = null_safe_join(median_by(rows, [protein], "_r", "_s"), on, [protein]).select(
+        shift2 = key_join(median_by(rows, [protein], "_r", "_s"), on, [protein]).select(
             protein, (F.col("_s") * F.col("_on")).alias("_s2")
         )
-        rows = null_safe_join(rows, shift2, [protein]).select(
+        rows = key_join(rows, shift2, [protein]).select(
             protein, feature, (F.col("_r") - F.col("_s2")).alias("_r")
         )
         size = z.groupBy(protein).agg(F.sum(F.abs("_z")).alias("_size"))
-        state = null_safe_join(null_safe_join(null_safe_join(state, shift, [protein]), shift2, [protein]), size, [protein])
+        state = key_join(key_join(key_join(state, shift, [protein]), shift2, [protein]), size, [protein])
         done = (F.col("_size") == 0) | (F.abs(F.col("_size") - F.col("_last")) < eps * F.col("_size"))
         state = state.select(
             protein,
@@ -351,7 +366,7 @@ def _polish_distributed(df, protein, feature, run, value, out, max_iter, eps) ->
         state, rows, cols = cut_lineage(state), cut_lineage(rows), cut_lineage(cols)
         if state.where(F.col("_on") > 0).isEmpty():
             break
-    return null_safe_join(cols, state, [protein]).select(
+    return key_join(cols, state, [protein]).select(
         protein, run, (F.col("_t") + F.col("_c")).alias(out)
     )
 
@@ -374,11 +389,23 @@ def summarize_abundance(
     """(protein, run, abundance) from raw intensities."""
     x = log2_normalize_medians(df.select(protein, feature, run, value), run, value, "_x")
     x = feature_subset(x).select(protein, feature, run, "_x")
-    if impute:
-        # the fitted table feeds several aggregations, so it is written once
-        x = cut_lineage(x)
-        x = impute_censored(x, protein, feature, run, "_x", max_cells)
-    return tukey_median_polish(x, protein, feature, run, "_x", out, max_cells)
+    if not impute:
+        return tukey_median_polish(x, protein, feature, run, "_x", out, max_cells)
+    # the size check and the fit both read it, so the grid is written once
+    grid = cut_lineage(censored_grid(x, protein, feature, run, "_x"))
+    small, large = split_by_size(grid, protein, max_cells)
+    types = {f.name: f.dataType.simpleString() for f in grid.schema.fields}
+    res = small.groupBy(protein).applyInPandas(
+        _fit_and_polish_group(protein, feature, run, "_x", out),
+        f"`{protein}` {types[protein]}, `{run}` {types[run]}, `{out}` double",
+    )
+    if large is None:
+        return res
+    fitted = _impute_distributed(large, protein, feature, run, "_x", 200, 1e-6)
+    big = _polish_distributed(
+        fitted.drop("imputed"), protein, feature, run, "_x", out, 10, 0.01
+    )
+    return res.unionByName(big)
 
 
 def summarize_study(

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sitefold.functions.columns import strip_tags
-from sitefold.operators.joins import null_safe_join
+from sitefold.operators.joins import key_join
 from sitefold.operators.peptides import Event, event_name, pair_wt_mutant, substitution_rate
 
 
@@ -30,7 +30,7 @@ def residue_codons(
     not once per observation.
     """
     seqs = cds.select(F.col(cds_id).alias(gene), F.col("seq"), F.col("length"))
-    joined = null_safe_join(sites.distinct(), seqs, [gene], "left")
+    joined = key_join(sites.distinct(), seqs, [gene], "left")
     return joined.withColumn(
         "codon", codon_at(F.col("seq"), F.col("length"), codon_start(F.col(position)))
     ).drop("seq", "length")
@@ -57,7 +57,7 @@ def codon_peptides(
     )
     codons = residue_codons(kept.select("gene", "_position"), cds, "gene", "_position")
     return (
-        null_safe_join(kept, codons.where(F.col("codon").isNotNull()), ["gene", "_position"], "inner")
+        key_join(kept, codons.where(F.col("codon").isNotNull()), ["gene", "_position"], "inner")
         .withColumn("stripped_sequence", strip_tags("modified_sequence", {event.tag: event.residue}))
         .withColumn("event", event_name([event]))
         .drop("_position")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sitefold.functions.columns import extract
 from sitefold.functions.tails import t_p_value
-from sitefold.operators.joins import null_safe_join
+from sitefold.operators.joins import key_join
 from sitefold.operators.order_stats import adjust_fdr
 
 ONE_MISSING = "oneConditionMissing"
@@ -103,7 +103,7 @@ def _remove_subjects(ok, stats, feature, group, value, groups, subject) -> DataF
     )
     g = F.lit(len(groups))
     full = (F.col("_kmin") == g) & (F.col("_kmax") == g) & (F.col("_s") > 1)
-    out = null_safe_join(stats, blocks, [feature], "left")
+    out = key_join(stats, blocks, [feature], "left")
     left = F.greatest(F.lit(0.0), F.col("_ss") - g * (F.col("_s") - 1) * F.col("_sv"))
     return out.withColumns(
         {
@@ -153,7 +153,7 @@ def adjust_estimates(
         F.col(feature).alias("global_protein"), "label", F.col("log2fc").alias("_d2"),
         F.col("se").alias("_s2"), F.col("df").alias("_f2"),
     )
-    j = null_safe_join(left, right, ["global_protein", "label"], "left")
+    j = key_join(left, right, ["global_protein", "label"], "left")
     v1, v2 = F.col("_s1") * F.col("_s1"), F.col("_s2") * F.col("_s2")
     spread = v1 * v1 / F.col("_f1") + v2 * v2 / F.col("_f2")
     # one side infinite: the difference is infinite; both: undefined

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sitefold.functions.columns import if_else, join_fields, log_ieee, recode, split_fields
 from sitefold.functions.tails import fisher_p_value
-from sitefold.operators.joins import null_safe_join
+from sitefold.operators.joins import key_join, null_safe_join
 from sitefold.operators.order_stats import adjust_fdr
 from sitefold.operators.testing import enrichment_ratio
 
@@ -72,7 +72,7 @@ def background_counts(annot: DataFrame, min_bg: int = 5) -> DataFrame:
     total = full.agg(F.count_distinct(F.col("reference")).alias("_all")).withColumn("_one", F.lit(1))
     per = full.groupBy("term").agg(F.count_distinct(F.col("reference")).alias("bg_pos"))
     return (
-        null_safe_join(
+        key_join(
             per.where(F.col("bg_pos") >= min_bg).withColumn("_one", F.lit(1)),
             F.broadcast(total), ["_one"], "inner",
         )
@@ -82,13 +82,13 @@ def background_counts(annot: DataFrame, min_bg: int = 5) -> DataFrame:
 
 def foreground_counts(hits: DataFrame, annot: DataFrame) -> DataFrame:
     """(term, cluster, fg_pos, fg_neg) over hits that have a term."""
-    pairs = null_safe_join(
+    pairs = key_join(
         hits.select("reference", "cluster").distinct(),
         annot.select("reference", "term").distinct(), ["reference"], "inner",
     ).dropna(subset=["cluster", "term"])
     per = pairs.groupBy("cluster", "term").agg(F.count_distinct(F.col("reference")).alias("fg_pos"))
     total = pairs.groupBy("cluster").agg(F.count_distinct(F.col("reference")).alias("_all"))
-    return null_safe_join(per, total, ["cluster"], "inner").select(
+    return key_join(per, total, ["cluster"], "inner").select(
         "term", "cluster", "fg_pos", (F.col("_all") - F.col("fg_pos")).alias("fg_neg")
     )
 
@@ -96,10 +96,10 @@ def foreground_counts(hits: DataFrame, annot: DataFrame) -> DataFrame:
 def term_tables(hits: DataFrame, annot: DataFrame, min_bg: int = 5) -> DataFrame:
     """The 2 x 2 counts of every (term, cluster) with at least one hit."""
     bg = background_counts(annot, min_bg)
-    kept = null_safe_join(
+    kept = key_join(
         annot.dropna(subset=["reference", "term"]), bg.select("term"), ["term"], "left_semi"
     )
-    return null_safe_join(foreground_counts(hits, kept), bg, ["term"], "inner")
+    return key_join(foreground_counts(hits, kept), bg, ["term"], "inner")
 
 
 def term_enrichment(hits: DataFrame, annot: DataFrame, min_bg: int = 5) -> DataFrame:

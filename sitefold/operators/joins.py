@@ -22,11 +22,32 @@ def null_safe_join(
     ``how`` is inner, left, right, full, left_semi or left_anti.  The null-safe
     comparison is an equi-join key for Spark, so it still hashes or sorts.
     """
+    return _join(left, right, on, how, suffixes, broadcast_max_rows, null_safe=True)
+
+
+def key_join(
+    left: DataFrame,
+    right: DataFrame,
+    on: Sequence[str],
+    how: str = "left",
+    suffixes: tuple[str, str] = ("_x", "_y"),
+    broadcast_max_rows: int | None = None,
+) -> DataFrame:
+    """Plain equi-join for keys that are never missing.
+
+    Unlike the null-safe form its hash keys are the columns themselves, so it
+    reuses the partitioning of an aggregate or window over the same keys.
+    """
+    return _join(left, right, on, how, suffixes, broadcast_max_rows, null_safe=False)
+
+
+def _join(left, right, on, how, suffixes, broadcast_max_rows, null_safe) -> DataFrame:
     on = list(on)
     right = broadcast_if_small(right, broadcast_max_rows)
     cond = None
     for k in on:
-        c = F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
+        lk, rk = F.col(f"l.{k}"), F.col(f"r.{k}")
+        c = lk.eqNullSafe(rk) if null_safe else lk == rk
         cond = c if cond is None else cond & c
     joined = left.alias("l").join(right.alias("r"), cond, how)
     if how in ("left_semi", "left_anti"):

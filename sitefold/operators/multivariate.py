@@ -31,16 +31,6 @@ def _run_list(df: DataFrame, run: str) -> list:
     return sorted(r[0] for r in names)
 
 
-def complete_features(cells: DataFrame, run: str, feature: str, n_runs: int) -> DataFrame:
-    """Cells of features that have a value in every run."""
-    full = (
-        cells.where(F.col("x").isNotNull() & ~F.isnan("x"))
-        .groupBy(feature).agg(F.count(F.lit(1)).alias("_k"))
-        .where(F.col("_k") == n_runs).select(feature)
-    )
-    return null_safe_join(cells, full, [feature], "left_semi")
-
-
 def run_gram(
     df: DataFrame, run: str, feature: str, value: str, scale: bool = False,
     runs: Sequence | None = None,
@@ -194,12 +184,13 @@ def ward_clusters(
     back by join.  Clusters are numbered by size, then by centre.
     """
     cols = list(features)
-    points = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_w"))
+    points = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_w")).persist()
     few = points.limit(max_centres + 1).count() <= max_centres
     spark = df.sparkSession
     fields = [f"`{c}` double" for c in cols]
     if few:
         local = points.toPandas()
+        points.unpersist()
         labels = _canonical(local[cols].to_numpy(float), local["_w"].to_numpy(float), k)
         table = spark.createDataFrame(
             [tuple(map(float, p)) + (int(c),) for p, c in zip(local[cols].to_numpy(float), labels)],
@@ -214,6 +205,7 @@ def ward_clusters(
         k=max_centres, seed=seed, featuresCol="_x", predictionCol="_centre", weightCol="_w",
         initSteps=2, maxIter=20,
     ).fit(vec.transform(points))
+    points.unpersist()
     placed = model.transform(vec.transform(df.select(key, *cols)))
     means = [F.avg(c).alias(c) for c in cols]
     # at most max_centres rows

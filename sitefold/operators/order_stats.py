@@ -13,7 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from sitefold.operators.joins import null_safe_join
+from sitefold.operators.joins import key_join
 
 # Buckets per doubling of a value's size: one bucket spans a relative 1e-5.
 RESOLUTION = 65536
@@ -34,12 +34,21 @@ def _octave_bucket(value: Column, resolution: int) -> Column:
     return F.when(value < 0, -step).otherwise(step)
 
 
+def _group(by: Sequence[str]) -> Column:
+    """The group columns as one struct.
+
+    A struct is never missing even where its fields are, so plain equality joins
+    null groups and the aggregates, windows and joins below share partitionings.
+    """
+    return F.struct(*by) if by else F.struct(F.lit(0).alias("all"))
+
+
 def value_counts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """(by, _v, _n) without missing values; hot values become one row."""
+    """(_g, _v, _n) without missing values; hot values become one row."""
     v = F.col(value).cast("double")
     return (
         df.where(v.isNotNull() & ~F.isnan(v))
-        .groupBy(*by, v.alias("_v"))
+        .groupBy(_group(by).alias("_g"), v.alias("_v"))
         .agg(F.count(F.lit(1)).alias("_n"))
     )
 
@@ -57,9 +66,8 @@ def quantiles(
     buckets hold a wanted rank; only those buckets are sorted.
     """
     by = list(by)
-    one = [] if by else [F.lit(0).alias("_all")]
-    keys = by or ["_all"]
-    counts = value_counts(df.select(*by, *one, value), keys, value).withColumn(
+    keys = ["_g"]
+    counts = value_counts(df, by, value).withColumn(
         "_b", _octave_bucket(F.col("_v"), resolution)
     )
 
@@ -86,7 +94,7 @@ def quantiles(
 
     run = Window.partitionBy(*keys, "_b").orderBy("_v")
     placed = (
-        null_safe_join(counts, hits.select(*keys, "_b", "_base", "_spots"), keys + ["_b"], "inner")
+        key_join(counts, hits.select(*keys, "_b", "_base", "_spots"), keys + ["_b"], "inner")
         .withColumn(
             "_end", F.col("_base") + F.sum("_n").over(run.rowsBetween(Window.unboundedPreceding, 0))
         )
@@ -113,7 +121,7 @@ def quantiles(
         both.append(
             F.when(low == high, low).otherwise(low + (high - low) * share).alias(name)
         )
-    return placed.groupBy(*keys).agg(*both).select(*by, *probs)
+    return placed.groupBy(*keys).agg(*both).select(*[F.col(f"_g.{b}") for b in by], *probs)
 
 
 def median_by(df: DataFrame, by: Sequence[str], value: str, out: str) -> DataFrame:
@@ -133,9 +141,8 @@ def adjust_fdr(
     evenly spread p-values fill buckets evenly and tiny ones still spread out.
     """
     by = list(by)
-    one = [] if by else [F.lit(0).alias("_all")]
-    keys = by or ["_all"]
-    counts = value_counts(df.select(*by, *one, p), keys, p)
+    keys = ["_g"]
+    counts = value_counts(df, by, p)
     v = F.col("_v")
     scale = F.when(v > 0, 1 / (1 - F.log(F.when(v > 0, v)))).otherwise(F.lit(0.0))
     counts = counts.withColumn("_b", F.floor(scale * buckets).cast("int"))
@@ -149,7 +156,7 @@ def adjust_fdr(
 
     inside = Window.partitionBy(*keys, "_b").orderBy("_v")
     ranked = (
-        null_safe_join(counts, cells.drop("_cell"), keys + ["_b"], "inner")
+        key_join(counts, cells.drop("_cell"), keys + ["_b"], "inner")
         .withColumn(
             "_rank",
             F.col("_base") + F.sum("_n").over(inside.rowsBetween(Window.unboundedPreceding, 0)),
@@ -170,12 +177,11 @@ def adjust_fdr(
         )
         .drop("_cellmin")
     )
-    adj = null_safe_join(ranked, later, keys + ["_b"], "inner").select(
+    adj = key_join(ranked, later, keys + ["_b"], "inner").select(
         *keys,
         F.col("_v"),
         F.least(F.lit(1.0), F.col("_here"), F.col("_later")).alias(out),
     )
-    left = df if by else df.withColumn("_all", F.lit(0))
-    left = left.withColumn("_v", F.col(p).cast("double"))
-    joined = null_safe_join(left, adj, keys + ["_v"], "left")
+    left = df.withColumn("_g", _group(by)).withColumn("_v", F.col(p).cast("double"))
+    joined = key_join(left, adj, keys + ["_v"], "left")
     return joined.select(*df.columns, out)

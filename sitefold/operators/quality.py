@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sitefold.operators.joins import null_safe_join
+from sitefold.operators.joins import key_join, null_safe_join
 from sitefold.operators.order_stats import median_by, quantiles
 
 
@@ -45,7 +45,7 @@ def cv_table(
     raw = base.withColumn("_raw", F.pow(F.lit(2.0), F.col(log_value)))
     each = raw.groupBy(feature, group).agg(_cv(F.col("_raw")).alias("cv"))
     over = raw.groupBy(feature).agg(_cv(F.col("_raw")).alias("cv_combined"))
-    return null_safe_join(each, over, [feature], "inner").dropna(
+    return key_join(each, over, [feature], "inner").dropna(
         subset=["cv", "cv_combined", feature, group]
     )
 
@@ -58,7 +58,7 @@ def cv_summary(
     per = median_by(t, [group], "cv", "median_cv")
     both = median_by(t, [], "cv_combined", "median_cv_combined").withColumn("_one", F.lit(1))
     return (
-        null_safe_join(per.withColumn("_one", F.lit(1)), F.broadcast(both), ["_one"], "left")
+        key_join(per.withColumn("_one", F.lit(1)), F.broadcast(both), ["_one"], "left")
         .select(group, "median_cv", "median_cv_combined")
     )
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -9,13 +10,9 @@ from pyspark.sql.types import (
     DoubleType, IntegerType, LongType, StringType, StructField, StructType,
 )
 
-from sitefold.functions.columns import (
-    chars, divide, positions_of, strip_tags,
-)
-from sitefold.functions.tails import (
-    binom_upper_p_value, fisher_p_value, z_p_value,
-)
-from sitefold.operators.joins import null_safe_join
+from sitefold.functions.columns import chars, divide, positions_of, strip_tags
+from sitefold.functions.tails import binom_upper, fisher_p_value, z_p_value
+from sitefold.operators.joins import key_join
 
 PAD = "_"
 PAD_LENGTH = 50
@@ -58,10 +55,23 @@ def residue_sites(
 
 
 def window_at(seq: Column, site: Column, flank: int) -> Column:
-    """Window of ``2 * flank + 1`` around a 1-based site, padded past both ends."""
-    pad = F.lit(PAD * PAD_LENGTH)
-    start = site - flank + PAD_LENGTH
-    return F.substring(F.concat(pad, seq, pad), start.cast("int"), F.lit(2 * flank + 1))
+    """Window of ``2 * flank + 1`` around a 1-based site of a sequence that has
+    ``PAD_LENGTH`` pads on either side; null where it leaves the padding.
+
+    Only the slice is built, never the padded sequence.
+    """
+    width = 2 * flank + 1
+    first, last = (site - flank).cast("int"), (site + flank).cast("int")
+    length = F.length(seq)
+    before = F.least(F.lit(width), F.greatest(F.lit(0), 1 - first))
+    after = F.least(F.lit(width), F.greatest(F.lit(0), last - length))
+    body = F.greatest(F.lit(0), width - before - after)
+    cut = F.concat(
+        F.repeat(F.lit(PAD), before),
+        F.substring(seq, F.greatest(F.lit(1), first), body),
+        F.repeat(F.lit(PAD), after),
+    )
+    return F.when((first >= 1 - PAD_LENGTH) & (last <= length + PAD_LENGTH), cut)
 
 
 def site_windows(
@@ -70,20 +80,17 @@ def site_windows(
     """Windows of (gene, site) rows cut from their protein sequences.
 
     Rows are made distinct before the sequences join, so each sequence meets a
-    site once.  Unknown genes drop; a window that would run beyond the padding is
-    shorter than full length and drops too.
+    site once.  Unknown genes drop, and so does a window that would run beyond the
+    padding.
     """
     keys = list(dict.fromkeys([gene, "site", *carry]))
     seqs = sequences.where(F.col("seq").isNotNull())
-    joined = null_safe_join(
+    joined = key_join(
         sites.select(*keys).distinct(), seqs.withColumnRenamed("id", gene), [gene], "inner"
     )
-    # a start before the padded text counts from its end in Spark, so it is ruled out
-    ok = F.col("site") - flank + PAD_LENGTH >= 1
     return (
-        joined.where(ok)
-        .withColumn("window", window_at(F.col("seq"), F.col("site"), flank))
-        .where(F.length("window") == 2 * flank + 1)
+        joined.withColumn("window", window_at(F.col("seq"), F.col("site"), flank))
+        .where(F.col("window").isNotNull())
         .drop("seq", "length")
     )
 
@@ -161,11 +168,11 @@ def position_enrich(
     grid = _grid(fg.sparkSession, width, alphabet)
     f = position_counts(weighted_windows(fg, window, unique), alphabet).withColumnRenamed("n", "fg")
     b = position_counts(weighted_windows(bg, window, unique), alphabet).withColumnRenamed("n", "bg")
-    cells = null_safe_join(null_safe_join(grid, f, ["pos", "residue"]), b, ["pos", "residue"]).fillna(
+    cells = key_join(key_join(grid, f, ["pos", "residue"]), b, ["pos", "residue"]).fillna(
         0, subset=["fg", "bg"]
     )
     totals = cells.groupBy("pos").agg(F.sum("fg").alias("fg_all"), F.sum("bg").alias("bg_all"))
-    t = null_safe_join(cells, totals, ["pos"], "inner")
+    t = key_join(cells, totals, ["pos"], "inner")
     diff = divide("fg", "fg_all") - divide("bg", "bg_all")
     p = fisher_p_value(
         F.col("fg"), F.col("fg_all") - F.col("fg"), F.col("bg"), F.col("bg_all") - F.col("bg")
@@ -198,7 +205,7 @@ def position_enrich_z(
         .agg(F.sum("n").alias("n"))
     )
     totals = parts.groupBy("_part", "pos").agg(F.sum("n").alias("all"))
-    shares = null_safe_join(parts, totals, ["_part", "pos"], "inner").withColumn(
+    shares = key_join(parts, totals, ["_part", "pos"], "inner").withColumn(
         "share", F.col("n") / F.col("all")
     )
     # a residue absent from a part has share 0 there; sums over parts cover that
@@ -215,11 +222,11 @@ def position_enrich_z(
     )
     f = position_counts(weighted_windows(fg, window, True), alphabet)
     grid = _grid(fg.sparkSession, width, alphabet)
-    cells = null_safe_join(null_safe_join(grid, f, ["pos", "residue"]), stats, ["pos", "residue"])
+    cells = key_join(key_join(grid, f, ["pos", "residue"]), stats, ["pos", "residue"])
     cells = cells.fillna(0, subset=["n"]).fillna(0.0, subset=["bg_mean", "bg_sd"])
     fg_all = cells.groupBy("pos").agg(F.sum("n").alias("fg_all"))
     diff = F.col("n") / F.when(F.col("fg_all") > 0, F.col("fg_all")) - F.col("bg_mean")
-    out = null_safe_join(cells, fg_all, ["pos"], "inner").withColumn("difference", diff)
+    out = key_join(cells, fg_all, ["pos"], "inner").withColumn("difference", diff)
     out = out.withColumn("z", F.when(F.col("bg_sd") > 0, F.col("difference") / F.col("bg_sd")))
     out = out.withColumn("p", z_p_value(F.col("z")))
     return out.withColumn(
@@ -251,8 +258,12 @@ def _matches(fixed: Mapping[int, str]) -> Column:
     return cond
 
 
-def _total(df: DataFrame) -> int:
-    return df.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+def _side(df: DataFrame, window: str, side: str) -> DataFrame:
+    other = "bn" if side == "fn" else "fn"
+    return df.select(
+        F.col(window).alias("window"), F.lit(1).cast("bigint").alias(side),
+        F.lit(0).cast("bigint").alias(other),
+    )
 
 
 def motif_enrich(
@@ -261,75 +272,73 @@ def motif_enrich(
 ) -> DataFrame:
     """Iterative motif search (Schwartz and Gygi 2005).
 
-    Both sides are reduced to distinct windows with counts once.  Each step fixes
-    the position and residue with the smallest binomial upper tail against the
-    background share; the driver only ever sees that one cell.  When nothing is
-    left to fix, the motif is recorded, its windows leave both sides and the
-    search starts again.  Filters are pushed as one predicate on the window, so
-    no lineage builds up.
+    Both sides are reduced once to distinct windows with two counts.  Each step is
+    one aggregate over the windows that still match; the driver sees only its
+    width x alphabet counts, fixes the position and residue with the smallest
+    binomial upper tail against the background share, and goes on.  When nothing
+    is left to fix, the motif is recorded, its windows leave both sides and the
+    search starts again.  The state is one predicate on the window, so no lineage
+    builds up.
     """
     mid = width // 2 + 1
-    centred = (F.length("window") == width) & (F.substring("window", mid, 1) == centre)
-    fgw = weighted_windows(fg, window, False).where(centred).persist()
-    bgw = weighted_windows(bg, window, False).where(centred).persist()
+    windows = (
+        _side(fg, window, "fn").unionByName(_side(bg, window, "bn"))
+        .where((F.length("window") == width) & (F.substring("window", mid, 1) == centre))
+        .groupBy("window").agg(F.sum("fn").alias("fn"), F.sum("bn").alias("bn"))
+        .persist()
+    )
     found: list[tuple] = []
     gone = F.lit(False)
     try:
         while True:
-            f0, b0 = fgw.where(~gone), bgw.where(~gone)
-            fg_size, bg_size = _total(f0), _total(b0)
-            if fg_size < min_seqs or bg_size == 0:
-                break
             fixed: dict[int, str] = {mid: centre}
             score = 0.0
+            size = last = None
             while True:
-                cell = _best_cell(f0.where(_matches(fixed)), b0.where(_matches(fixed)),
-                                  fixed, alphabet, min_seqs, p_cutoff)
-                if cell is None:
+                cells = _cells(windows.where(~gone & _matches(fixed)), alphabet + centre)
+                last = cells.get((mid, centre), (0, 0))
+                size = size or last
+                best = _best_cell(cells, last, fixed, alphabet, min_seqs, p_cutoff)
+                if best is None:
                     break
-                fixed[cell["pos"]] = cell["residue"]
-                score -= _log10(cell["p"])
+                p, pos, letter = best
+                fixed[pos] = letter
+                score -= math.log10(p)
             if len(fixed) == 1:
                 break
-            hit = _matches(fixed)
-            fm, bm = _total(f0.where(hit)), _total(b0.where(hit))
             text = "".join(fixed.get(i, ".") for i in range(1, width + 1))
-            fold = (fm / fg_size) / (bm / bg_size) if bm else float("inf")
-            found.append((text, score, fm, fg_size, bm, bg_size, fold, len(found) + 1))
-            gone = gone | hit
+            fold = (last[0] / size[0]) / (last[1] / size[1]) if last[1] else float("inf")
+            found.append((text, score, last[0], size[0], last[1], size[1], fold, len(found) + 1))
+            gone = gone | _matches(fixed)
     finally:
-        fgw.unpersist()
-        bgw.unpersist()
+        windows.unpersist()
     return fg.sparkSession.createDataFrame(found, MOTIF_SCHEMA)
 
 
-def _log10(x: float) -> float:
-    import math
-
-    return math.log10(x)
+def _cells(windows: DataFrame, alphabet: str) -> dict[tuple[int, str], tuple[int, int]]:
+    """Counts of both sides per (position, residue): at most width x alphabet rows."""
+    rows = (
+        windows.select(F.posexplode(F.split("window", "")).alias("pos", "residue"), "fn", "bn")
+        .where(F.col("residue").isin(*alphabet))
+        .groupBy("pos", "residue").agg(F.sum("fn").alias("fn"), F.sum("bn").alias("bn"))
+        .collect()
+    )
+    return {(r.pos + 1, r.residue): (r.fn, r.bn) for r in rows}
 
 
-def _best_cell(f, b, fixed, alphabet, min_seqs, p_cutoff):
-    fc = position_counts(f, alphabet)
-    bc = position_counts(b, alphabet).withColumnRenamed("n", "bn")
-    sizes = f.agg(F.sum("n").alias("fg_size"))
-    bsizes = b.agg(F.sum("n").alias("bg_size"))
-    row = sizes.first(), bsizes.first()
-    fg_size, bg_size = row[0][0] or 0, row[1][0] or 0
-    if fg_size < min_seqs or bg_size == 0:
+def _best_cell(cells, size, fixed, alphabet, min_seqs, p_cutoff):
+    """(p, position, residue) to fix next: smallest p, then most windows."""
+    n, m = size
+    if n < min_seqs or m == 0:
         return None
-    cells = (
-        null_safe_join(fc.where(~F.col("pos").isin(*fixed)), bc, ["pos", "residue"], "left")
-        .fillna(0, subset=["bn"])
-        .where(F.col("n") >= min_seqs)
-        .withColumn(
-            "p",
-            binom_upper_p_value(
-                F.col("n"), F.lit(fg_size).cast("bigint"), F.col("bn") / F.lit(float(bg_size))
-            ),
-        )
-        .withColumn("p", F.greatest(F.col("p"), F.lit(_SMALLEST_P)))
-        .where(F.col("p") < p_cutoff)
-    )
-    best = cells.orderBy("p", F.desc("n"), "pos", "residue").limit(1).collect()
-    return best[0] if best else None
+    tested = []
+    for (pos, letter), (f, b) in cells.items():
+        if pos in fixed or letter not in alphabet or f < min_seqs:
+            continue
+        p = max(binom_upper(f, n, b / m), _SMALLEST_P)
+        if p < p_cutoff:
+            tested.append((p, -f, pos, letter))
+    if not tested:
+        return None
+    p, _, pos, letter = min(tested)
+    return p, pos, letter

@@ -170,10 +170,13 @@ def bh_adjust(spark, folder):
 # ---------------------------------------------------------------- abundance
 
 
-@query("WITH " + v.OBS_SQL + """,
+NORM_SQL = v.OBS_SQL + """,
 lg AS (SELECT *, log2(value) AS y FROM obs),
 rm AS (SELECT run, median(y) AS m FROM lg GROUP BY run),
-om AS (SELECT median(m) AS m FROM rm)
+om AS (SELECT median(m) AS m FROM rm)"""
+
+
+@query("WITH " + NORM_SQL + """
 SELECT lg.run, protein, feature, round(value, 4) AS value, round(y - rm.m + om.m, 6) AS abundance
 FROM lg JOIN rm USING (run), om""")
 def normalize_medians(spark, folder):
@@ -182,10 +185,10 @@ def normalize_medians(spark, folder):
     return rounded(out, value=4, abundance=6)
 
 
-def _polish_sql(iterations: int = 10) -> str:
+def _polish_sql(source: str = "obs", value: str = "log2(value)", iterations: int = 10) -> str:
     """Median polish unrolled: one block of CTEs per sweep, frozen once converged."""
-    parts = ["""
-z0 AS MATERIALIZED (SELECT protein, feature, run, max(log2(value)) AS z FROM obs GROUP BY ALL),
+    parts = [f"""
+z0 AS MATERIALIZED (SELECT protein, feature, run, max({value}) AS z FROM {source} GROUP BY ALL),
 r0 AS MATERIALIZED (SELECT DISTINCT protein, feature, 0.0::DOUBLE AS r FROM z0),
 c0 AS MATERIALIZED (SELECT DISTINCT protein, run, 0.0::DOUBLE AS c FROM z0),
 s0 AS MATERIALIZED (SELECT DISTINCT protein, 0.0::DOUBLE AS t, 0.0::DOUBLE AS last, 1.0::DOUBLE AS on_ FROM z0)"""]
@@ -242,6 +245,16 @@ def summarize_abundance(spark, folder):
     return rounded(out, log_intensity=5)
 
 
+@query("WITH " + NORM_SQL + """,
+norm AS (SELECT lg.run, protein, feature, y - rm.m + om.m AS y FROM lg JOIN rm USING (run), om),""" + _polish_sql("norm", "y") + """
+SELECT protein, run, round(t + c, 6) AS log_intensity FROM c10 JOIN s10 USING (protein)""")
+def summarize_observed(spark, folder):
+    """Normalisation and polish without imputation."""
+    o = v.observations(spark, folder)
+    out = abundance.summarize_abundance(o, "protein", "feature", "run", "value", impute=False)
+    return rounded(out, log_intensity=6)
+
+
 # ---------------------------------------------------------------- comparison
 
 DA_SQL = v.AB_SQL + "," + v.estimates_sql("ab", v.GROUPS, v.CONTRASTS) + """,
@@ -296,7 +309,7 @@ def group_estimates_paired(spark, folder):
 SITE_AB_SQL = """
 sab AS (
   SELECT event_type AS grp, CAST(user_id AS VARCHAR) || '_S' || CAST(event_id % 3 AS VARCHAR) AS protein,
-         CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) % 4 + 1 AS subj, round(avg(log2(value)), 9) AS x
+         CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) % 4 + 1 AS subj, avg(log2(value)) AS x
   FROM events GROUP BY ALL)"""
 
 
@@ -307,7 +320,7 @@ def _site_abundance(spark, folder):
         F.col("event_type").alias("grp"),
         F.concat(F.col("user_id").cast("string"), F.lit("_S"), (F.col("event_id") % 3).cast("string")).alias("protein"),
         (k % 4 + 1).alias("subj"),
-    ).agg(F.round(F.avg(F.log2("value")), 9).alias("x"))
+    ).agg(F.avg(F.log2("value")).alias("x"))
 
 
 def _adjusted(spark, folder):

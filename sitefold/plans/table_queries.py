@@ -106,12 +106,12 @@ def unpivot_measures(spark, folder):
 
 @query("WITH " + v.AB_SQL + """
 SELECT protein, """ + ", ".join(
-    f"max(CASE WHEN run = '{g}_{i}' THEN x END) AS \"{g}_{i}\"" for g in v.GROUPS for i in range(1, 5)
+    f"round(max(CASE WHEN run = '{g}_{i}' THEN x END), 6) AS \"{g}_{i}\"" for g in v.GROUPS for i in range(1, 5)
 ) + " FROM ab GROUP BY protein")
 def pivot_fixed(spark, folder):
     runs = [f"{g}_{i}" for g in v.GROUPS for i in range(1, 5)]
     return reshape.pivot_fixed(
-        v.abundance(spark, folder), ["protein"], "run", runs, F.max("x")
+        v.abundance(spark, folder), ["protein"], "run", runs, F.round(F.max("x"), 6)
     )
 
 

@@ -51,7 +51,7 @@ def observations(spark, folder) -> DataFrame:
 
 AB_SQL = OBS_SQL + """,
 ab AS (
-  SELECT grp, subj, run, protein, round(avg(log2(value)), 9) AS x
+  SELECT grp, subj, run, protein, avg(log2(value)) AS x
   FROM obs GROUP BY grp, subj, run, protein)"""
 
 
@@ -60,7 +60,7 @@ def abundance(spark, folder) -> DataFrame:
     return (
         observations(spark, folder)
         .groupBy("grp", "subj", "run", "protein")
-        .agg(F.round(F.avg(F.log2("value")), 9).alias("x"))
+        .agg(F.avg(F.log2("value")).alias("x"))
     )
 
 
@@ -69,7 +69,7 @@ def abundance(spark, folder) -> DataFrame:
 LAB_SQL = """
 lab AS (
   SELECT l_returnflag AS grp, l_linenumber AS subj, l_partkey AS protein,
-         round(avg(log2(l_extendedprice)), 9) AS x
+         avg(log2(l_extendedprice)) AS x
   FROM lineitem GROUP BY l_returnflag, l_linenumber, l_partkey)"""
 
 
@@ -80,7 +80,7 @@ def line_abundance(spark, folder) -> DataFrame:
             F.col("l_returnflag").alias("grp"), F.col("l_linenumber").alias("subj"),
             F.col("l_partkey").alias("protein"),
         )
-        .agg(F.round(F.avg(F.log2("l_extendedprice")), 9).alias("x"))
+        .agg(F.avg(F.log2("l_extendedprice")).alias("x"))
     )
 
 
