@@ -97,11 +97,10 @@ def strip_tags(col: Column | str, tags: Mapping[str, str]) -> Column:
     return col
 
 
-def tag_count(col: Column | str, tag: str) -> Column:
-    """Non-overlapping occurrences of a literal tag."""
-    col = _c(col)
-    shorter = F.length(F.replace(col, F.lit(tag), F.lit("")))
-    return ((F.length(col) - shorter) / F.lit(len(tag))).cast("int")
+def tag_count(col: Column | str, *tags: str) -> Column:
+    """Non-overlapping occurrences of literal tags."""
+    pattern = "|".join(f"\\Q{t}\\E" for t in tags)
+    return F.regexp_count(_c(col), F.lit(pattern))
 
 
 def digits_to_number(col: Column | str) -> Column:

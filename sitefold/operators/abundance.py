@@ -30,10 +30,8 @@ def log2_normalize_medians(
     """Shift every run so that its median is the median of the run medians."""
     logged = df.withColumn(out, F.col(value) if is_log else log_ieee(value))
     per_run = median_by(logged, [run], out, "_run_median")
-    overall = median_by(per_run, [], "_run_median", "_median").withColumn("_one", F.lit(1))
-    shift = key_join(
-        per_run.withColumn("_one", F.lit(1)), F.broadcast(overall), ["_one"], "inner"
-    ).select(run, (F.col("_median") - F.col("_run_median")).alias("_shift"))
+    overall = median_by(per_run, [], "_run_median", "m")
+    shift = per_run.select(run, (overall.scalar() - F.col("_run_median")).alias("_shift"))
     return (
         key_join(logged, shift, [run], "left")
         .withColumn(out, F.col(out) + F.col("_shift"))
@@ -65,55 +63,101 @@ def normal_hazard(a: np.ndarray) -> np.ndarray:
     return np.where(a < -30.0, far, near)
 
 
+def _additive(ey: np.ndarray) -> np.ndarray:
+    return ey.mean(1, keepdims=True) + ey.mean(0, keepdims=True) - ey.mean()
+
+
+def _em_step(y, cut, seen, mu, log_sd):
+    """One EM step for additive means and log deviation of a censored table."""
+    sd = math.exp(log_sd)
+    a = (cut[~seen] - mu[~seen]) / sd
+    h = normal_hazard(a)
+    ey = y.copy()
+    ey[~seen] = mu[~seen] - sd * h
+    new = _additive(ey)
+    extra = float(np.maximum(0.0, sd * sd * (1.0 - a * h - h * h)).sum())
+    var = (float(((ey - new) ** 2).sum()) + extra) / y.size
+    return new, 0.5 * math.log(max(var, 1e-12))
+
+
+def _log_likelihood(y, cut, seen, mu, log_sd) -> float:
+    sd = math.exp(log_sd)
+    z = (y[seen] - mu[seen]) / sd
+    a = (cut[~seen] - mu[~seen]) / sd
+    # log cdf = log pdf - log hazard
+    log_cdf = -0.5 * a * a - 0.5 * math.log(2 * math.pi) - np.log(normal_hazard(a))
+    return float(-0.5 * (z * z).sum() - seen.sum() * log_sd + log_cdf.sum())
+
+
 def fit_censored(
-    y: np.ndarray, cut: np.ndarray, seen: np.ndarray, max_iter: int = 2000, tol: float = 1e-9
+    y: np.ndarray, cut: np.ndarray, seen: np.ndarray, max_iter: int = 1000, tol: float = 1e-9
 ) -> np.ndarray:
     """Fitted means of a feature x run table with left-censored cells.
 
     Normal errors, additive feature and run effects, by EM: the expected table is
-    complete, so each maximisation is row mean + column mean - grand mean.
+    complete, so each maximisation is row mean + column mean - grand mean.  Steps
+    are extrapolated (SQUAREM) and an extrapolation that lowers the likelihood is
+    not taken, so the fit is the maximum the plain steps would reach.
     """
-    ey = np.where(seen, y, cut)
-    mu = ey.mean(1, keepdims=True) + ey.mean(0, keepdims=True) - ey.mean()
-    sigma = max(float(np.sqrt(((ey - mu) ** 2).mean())), 1e-6)
+    mu = _additive(np.where(seen, y, cut))
+    log_sd = 0.5 * math.log(max(float(((np.where(seen, y, cut) - mu) ** 2).mean()), 1e-12))
     for _ in range(max_iter):
-        a = (cut - mu) / sigma
-        h = normal_hazard(a)
-        ey = np.where(seen, y, mu - sigma * h)
-        extra = np.where(seen, 0.0, np.maximum(0.0, sigma**2 * (1.0 - a * h - h * h)))
-        new = ey.mean(1, keepdims=True) + ey.mean(0, keepdims=True) - ey.mean()
-        sigma_new = max(float(np.sqrt((((ey - new) ** 2) + extra).mean())), 1e-6)
-        moved = max(float(np.abs(new - mu).max()), abs(sigma_new - sigma))
-        mu, sigma = new, sigma_new
+        mu1, s1 = _em_step(y, cut, seen, mu, log_sd)
+        mu2, s2 = _em_step(y, cut, seen, mu1, s1)
+        moved = max(float(np.abs(mu2 - mu1).max()), abs(s2 - s1))
         if moved < tol:
-            break
+            return mu2
+        r_mu, r_s = mu1 - mu, s1 - log_sd
+        v_mu, v_s = mu2 - mu1 - r_mu, s2 - s1 - r_s
+        bend = math.sqrt(float((v_mu**2).sum()) + v_s**2)
+        mu, log_sd = mu2, s2
+        if bend > 0:
+            step = math.sqrt(float((r_mu**2).sum()) + r_s**2) / bend
+            if step > 1:
+                far_mu = mu1 - r_mu + 2 * step * r_mu + step**2 * v_mu
+                far_s = s1 - r_s + 2 * step * r_s + step**2 * v_s
+                far_s = min(max(far_s, -13.0), 13.0)
+                if _log_likelihood(y, cut, seen, far_mu, far_s) >= _log_likelihood(y, cut, seen, mu2, s2):
+                    mu, log_sd = far_mu, far_s
     return mu
 
 
+def _matrix(pdf: pd.DataFrame, feature: str, run: str):
+    """Row and column names, and each row's place in the feature x run table."""
+    rows, i = np.unique(pdf[feature].to_numpy(), return_inverse=True)
+    cols, j = np.unique(pdf[run].to_numpy(), return_inverse=True)
+    return rows, cols, i, j
+
+
+def _fill(shape, i, j, values) -> np.ndarray:
+    out = np.full(shape, np.nan)
+    out[i, j] = values
+    return out
+
+
 def _filled(pdf: pd.DataFrame, feature: str, run: str, value: str):
     """The feature x run table of one protein with censored cells fitted."""
-    table = pdf.pivot(index=feature, columns=run, values=[value, "_cut"])
-    names = table[value]
-    y, cut = names.to_numpy(float), table["_cut"].to_numpy(float)
+    rows, cols, i, j = _matrix(pdf, feature, run)
+    y = _fill((len(rows), len(cols)), i, j, pdf[value].to_numpy(float))
     seen = ~np.isnan(y)
     if not seen.all():
+        cut = _fill(y.shape, i, j, pdf["_cut"].to_numpy(float))
         y = np.where(seen, y, fit_censored(np.where(seen, y, 0.0), cut, seen))
-    return names, y, seen
+    return rows, cols, y, seen
 
 
 def _impute_group(protein: str, feature: str, run: str, value: str):
     def impute(pdf: pd.DataFrame) -> pd.DataFrame:
-        names, y, seen = _filled(pdf, feature, run, value)
-        out = pd.DataFrame(
+        rows, cols, y, seen = _filled(pdf, feature, run, value)
+        return pd.DataFrame(
             {
-                feature: np.repeat(names.index.to_numpy(), names.shape[1]),
-                run: np.tile(names.columns.to_numpy(), names.shape[0]),
+                protein: [pdf[protein].iloc[0]] * y.size,
+                feature: np.repeat(rows, len(cols)),
+                run: np.tile(cols, len(rows)),
                 value: y.ravel(),
                 "imputed": ~seen.ravel(),
             }
         )
-        out.insert(0, protein, pdf[protein].iloc[0])
-        return out
 
     return impute
 
@@ -238,6 +282,16 @@ def _impute_distributed(df, protein, feature, run, value, max_rounds, tol) -> Da
 # --- median polish ------------------------------------------------------------
 
 
+def _median(z: np.ndarray, axis: int) -> np.ndarray:
+    """Medians along an axis without the NaN cells; sorting puts those last."""
+    z = np.sort(z, axis=axis)
+    n = (~np.isnan(z)).sum(axis=axis)
+    lo, hi = np.maximum(n - 1, 0) // 2, n // 2
+    take = np.arange(z.shape[1 - axis])
+    pick = (lambda k: z[take, k]) if axis == 1 else (lambda k: z[k, take])
+    return (pick(lo) + pick(np.minimum(hi, z.shape[axis] - 1))) / 2
+
+
 def polish(z: np.ndarray, max_iter: int = 10, eps: float = 0.01) -> tuple[float, np.ndarray, np.ndarray]:
     """Tukey's median polish: overall, row and column effects; NaN cells skipped."""
     z = z.copy()
@@ -245,13 +299,13 @@ def polish(z: np.ndarray, max_iter: int = 10, eps: float = 0.01) -> tuple[float,
     rows, cols = np.zeros(z.shape[0]), np.zeros(z.shape[1])
     last = 0.0
     for _ in range(max_iter):
-        step = np.nanmedian(z, axis=1)
+        step = _median(z, 1)
         z -= step[:, None]
         rows += step
         shift = float(np.median(cols))
         cols -= shift
         overall += shift
-        step = np.nanmedian(z, axis=0)
+        step = _median(z, 0)
         z -= step[None, :]
         cols += step
         shift = float(np.median(rows))
@@ -266,11 +320,12 @@ def polish(z: np.ndarray, max_iter: int = 10, eps: float = 0.01) -> tuple[float,
 
 def _polish_group(protein: str, feature: str, run: str, value: str, out: str):
     def run_abundance(pdf: pd.DataFrame) -> pd.DataFrame:
-        table = pdf.pivot(index=feature, columns=run, values=value).sort_index(axis=1)
-        overall, _, cols = polish(table.to_numpy(float))
-        res = pd.DataFrame({run: table.columns.to_numpy(), out: overall + cols})
-        res.insert(0, protein, pdf[protein].iloc[0])
-        return res
+        rows, runs, i, j = _matrix(pdf, feature, run)
+        table = _fill((len(rows), len(runs)), i, j, pdf[value].to_numpy(float))
+        overall, _, cols = polish(table)
+        return pd.DataFrame(
+            {protein: [pdf[protein].iloc[0]] * len(runs), run: runs, out: overall + cols}
+        )
 
     return run_abundance
 
@@ -298,11 +353,11 @@ def tukey_median_polish(
 
 def _fit_and_polish_group(protein: str, feature: str, run: str, value: str, out: str):
     def run_abundance(pdf: pd.DataFrame) -> pd.DataFrame:
-        names, y, _ = _filled(pdf, feature, run, value)
+        _, runs, y, _ = _filled(pdf, feature, run, value)
         overall, _, cols = polish(y)
-        res = pd.DataFrame({run: names.columns.to_numpy(), out: overall + cols})
-        res.insert(0, protein, pdf[protein].iloc[0])
-        return res
+        return pd.DataFrame(
+            {protein: [pdf[protein].iloc[0]] * len(runs), run: runs, out: overall + cols}
+        )
 
     return run_abundance
 

@@ -51,7 +51,7 @@ def codon_peptides(
         & (F.coalesce(F.col("mapped_genes"), F.lit("")) == "")
     )
     for o in others:
-        kept = kept.where(F.col(o.count) == 0)
+        kept = kept.where(F.col(o.flag) == 0)
     kept = kept.withColumn(
         "_position", F.col("start") + F.instr(seq, event.residue) - 1
     )

@@ -69,14 +69,10 @@ def kinase_annotation(
 def background_counts(annot: DataFrame, min_bg: int = 5) -> DataFrame:
     """(term, bg_pos, bg_neg) over all annotated references, small terms dropped."""
     full = annot.dropna(subset=["reference", "term"])
-    total = full.agg(F.count_distinct(F.col("reference")).alias("_all")).withColumn("_one", F.lit(1))
+    total = full.agg(F.count_distinct(F.col("reference")).alias("n"))
     per = full.groupBy("term").agg(F.count_distinct(F.col("reference")).alias("bg_pos"))
-    return (
-        key_join(
-            per.where(F.col("bg_pos") >= min_bg).withColumn("_one", F.lit(1)),
-            F.broadcast(total), ["_one"], "inner",
-        )
-        .select("term", "bg_pos", (F.col("_all") - F.col("bg_pos")).alias("bg_neg"))
+    return per.where(F.col("bg_pos") >= min_bg).select(
+        "term", "bg_pos", (total.scalar() - F.col("bg_pos")).alias("bg_neg")
     )
 
 

@@ -34,10 +34,17 @@ class Event:
 
 
 def add_event_columns(df: DataFrame, seq: str, events: Sequence[Event]) -> DataFrame:
-    """Flag and count columns per event, read off the tagged sequence."""
-    counts = {e.count: tag_count(seq, e.tag) for e in events}
-    flags = {e.flag: F.contains(F.col(seq), F.lit(e.tag)).cast("int") for e in events}
-    return df.withColumns({**flags, **counts})
+    """Flag and count columns per event, and ``n_muts`` over all events.
+
+    Short expressions on purpose: filters on them are pushed below projections,
+    which repeats them, and a generated method beyond 8 KB is no longer compiled.
+    """
+    new = {}
+    for e in events:
+        new[e.flag] = F.contains(F.col(seq), F.lit(e.tag)).cast("int")
+        new[e.count] = tag_count(seq, e.tag)
+    new["n_muts"] = tag_count(seq, *[e.tag for e in events])
+    return df.withColumns(new)
 
 
 def tidy_peptides(
@@ -54,7 +61,7 @@ def tidy_peptides(
     unpivot, once per peptide and not once per sample.
     """
     marked = add_event_columns(df, seq, events)
-    extra = [e.flag for e in events] + [e.count for e in events]
+    extra = [e.flag for e in events] + [e.count for e in events] + ["n_muts"]
     long = unpivot(marked, [*ids, *extra], sample_cols, "_sample", value)
     sample, replicate = split_fields("_sample", ["sample", "replicate"])
     return long.select(*ids, *extra, sample, replicate, value)
@@ -65,16 +72,15 @@ def keep_events(
 ) -> DataFrame:
     """Rows with signal and at most one (or exactly one) kind of event."""
     kinds = sum((F.col(e.flag) for e in events), F.lit(0))
-    total = sum((F.col(e.count) for e in events), F.lit(0))
     wanted = kinds <= 1 if allow_none else kinds == 1
-    return df.where(wanted & (F.col(value) > 0)).withColumn("n_muts", total)
+    return df.where(wanted & (F.col(value) > 0))
 
 
 def event_name(events: Sequence[Event]) -> Column:
     """Name of the (single) event of a row; null for wild type."""
     out = None
     for e in events:
-        out = (F.when if out is None else out.when)(F.col(e.count) > 0, F.lit(e.name))
+        out = (F.when if out is None else out.when)(F.col(e.flag) == 1, F.lit(e.name))
     return out
 
 
@@ -116,10 +122,10 @@ def pair_wt_mutant(
     )
 
 
-def variants_with_wild_type(df: DataFrame, keys: Sequence[str], event: str = "event") -> DataFrame:
+def variants_with_wild_type(df: DataFrame, keys: Sequence[str], count: str = "n_muts") -> DataFrame:
     """Variant rows whose wild-type form was seen under the same key."""
-    wild = df.where(F.col(event).isNull()).select(*keys).distinct()
-    return null_safe_join(df.where(F.col(event).isNotNull()), wild, keys, "left_semi")
+    wild = df.where(F.col(count) == 0).select(*keys).distinct()
+    return null_safe_join(df.where(F.col(count) > 0), wild, keys, "left_semi")
 
 
 def substitution_rate(

@@ -56,11 +56,8 @@ def cv_summary(
     """Median CV per group, and over all (group, feature) rows."""
     t = cv_table(df, group, feature, log_value, collapse_equal)
     per = median_by(t, [group], "cv", "median_cv")
-    both = median_by(t, [], "cv_combined", "median_cv_combined").withColumn("_one", F.lit(1))
-    return (
-        key_join(per.withColumn("_one", F.lit(1)), F.broadcast(both), ["_one"], "left")
-        .select(group, "median_cv", "median_cv_combined")
-    )
+    both = median_by(t, [], "cv_combined", "m")
+    return per.select(group, "median_cv", both.scalar().alias("median_cv_combined"))
 
 
 def cv_distribution(

@@ -88,7 +88,7 @@ def line_abundance(spark, folder) -> DataFrame:
 
 PEP_SQL = """
 base AS (
-  SELECT translate(CAST(l_partkey AS VARCHAR), '0123456789', 'ACDEFGHIKL') AS letters,
+  SELECT CAST(l_partkey AS VARCHAR) AS letters,
          CASE l_partkey % 3 WHEN 0 THEN 'PR' WHEN 1 THEN 'PG' ELSE 'PPR' END AS tail,
          CASE WHEN l_linestatus = 'F' THEN 0
               WHEN l_tax = 0.08 THEN 4
@@ -133,15 +133,16 @@ def peptide_rows(spark, folder) -> DataFrame:
     """Peptide observations with tagged sequences, before event columns."""
     li = table(spark, folder, "lineitem")
     part = F.col("l_partkey")
-    tail = F.when(part % 3 == 0, "PR").when(part % 3 == 1, "PG").otherwise("PPR")
-    letters = F.translate(part.cast("string"), "0123456789", "ACDEFGHIKL")
+    tails = ["PR", "PG", "PPR"]
+    nth = (part % 3 + 1).cast("int")
+    letters = part.cast("string")
     kind = (
         F.when(F.col("l_linestatus") == "F", 0)
         .when(F.col("l_tax") == 0.08, 4)
         .otherwise(F.round(F.col("l_discount") * 100).cast("int") % 3 + 1)
     )
     rows = li.select(
-        letters.alias("letters"), tail.alias("tail"), kind.alias("kind"),
+        letters.alias("letters"), nth.alias("nth"), kind.alias("kind"),
         F.col("l_suppkey").cast("string").alias("gene"),
         F.col("l_quantity").cast("int").alias("start"),
         F.when(F.col("l_tax") < 0.05, "").when(F.col("l_tax") < 0.06, None).otherwise("other").alias("mapped_genes"),
@@ -150,19 +151,18 @@ def peptide_rows(spark, folder) -> DataFrame:
         F.col("l_extendedprice").alias("intensity"),
     )
 
-    def tag(c, e):
-        return F.replace(c, F.lit(e.residue), F.lit(e.tag))
-
-    t = F.col("tail")
-    marked = (
-        F.when(F.col("kind") == 1, tag(t, PRO_SER))
-        .when(F.col("kind") == 2, tag(t, PRO_ALA))
-        .when(F.col("kind") == 3, tag(t, ARG_SER))
-        .when(F.col("kind") == 4, tag(tag(t, PRO_SER), ARG_SER))
-        .otherwise(t)
-    )
+    # the tail in each of its five tagged forms, as one literal array
+    tagged = [[], [PRO_SER], [PRO_ALA], [ARG_SER], [PRO_SER, ARG_SER]]
+    forms = []
+    for events in tagged:
+        for t in tails:
+            for e in events:
+                t = t.replace(e.residue, e.tag)
+            forms.append(F.lit(t))
+    plain = F.element_at(F.array(*forms), F.col("nth"))
+    marked = F.element_at(F.array(*forms), (F.col("kind") * 3 + F.col("nth")).cast("int"))
     return rows.select(
-        F.concat("letters", "tail").alias("peptide_sequence"),
+        F.concat("letters", plain).alias("peptide_sequence"),
         F.concat("letters", marked).alias("modified_sequence"),
         "gene", "start", "mapped_genes", "sample", "replicate", "intensity",
     )
