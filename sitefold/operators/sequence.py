@@ -278,7 +278,8 @@ def motif_enrich(
     binomial upper tail against the background share, and goes on.  When nothing
     is left to fix, the motif is recorded, its windows leave both sides and the
     search starts again.  The state is one predicate on the window, so no lineage
-    builds up.
+    builds up.  Counts of a set that contains the removed windows are kept up to
+    date by subtraction, so the restart needs no new pass.
     """
     mid = width // 2 + 1
     windows = (
@@ -289,13 +290,17 @@ def motif_enrich(
     )
     found: list[tuple] = []
     gone = F.lit(False)
+    known: dict[frozenset, dict] = {}
     try:
         while True:
             fixed: dict[int, str] = {mid: centre}
             score = 0.0
             size = last = None
             while True:
-                cells = _cells(windows.where(~gone & _matches(fixed)), alphabet + centre)
+                here = frozenset(fixed.items())
+                if here not in known:
+                    known[here] = _cells(windows.where(~gone & _matches(fixed)), alphabet + centre)
+                cells = known[here]
                 last = cells.get((mid, centre), (0, 0))
                 size = size or last
                 best = _best_cell(cells, last, fixed, alphabet, min_seqs, p_cutoff)
@@ -310,6 +315,7 @@ def motif_enrich(
             fold = (last[0] / size[0]) / (last[1] / size[1]) if last[1] else float("inf")
             found.append((text, score, last[0], size[0], last[1], size[1], fold, len(found) + 1))
             gone = gone | _matches(fixed)
+            known = {k: _minus(c, cells) for k, c in known.items() if k < here}
     finally:
         windows.unpersist()
     return fg.sparkSession.createDataFrame(found, MOTIF_SCHEMA)
@@ -326,6 +332,15 @@ def _cells(windows: DataFrame, alphabet: str) -> dict[tuple[int, str], tuple[int
     return {(r.pos + 1, r.residue): (r.fn, r.bn) for r in rows}
 
 
+def _minus(cells: dict, removed: dict) -> dict:
+    """Counts after the removed windows left."""
+    left = {}
+    for key, (f, b) in cells.items():
+        g, h = removed.get(key, (0, 0))
+        left[key] = (f - g, b - h)
+    return left
+
+
 def _best_cell(cells, size, fixed, alphabet, min_seqs, p_cutoff):
     """(p, position, residue) to fix next: smallest p, then most windows."""
     n, m = size

@@ -753,4 +753,4 @@ def position_enrich_z(spark, folder):
 @query()
 def motif_enrich(spark, folder):
     fg, bg = _fg_bg(spark, folder)
-    return sequence.motif_enrich(fg, bg, "T", LETTERS, min_seqs=20, p_cutoff=1e-4)
+    return sequence.motif_enrich(fg, bg, "T", LETTERS)
