@@ -243,12 +243,17 @@ def t_two_sided(t: np.ndarray, df: np.ndarray) -> np.ndarray:
     if near.any():
         tt, nu = t[near], df[near]
         a, b = nu / 2.0, np.full(nu.shape, 0.5)
-        with np.errstate(over="ignore"):
+        with np.errstate(over="ignore", divide="ignore"):
             t2 = tt * tt
-        x = np.where(np.isinf(t2), 0.0, nu / (nu + t2))
-        y = np.where(np.isinf(t2), 1.0, t2 / (nu + t2))
-        log_x = np.where(x > 0.5, np.log1p(-y), np.log(nu) - 2 * np.log(tt) - np.log1p(nu / t2))
-        log_y = np.where(y > 0.5, np.log1p(-x), 2 * np.log(tt) - np.log(nu) - np.log1p(t2 / nu))
+        with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
+            x = np.where(np.isinf(t2), 0.0, nu / (nu + t2))
+            y = np.where(np.isinf(t2), 1.0, t2 / (nu + t2))
+            log_x = np.where(
+                x > 0.5, np.log1p(-y), np.log(nu) - 2 * np.log(tt) - np.log1p(nu / t2)
+            )
+            log_y = np.where(
+                y > 0.5, np.log1p(-x), 2 * np.log(tt) - np.log(nu) - np.log1p(t2 / nu)
+            )
         log_beta = (_lgamma(a) + _lgamma(b) - _lgamma(a + b)).astype(float)
         front = np.exp(a * log_x + b * log_y - log_beta)
         direct = x < (a + 1.0) / (a + b + 2.0)

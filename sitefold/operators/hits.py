@@ -135,11 +135,11 @@ def protein_lengths(entries: DataFrame, names: str = "gene_names") -> DataFrame:
 
 def site_positions(
     da: DataFrame, lengths: DataFrame, feature: str, genes: Sequence[str] | None = None,
-    contaminant: str | None = "cRAP",
+    contaminant: str | None = "cRAP", fold: str = "log2fc", adj: str = "adj_p",
 ) -> DataFrame:
-    """Site number and protein length for every site row of a differential table."""
+    """Site number and protein length for every complete site row of a differential table."""
     gene, site = split_fields(feature, ["gene", "_site"])
-    rows = da.select("*", gene, site).where(F.col("gene").isNotNull())
+    rows = da.dropna(subset=[fold, adj]).select("*", gene, site).where(F.col("gene").isNotNull())
     if contaminant:
         rows = rows.where(~F.contains(F.col(feature), F.lit(contaminant)))
     if genes is not None:
