@@ -218,6 +218,9 @@ def ward_clusters(
 
 
 def _canonical(points: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
+    """Ward labels renumbered from 1 by falling size, then by centre."""
+    if not len(points):
+        return np.zeros(0, dtype=int)
     order = np.lexsort(points.T[::-1])
     raw = np.empty(len(points), dtype=int)
     raw[order] = ward_labels(points[order], weights[order], k)
