@@ -9,15 +9,15 @@ aggregations, so no group has to fit a task.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import DoubleType
 
 from sitefold.functions.columns import log_ieee
-from sitefold.operators.joins import key_join
+from sitefold.operators.joins import key_join, null_safe_join
 from sitefold.operators.order_stats import median_by
 from sitefold.session import cut_lineage
 
@@ -33,7 +33,7 @@ def log2_normalize_medians(
     overall = median_by(per_run, [], "_run_median", "m")
     shift = per_run.select(run, (overall.scalar() - F.col("_run_median")).alias("_shift"))
     return (
-        key_join(logged, shift, [run], "left")
+        null_safe_join(logged, shift, [run], "left")
         .withColumn(out, F.col(out) + F.col("_shift"))
         .select(*df.columns, out)
     )
@@ -181,7 +181,7 @@ def censored_grid(df: DataFrame, protein: str, feature: str, run: str, value: st
     kept = key_join(obs, feats, [protein, feature], "inner")
     runs = kept.groupBy(protein).agg(F.collect_set(run).alias("_runs"))
     grid = (
-        key_join(feats, runs, [protein], "inner")
+        null_safe_join(feats, runs, [protein], "inner")  # a protein may hold most features
         .withColumn(run, F.explode("_runs"))
         .drop("_runs")
     )
@@ -195,8 +195,8 @@ def split_by_size(df: DataFrame, protein: str, max_cells: int) -> tuple[DataFram
     if large.isEmpty():
         return df, None
     return (
-        key_join(df, large, [protein], "left_anti"),
-        key_join(df, large, [protein], "left_semi"),
+        null_safe_join(df, large, [protein], "left_anti"),
+        null_safe_join(df, large, [protein], "left_semi"),
     )
 
 
@@ -216,66 +216,106 @@ def impute_censored(
     return out.unionByName(big)
 
 
-@F.pandas_udf(DoubleType())
-def _hazard(a: pd.Series) -> pd.Series:
-    return pd.Series(normal_hazard(a.to_numpy(dtype=float)))
+def _expect(batches: Iterator[pd.DataFrame], protein: str, feature: str) -> Iterator[pd.DataFrame]:
+    """E-step of feature rows: expected values, their row mean and spread.
 
-
-def _additive_fit(rows: DataFrame, protein: str, feature: str, run: str) -> DataFrame:
-    """Add ``_new`` = row mean + column mean - grand mean of ``_ey``."""
-    f = rows.groupBy(protein, feature).agg(F.avg("_ey").alias("_fm"))
-    r = rows.groupBy(protein, run).agg(F.avg("_ey").alias("_rm"))
-    g = rows.groupBy(protein).agg(F.avg("_ey").alias("_gm"))
-    out = key_join(rows, f, [protein, feature], "left")
-    out = key_join(out, r, [protein, run], "left")
-    out = key_join(out, g, [protein], "left")
-    return out.withColumn("_new", F.col("_fm") + F.col("_rm") - F.col("_gm")).drop(
-        "_fm", "_rm", "_gm"
-    )
+    Without a deviation yet (the first round) censored cells stand at their cut.
+    """
+    for pdf in batches:
+        out = []
+        for y, cut, a, b, sd in zip(pdf["_y"], pdf["_cut"], pdf["_a"], pdf["_b"], pdf["_sd"]):
+            y = np.asarray(y, dtype=float)
+            gone = np.isnan(y)
+            ey, extra = np.where(gone, cut, y), 0.0
+            if gone.any() and not pd.isna(sd):
+                mu = a + np.asarray(b, dtype=float)[gone]
+                z = (cut - mu) / sd
+                h = normal_hazard(z)
+                ey[gone] = mu - sd * h
+                extra = float(np.maximum(0.0, sd * sd * (1.0 - z * h - h * h)).sum())
+            mean = float(ey.mean())
+            moved = np.inf if pd.isna(a) else abs(mean - a)
+            out.append((ey, mean, float(((ey - mean) ** 2).sum()), extra, moved))
+        res = pd.DataFrame(out, columns=["_ey", "_a", "_ss", "_extra", "_moved"])
+        yield pd.concat(
+            [pdf[[protein, feature, "_y", "_cut"]].reset_index(drop=True), res], axis=1
+        )
 
 
 def _impute_distributed(df, protein, feature, run, value, max_rounds, tol) -> DataFrame:
-    """The same EM as aggregations; each round's table is checkpointed."""
-    seen = F.col(value).isNotNull()
-    state = df.withColumn("_ey", F.when(seen, F.col(value)).otherwise(F.col("_cut")))
-    state = _additive_fit(state, protein, feature, run).withColumnRenamed("_new", "_mu")
-    dev = state.groupBy(protein).agg(
-        F.greatest(F.sqrt(F.avg(F.pow(F.col("_ey") - F.col("_mu"), 2))), F.lit(1e-6)).alias("_sd")
+    """The same EM for proteins too large for one group.
+
+    A feature is one row holding its few runs as an array, so the row means need
+    no exchange.  Per round one map-side combined aggregate gives the run means
+    and the residual spread (total within rows minus the part of the run means),
+    and those few numbers per protein join back.
+    """
+    cell = F.struct(F.col(run).alias("r"), F.coalesce(F.col(value), F.lit(float("nan"))).alias("v"))
+    rows = df.groupBy(protein, feature).agg(
+        F.first("_cut").alias("_cut"), F.array_sort(F.collect_list(cell)).alias("_c")
+    )
+    names = rows.groupBy(protein).agg(F.first("_c.r").alias("_runs"))
+    names = cut_lineage(names)
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    schema = (
+        f"`{protein}` {types[protein]}, `{feature}` {types[feature]}, _y array<double>, _cut double, "
+        "_ey array<double>, _a double, _ss double, _extra double, _moved double"
+    )
+    state = rows.select(
+        protein, feature, F.col("_c.v").alias("_y"), "_cut", F.lit(None).cast("double").alias("_a")
+    )
+    params = names.select(
+        protein, F.lit(None).cast("array<double>").alias("_b"), F.lit(None).cast("double").alias("_sd")
     )
-    state = cut_lineage(key_join(state, dev, [protein], "left"))
     for _ in range(max_rounds):
-        a = (F.col("_cut") - F.col("_mu")) / F.col("_sd")
-        rows = state.withColumn("_a", a).withColumn("_h", _hazard(F.col("_a")))
-        var = F.pow("_sd", 2) * (1 - F.col("_a") * F.col("_h") - F.col("_h") * F.col("_h"))
-        rows = rows.withColumns(
-            {
-                "_ey": F.when(seen, F.col(value)).otherwise(F.col("_mu") - F.col("_sd") * F.col("_h")),
-                "_extra": F.when(seen, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), var)),
-            }
+        joined = null_safe_join(state, params, [protein], "left")
+        state = cut_lineage(
+            joined.mapInPandas(lambda it: _expect(it, protein, feature), schema)
         )
-        rows = cut_lineage(_additive_fit(rows, protein, feature, run))
-        dev = rows.groupBy(protein).agg(
-            F.greatest(
-                F.sqrt(F.avg(F.pow(F.col("_ey") - F.col("_new"), 2) + F.col("_extra"))),
-                F.lit(1e-6),
-            ).alias("_sd2"),
-            F.max(F.abs(F.col("_new") - F.col("_mu"))).alias("_moved"),
+        means = (
+            state.select(protein, F.posexplode("_ey").alias("i", "e"))
+            .groupBy(protein, "i").agg(F.avg("e").alias("m"))
+            .groupBy(protein)
+            .agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("_m"), F.avg("m").alias("_g"))
         )
-        moved = (
-            key_join(rows, dev, [protein], "left")
-            .agg(F.max(F.greatest("_moved", F.abs(F.col("_sd2") - F.col("_sd")))))
-            .first()[0]
+        sums = state.groupBy(protein).agg(
+            F.count(F.lit(1)).alias("_f"), F.sum("_ss").alias("_ss"),
+            F.sum("_extra").alias("_extra"), F.max("_moved").alias("_moved"),
         )
-        state = key_join(rows, dev.drop("_moved"), [protein], "left").select(
-            protein, feature, run, value, "_cut",
-            F.col("_new").alias("_mu"), F.col("_sd2").alias("_sd"),
+        runs_ss = F.aggregate("_b", F.lit(0.0), lambda t, x: t + x * x)
+        fresh = (
+            null_safe_join(means, sums, [protein], "inner")
+            .withColumn("_b", F.transform("_m.m", lambda x: x - F.col("_g")))
+            .withColumn(
+                "_var",
+                (F.col("_ss") - F.col("_f") * runs_ss + F.col("_extra")) / (F.col("_f") * F.size("_b")),
+            )
+            .select(
+                protein, "_b", F.sqrt(F.greatest(F.col("_var"), F.lit(1e-12))).alias("_sd"), "_moved"
+            )
+        )
+        was = params.withColumnsRenamed({"_b": "_b0", "_sd": "_sd0"})
+        fresh = cut_lineage(null_safe_join(fresh, was, [protein], "inner"))
+        shift = F.array_max(F.zip_with("_b", "_b0", lambda x, y: F.abs(x - y)))
+        # the first round has nothing to compare with
+        step = F.when(F.col("_sd0").isNull(), F.lit(float("inf"))).otherwise(
+            F.greatest("_moved", shift, F.abs(F.col("_sd") - F.col("_sd0")))
         )
+        moved = fresh.agg(F.max(step)).first()[0]
+        params = fresh.select(protein, "_b", "_sd")
         if moved < tol:
             break
-    return state.select(
-        protein, feature, run,
-        F.coalesce(F.col(value), F.col("_mu")).alias(value),
-        F.col(value).isNull().alias("imputed"),
+    done = null_safe_join(null_safe_join(state, params, [protein]), names, [protein])
+    cells = done.select(
+        protein, feature, "_a",
+        F.explode(F.arrays_zip(F.col("_runs").alias("r"), F.col("_y").alias("y"), F.col("_b").alias("b"))).alias("_c"),
+    )
+    # a NaN that went through Arrow comes back as a null
+    gone = F.coalesce(F.isnan("_c.y"), F.lit(True)) | F.col("_c.y").isNull()
+    return cells.select(
+        protein, feature, F.col("_c.r").alias(run),
+        F.when(gone, F.col("_a") + F.col("_c.b")).otherwise(F.col("_c.y")).alias(value),
+        gone.alias("imputed"),
     )
 
 
@@ -378,39 +418,39 @@ def _polish_distributed(df, protein, feature, run, value, out, max_iter, eps) ->
     for _ in range(max_iter):
         on = state.select(protein, "_on")
         step = z.groupBy(protein, feature).agg(F.median("_z").alias("_s"))
-        step = key_join(step, on, [protein]).select(
+        step = null_safe_join(step, on, [protein]).select(
             protein, feature, (F.col("_s") * F.col("_on")).alias("_s")
         )
-        z = key_join(z, step, [protein, feature]).select(
+        z = null_safe_join(z, step, [protein, feature]).select(
             protein, feature, run, (F.col("_z") - F.col("_s")).alias("_z")
         )
-        rows = key_join(rows, step, [protein, feature]).select(
+        rows = null_safe_join(rows, step, [protein, feature]).select(
             protein, feature, (F.col("_r") + F.col("_s")).alias("_r")
         )
-        shift = key_join(
+        shift = null_safe_join(
             cols.groupBy(protein).agg(F.median("_c").alias("_s")), on, [protein]
         ).select(protein, (F.col("_s") * F.col("_on")).alias("_s1"))
         z, rows = cut_lineage(z), cut_lineage(rows)
-        step = key_join(median_by(z, [protein, run], "_z", "_s"), on, [protein]).select(
+        step = null_safe_join(median_by(z, [protein, run], "_z", "_s"), on, [protein]).select(
             protein, run, (F.col("_s") * F.col("_on")).alias("_s")
         )
         step = cut_lineage(step)
         z = cut_lineage(
-            key_join(z, step, [protein, run]).select(
+            null_safe_join(z, step, [protein, run]).select(
                 protein, feature, run, (F.col("_z") - F.col("_s")).alias("_z")
             )
         )
-        cols = key_join(key_join(cols, shift, [protein]), step, [protein, run]).select(
+        cols = null_safe_join(null_safe_join(cols, shift, [protein]), step, [protein, run]).select(
             protein, run, (F.col("_c") - F.col("_s1") + F.col("_s")).alias("_c")
         )
-        shift2 = key_join(median_by(rows, [protein], "_r", "_s"), on, [protein]).select(
+        shift2 = null_safe_join(median_by(rows, [protein], "_r", "_s"), on, [protein]).select(
             protein, (F.col("_s") * F.col("_on")).alias("_s2")
         )
-        rows = key_join(rows, shift2, [protein]).select(
+        rows = null_safe_join(rows, shift2, [protein]).select(
             protein, feature, (F.col("_r") - F.col("_s2")).alias("_r")
         )
         size = z.groupBy(protein).agg(F.sum(F.abs("_z")).alias("_size"))
-        state = key_join(key_join(key_join(state, shift, [protein]), shift2, [protein]), size, [protein])
+        state = null_safe_join(null_safe_join(null_safe_join(state, shift, [protein]), shift2, [protein]), size, [protein])
         done = (F.col("_size") == 0) | (F.abs(F.col("_size") - F.col("_last")) < eps * F.col("_size"))
         state = state.select(
             protein,
@@ -421,7 +461,7 @@ def _polish_distributed(df, protein, feature, run, value, out, max_iter, eps) ->
         state, rows, cols = cut_lineage(state), cut_lineage(rows), cut_lineage(cols)
         if state.where(F.col("_on") > 0).isEmpty():
             break
-    return key_join(cols, state, [protein]).select(
+    return null_safe_join(cols, state, [protein]).select(
         protein, run, (F.col("_t") + F.col("_c")).alias(out)
     )
 

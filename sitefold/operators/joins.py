@@ -20,7 +20,10 @@ def null_safe_join(
     """Join on same-named keys with null = null; clashing columns get suffixes.
 
     ``how`` is inner, left, right, full, left_semi or left_anti.  The null-safe
-    comparison is an equi-join key for Spark, so it still hashes or sorts.
+    comparison is an equi-join key for Spark, so it still hashes or sorts.  Both
+    sides are always exchanged for the join itself, never left on the partitioning
+    of an earlier aggregate; that is what lets AQE split a hot key, so raw rows
+    meet their per-key table through this join.
     """
     return _join(left, right, on, how, suffixes, broadcast_max_rows, null_safe=True)
 
@@ -36,7 +39,9 @@ def key_join(
     """Plain equi-join for keys that are never missing.
 
     Unlike the null-safe form its hash keys are the columns themselves, so it
-    reuses the partitioning of an aggregate or window over the same keys.
+    reuses the partitioning of an aggregate or window over the same keys.  A side
+    that is not exchanged again cannot be split, so this is for sides with few
+    rows per key.
     """
     return _join(left, right, on, how, suffixes, broadcast_max_rows, null_safe=False)
 
