@@ -310,11 +310,11 @@ SITE_AB_SQL = """
 sab AS (
   SELECT event_type AS grp, CAST(user_id AS VARCHAR) || '_S' || CAST(event_id % 3 AS VARCHAR) AS protein,
          CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) % 4 + 1 AS subj, avg(log2(value)) AS x
-  FROM events GROUP BY ALL)"""
+  FROM events WHERE value <> 0 GROUP BY ALL)"""
 
 
 def _site_abundance(spark, folder):
-    e = table(spark, folder, "events")
+    e = table(spark, folder, "events").where(F.col("value") != 0)
     k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
     return e.groupBy(
         F.col("event_type").alias("grp"),

@@ -32,13 +32,16 @@ obs AS (
          user_id AS protein,
          CAST(event_id % 6 AS INTEGER) AS feature,
          value
-  FROM events)"""
+  FROM events WHERE value <> 0)"""
 
 
 def observations(spark, folder) -> DataFrame:
-    """(grp, subj, run, protein, feature, value): one row per event."""
+    """(grp, subj, run, protein, feature, value): one row per event with signal.
+
+    Zero is "not seen" for an intensity and leaves before logarithms.
+    """
     k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
-    e = table(spark, folder, "events")
+    e = table(spark, folder, "events").where(F.col("value") != 0)
     return e.select(
         F.col("event_type").alias("grp"),
         (k % 4 + 1).alias("subj"),
