@@ -8,12 +8,15 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
+from pyspark.mllib.linalg import Vectors
+from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import DataFrame, functions as F
 
 from sitefold.functions.columns import strict_sum
 from sitefold.operators.joins import null_safe_join
 
-MAX_RUNS = 4000
+# Up to this many runs the run x run matrix is built; beyond, a distributed SVD.
+MAX_GRAM_RUNS = 1000
 
 
 def run_feature_sums(df: DataFrame, run: str, feature: str, value: str) -> DataFrame:
@@ -24,57 +27,66 @@ def run_feature_sums(df: DataFrame, run: str, feature: str, value: str) -> DataF
 
 
 def _run_list(df: DataFrame, run: str) -> list:
-    """The runs, checked against ``MAX_RUNS`` before they reach the driver."""
-    names = df.select(run).distinct().limit(MAX_RUNS + 1).collect()
-    if len(names) > MAX_RUNS:
-        raise ValueError(f"run PCA needs a run x run matrix; more than {MAX_RUNS} runs")
-    return sorted(r[0] for r in names)
+    """The run names: one short value per measurement of the study."""
+    return sorted(r[0] for r in df.select(run).distinct().collect())
 
 
-def run_gram(
-    df: DataFrame, run: str, feature: str, value: str, scale: bool = False,
-    runs: Sequence | None = None,
+def _centred_rows(
+    df: DataFrame, run: str, feature: str, value: str, n_runs: int, scale: bool
 ) -> DataFrame:
-    """(run_a, run_b, g): inner products of runs over centred complete features.
+    """One array over the runs per complete feature, centred and maybe scaled.
 
-    Features are many and runs are few, so a feature becomes one short row over
-    the runs and every task adds up X'X of its own rows; only run x run partial
-    sums are shuffled.  ``scale`` divides by the feature's deviation and leaves
-    out features without any.
+    An array holds at most one value per run.  Scaling leaves out features
+    without variance.
     """
     cells = run_feature_sums(df, run, feature, value)
-    runs = list(runs) if runs is not None else _run_list(cells, run)
+    n = float(n_runs)
     rows = (
         cells.where(F.col("x").isNotNull() & ~F.isnan("x"))
         .groupBy(feature)
         .agg(
             F.count(F.lit(1)).alias("_k"),
+            F.avg("x").alias("_m"),
+            F.stddev_samp("x").alias("_s"),
+            F.min("x").alias("_lo"), F.max("x").alias("_hi"),
             F.array_sort(F.collect_list(F.struct(F.col(run).alias("r"), F.col("x").alias("x")))).alias("_v"),
         )
-        .where(F.col("_k") == len(runs))
-        .select(F.col("_v.x").alias("v"))
+        .where(F.col("_k") == n)
     )
-    n = len(runs)
+    if scale:
+        rows = rows.where(F.col("_hi") > F.col("_lo"))
+        return rows.select(F.transform("_v.x", lambda x: (x - F.col("_m")) / F.col("_s")).alias("v"))
+    return rows.select(F.transform("_v.x", lambda x: x - F.col("_m")).alias("v"))
+
+
+def _gram_cells(rows: DataFrame, n: int) -> DataFrame:
+    """(ia, ib, g): sums of products of the row arrays' entries.
+
+    Features are many and runs are few, so every task adds up X'X of its own rows
+    and only run x run partial sums are shuffled.
+    """
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((n, n))
         for pdf in batches:
-            if not len(pdf):
-                continue
-            m = np.stack(pdf["v"].to_numpy())
-            m = m - m.mean(axis=1, keepdims=True)
-            if scale:
-                sd = m.std(axis=1, ddof=1, keepdims=True)
-                keep = sd[:, 0] > 0
-                m = m[keep] / sd[keep]
-            total += m.T @ m
+            if len(pdf):
+                m = np.stack(pdf["v"].to_numpy())
+                total += m.T @ m
         ia, ib = np.indices((n, n))
         yield pd.DataFrame({"ia": ia.ravel(), "ib": ib.ravel(), "g": total.ravel()})
 
-    sums = (
+    return (
         rows.mapInPandas(partial, "ia int, ib int, g double")
         .groupBy("ia", "ib").agg(F.sum("g").alias("g"))
     )
+
+
+def run_gram(
+    df: DataFrame, run: str, feature: str, value: str, scale: bool = False
+) -> DataFrame:
+    """(run_a, run_b, g): inner products of runs over centred complete features."""
+    runs = _run_list(df, run)
+    sums = _gram_cells(_centred_rows(df, run, feature, value, len(runs), scale), len(runs))
     names = F.array(*[F.lit(r) for r in runs])
     return sums.select(
         F.element_at(names, F.col("ia") + 1).alias("run_a"),
@@ -96,35 +108,54 @@ def zero_variance_features(df: DataFrame, run: str, feature: str, value: str) ->
 
 def run_pca(
     df: DataFrame, run: str, feature: str, value: str, scale: bool = False,
-    components: int | None = None,
+    components: int | None = None, max_gram_runs: int = MAX_GRAM_RUNS,
 ) -> DataFrame:
     """Scores per run and component with the component's share of variance.
 
-    The eigenvectors of the run x run matrix give the scores.  Signs are fixed:
-    the score of largest size is positive.
+    The eigenvectors of the run x run matrix give the scores.  With more than
+    ``max_gram_runs`` runs Spark's distributed SVD gives the leading
+    ``components`` instead, with the same scores and shares.  Signs are fixed: the
+    score of largest size is positive.
     """
     spark = df.sparkSession
     runs = _run_list(df, run)
     n = len(runs)
-    at = {r: i for i, r in enumerate(runs)}
-    g = np.zeros((n, n))
-    for row in run_gram(df, run, feature, value, scale, runs).collect():  # n x n numbers
-        g[at[row.run_a], at[row.run_b]] = row.g
-    vals, vecs = np.linalg.eigh((g + g.T) / 2)
-    order = np.argsort(vals)[::-1]
-    vals, vecs = np.maximum(vals[order], 0.0), vecs[:, order]
-    share = vals / vals.sum() * 100 if vals.sum() > 0 else vals
-    scores = vecs * np.sqrt(vals)
-    k = min(n, components or n)
+    rows = _centred_rows(df, run, feature, value, n, scale)
+    if n <= max_gram_runs:
+        g = np.zeros((n, n))
+        cells = _gram_cells(rows, n).toPandas()  # n x n numbers
+        g[cells["ia"], cells["ib"]] = cells["g"]
+        vals, vecs = np.linalg.eigh((g + g.T) / 2)
+        vals, vecs = np.maximum(vals[::-1], 0.0), vecs[:, ::-1]
+        total = float(vals.sum())
+    else:
+        if components is None:
+            raise ValueError("with this many runs, say how many components are wanted")
+        vals, vecs, total = _leading_components(rows, components)
+    k = min(n, components or n, len(vals))
     out = []
     for j in range(k):
-        s = scores[:, j]
+        s = vecs[:, j] * np.sqrt(vals[j])
         s = s if s[np.argmax(np.abs(s))] >= 0 else -s
-        out += [(runs[i], j + 1, float(s[i]), float(share[j])) for i in range(n)]
+        share = float(vals[j]) / total * 100 if total > 0 else 0.0
+        out += [(runs[i], j + 1, float(s[i]), share) for i in range(n)]
     kind = dict(df.dtypes)[run]
     return spark.createDataFrame(out, f"`{run}` {kind}, component int, score double, variance_percent double")
 
 
+def _leading_components(rows: DataFrame, k: int):
+    """Leading run-side singular vectors: (squared values, vectors, total variance)."""
+    rows = rows.persist()
+    try:
+        size = F.aggregate("v", F.lit(0.0), lambda t, x: t + x * x)
+        total = rows.agg(F.sum(size)).first()[0] or 0.0
+        svd = RowMatrix(rows.rdd.map(lambda r: Vectors.dense(r.v))).computeSVD(k)
+        vals = svd.s.toArray() ** 2
+        return vals, svd.V.toArray(), float(total)
+    finally:
+        rows.unpersist()
+
+
 # --- Ward clusters ------------------------------------------------------------
 
 MAX_CENTRES = 2000

@@ -79,6 +79,15 @@ def test_pca_matches_svd(spark):
     assert np.allclose(parts[0], parts[1])
 
 
+def test_pca_beyond_the_matrix_limit(spark):
+    rng = np.random.default_rng(13)
+    df = table(spark, rng.normal(0, 1, (8, 30)) * rng.uniform(0.2, 4, 30))
+    a = mv.run_pca(df, "run", "f", "x", components=3).toPandas()
+    b = mv.run_pca(df, "run", "f", "x", components=3, max_gram_runs=4).toPandas()
+    assert np.allclose(a.score, b.score, atol=1e-6)
+    assert np.allclose(a.variance_percent, b.variance_percent, atol=1e-6)
+
+
 def brute_ward(points, k):
     clusters = [[i] for i in range(len(points))]
     while len(clusters) > k:
