@@ -31,7 +31,9 @@ def _octave_bucket(value: Column, resolution: int) -> Column:
     finite = (size > 0) & (size < F.lit(float("inf")))
     step = F.floor((F.log2(F.when(finite, size)) + 1076) * resolution)
     step = F.when(size == 0, F.lit(0)).when(finite, step).otherwise(F.lit(2101 * resolution))
-    return F.when(value < 0, -step).otherwise(step)
+    # never null for the non-missing values it gets; saying so keeps Spark from
+    # adding a null filter to one reader of the counts, which would end their reuse
+    return F.coalesce(F.when(value < 0, -step).otherwise(step), F.lit(0).cast("bigint"))
 
 
 def _group(by: Sequence[str]) -> Column:
@@ -145,7 +147,9 @@ def adjust_fdr(
     counts = value_counts(df, by, p)
     v = F.col("_v")
     scale = F.when(v > 0, 1 / (1 - F.log(F.when(v > 0, v)))).otherwise(F.lit(0.0))
-    counts = counts.withColumn("_b", F.floor(scale * buckets).cast("int"))
+    counts = counts.withColumn(
+        "_b", F.coalesce(F.floor(scale * buckets).cast("int"), F.lit(0))
+    )
 
     order = Window.partitionBy(*keys).orderBy("_b")
     cells = counts.groupBy(*keys, "_b").agg(F.sum("_n").alias("_cell"))
