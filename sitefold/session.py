@@ -2,15 +2,33 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the session's Python workers, once per context.
+
+    Spark's own file server hands the zip to the executors, so it need not lie in a
+    shared folder.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_sitefold_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="sitefold-zip-")
+    name = shutil.make_archive(os.path.join(folder, "sitefold"), "zip", os.path.dirname(here), os.path.basename(here))
+    sc.addPyFile(name)
+    sc._sitefold_shipped = True
+
+
 def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A local session for tests and benchmarks; a cluster supplies its own."""
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("sitefold")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -23,6 +41,8 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
+    ship_package(spark)
+    return spark
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -36,7 +56,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            if not sc.master.startswith("local"):
+            if not (sc.master == "local" or sc.master.startswith("local[")):
                 raise RuntimeError("set spark.checkpoint.dir to a shared folder")
             folder = tempfile.mkdtemp(prefix="sitefold-ckpt-")
         sc.setCheckpointDir(folder)
