@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sitefold.llm import sharding, token_counts, top_k
+from sitefold.llm import line_dedup, secret_scan, sharding, token_counts, top_k
 
 QUERIES: dict = {}
 CHECKS: dict[str, str] = {}
@@ -57,3 +57,39 @@ def op5_vector_sharding(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(table(spark, folder, "documents"), limit=4096)
+
+
+@query(
+    """
+    WITH l AS (
+        SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL
+    ), u AS (
+        SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i, len(lines) AS n FROM l
+    ), h AS (
+        SELECT *, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS x FROM u
+    ), b AS (
+        SELECT *, (x + 31 * coalesce(lag(x) OVER (PARTITION BY doc_id ORDER BY i), 0)) % 4 = 0 OR i = n AS ends FROM h
+    ), c AS (
+        SELECT *, sum(CAST(ends AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i) - CAST(ends AS INTEGER) AS no FROM b
+    ), k AS (
+        SELECT doc_id, no, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS body FROM c GROUP BY doc_id, no
+    ), r AS (
+        SELECT *, n >= 2 AND row_number() OVER (PARTITION BY body, n >= 2 ORDER BY doc_id, no) > 1 AS gone FROM k
+    ), t AS (
+        SELECT doc_id, string_agg(body, chr(10) ORDER BY no) FILTER (NOT gone) AS kept_text, sum(n) AS n_lines,
+               sum(CASE WHEN gone THEN n ELSE 0 END) AS n_removed, count(*) FILTER (gone) AS n_chunks_removed
+        FROM r GROUP BY doc_id
+    )
+    SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(t.kept_text, '') END AS kept_text,
+           CAST(coalesce(t.n_lines, 1) AS BIGINT) AS n_lines, CAST(coalesce(t.n_removed, 0) AS BIGINT) AS n_removed,
+           CAST(coalesce(t.n_chunks_removed, 0) AS BIGINT) AS n_chunks_removed
+    FROM documents AS d LEFT JOIN t USING (doc_id)
+    """
+)
+def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, folder, "documents"))
+
+
+@query()
+def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.scan_secrets(table(spark, folder, "documents")))
