@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sitefold.llm import line_dedup, secret_scan, sharding, token_counts, top_k
+from sitefold.llm import line_dedup, packing, secret_scan, sharding, token_counts, top_k
 
 QUERIES: dict = {}
 CHECKS: dict[str, str] = {}
@@ -49,6 +49,11 @@ def op2_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return top_k.top_k(vectors, vectors.filter(F.col("vec_id") % 20 == 0), k=20)
 
 
+@query()
+def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(table(spark, folder, "documents"), capacity=4096)
+
+
 @query()
 def op5_vector_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_documents(table(spark, folder, "documents"), shards=40)
