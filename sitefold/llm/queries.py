@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sitefold.llm import line_dedup, packing, secret_scan, sharding, token_counts, top_k
+from sitefold.llm import decontamination, line_dedup, packing, secret_scan, sharding, token_counts, top_k
 
 QUERIES: dict = {}
 CHECKS: dict[str, str] = {}
@@ -64,6 +64,40 @@ def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(table(spark, folder, "documents"), limit=4096)
 
 
+@query(
+    r"""
+    WITH i AS (
+        SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+        FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL
+    ), p AS (
+        SELECT DISTINCT item_id, w[a:a + least(10, len(w)) - 1] AS p
+        FROM (SELECT *, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS a FROM i WHERE len(w) > 0)
+    ), d AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                          '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+        FROM documents
+    ), q AS (
+        SELECT doc_id, w, len, unnest(range(1, len(w) - len + 2)) AS a FROM d, (SELECT DISTINCT len(p) AS len FROM p)
+    ), h AS (
+        SELECT q.doc_id, q.a, q.len, p.item_id FROM q JOIN p ON w[a:a + len - 1] = p.p
+    ), c AS (
+        SELECT doc_id, count(DISTINCT x) AS n FROM (SELECT doc_id, unnest(range(a, a + len)) AS x FROM h) GROUP BY doc_id
+    ), t AS (
+        SELECT doc_id, count(*) AS n, sha256(string_agg(id, ',' ORDER BY id)) AS s
+        FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM h) GROUP BY doc_id
+    )
+    SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(c.n, 0) AS BIGINT) AS n_hit,
+           CAST(coalesce(t.n, 0) AS BIGINT) AS n_items, coalesce(t.s, sha256('')) AS items_sha256,
+           coalesce(c.n, 0) > 0 AS contaminated
+    FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
+    """
+)
+def op8_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontamination.find_benchmark(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return decontamination.digest(found)
+
+
 @query(
     """
     WITH l AS (
