@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sitefold.llm import decontamination, line_dedup, packing, secret_scan, sharding, token_counts, top_k
+from sitefold.llm import decontamination, language_id, line_dedup, packing, secret_scan, sharding, token_counts, top_k
 
 QUERIES: dict = {}
 CHECKS: dict[str, str] = {}
@@ -54,6 +54,11 @@ def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), capacity=4096)
 
 
+@query()
+def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language_id.identify_languages(table(spark, folder, "documents"))
+
+
 @query()
 def op5_vector_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_documents(table(spark, folder, "documents"), shards=40)
