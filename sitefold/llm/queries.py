@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sitefold.llm import decontamination, language_id, line_dedup, near_dedup, packing, secret_scan, sharding, token_counts, top_k
+from sitefold.llm import decontamination, language_id, line_dedup, near_dedup, packing, secret_scan, sharding, suffix_dedup, token_counts, top_k
 
 QUERIES: dict = {}
 CHECKS: dict[str, str] = {}
@@ -75,6 +75,11 @@ def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(table(spark, folder, "documents"), limit=4096)
 
 
+@query()
+def op7_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.repeated_substrings(table(spark, folder, "documents"), length=50))
+
+
 @query(
     r"""
     WITH i AS (
