@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -122,9 +123,12 @@ def find_benchmark(
     item_id: str = "item_id",
     item_text: str = "text",
     window: int = WINDOW,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """One row per document: doc_id, text, n_words, n_hit, item_ids, spans, kept_text.
 
+    Columns named in ``keep`` come along.
+
     A word of a document is hit if it lies in an occurrence of a window: ``window``
     consecutive words of an item, or all of an item of fewer words.  ``item_ids`` are
     the items of which a window occurs, ``spans`` the merged runs of hit words as bytes
@@ -142,9 +146,11 @@ def find_benchmark(
     items = columns_of(benchmark, item_id=item_id, text=item_text).dropna().dropDuplicates()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))
-    frame = columns_of(docs, doc_id=doc_id, text=text)
-    id_type, item_type = frame.dtypes[0][1], items.dtypes[0][1]
-    frame = frame.select("doc_id", "text", F.lit(None).cast("array<int>").alias("hit"), F.lit(None).cast(f"array<{item_type}>").alias("items"))
+    frame = columns_of(docs, doc_id=doc_id, text=text, **{f"keep {c}": c for c in keep})
+    item_type = items.dtypes[0][1]
+    own_type = ", ".join(f"`{c}` {t}" for c, t in frame.dtypes)
+    own_names = frame.columns
+    frame = frame.select("*", F.lit(None).cast("array<int>").alias("hit"), F.lit(None).cast(f"array<{item_type}>").alias("items"))
 
     def searched(frame: DataFrame, held) -> DataFrame:
         def run(batches):
@@ -155,12 +161,10 @@ def find_benchmark(
                     for i, (at, found) in enumerate(phrases.find([words(t) for t in texts]), first):
                         hits[i] = sorted({*(hits[i] or ()), *at.tolist()})
                         own[i] = sorted({*(own[i] or ()), *found})
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array(hits, pa.list_(pa.int32())), pa.array(own, batch.column(3).type)],
-                    names=["doc_id", "text", "hit", "items"],
-                )
+                done = [pa.array(hits, pa.list_(pa.int32())), pa.array(own, batch.column("items").type)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *done], names=batch.schema.names)
 
-        return frame.mapInArrow(run, f"doc_id {id_type}, text string, hit array<int>, items array<{item_type}>")
+        return frame.mapInArrow(run, f"{own_type}, hit array<int>, items array<{item_type}>")
 
     for b in range(blocks):
         block = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).orderBy("item_id", "text")
@@ -172,7 +176,8 @@ def find_benchmark(
     def spans_of(batches):
         for batch in batches:
             n_words, spans, kept = [], [], []
-            for t, hit in zip(bytes_of(batch.column(1)), batch.column(2).to_pylist()):
+            hits = batch.column("hit").to_pylist()
+            for t, hit in zip(bytes_of(batch.column("text")), hits):
                 n_words.append(len(words(t or b"")))
                 spans.append([])
                 kept.append(t)
@@ -185,21 +190,21 @@ def find_benchmark(
                     kept[-1] = b"\n".join(t[a:z] for a, z in zip(edges[::2], edges[1::2]))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0),
-                    batch.column(1),
+                    *batch.columns[:-2],
                     pa.array(n_words, pa.int64()),
-                    pa.array([len(h or ()) for h in batch.column(2).to_pylist()], pa.int64()),
-                    batch.column(3),
+                    pa.array([len(h or ()) for h in hits], pa.int64()),
+                    batch.column("items"),
                     pa.array([[{"start": a, "end": z} for a, z in s] for s in spans], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
                     pa.array([None if k is None else k.decode() for k in kept], pa.string()),
                 ],
-                names=["doc_id", "text", "n_words", "n_hit", "item_ids", "spans", "kept_text"],
+                names=[*own_names, "n_words", "n_hit", "item_ids", "spans", "kept_text"],
             )
 
-    return frame.mapInArrow(
+    found = frame.mapInArrow(
         spans_of,
-        f"doc_id {id_type}, text string, n_words long, n_hit long, item_ids array<{item_type}>, spans array<struct<start:long,end:long>>, kept_text string",
+        f"{own_type}, n_words long, n_hit long, item_ids array<{item_type}>, spans array<struct<start:long,end:long>>, kept_text string",
     )
+    return found.withColumnsRenamed({f"keep {c}": c for c in keep})
 
 
 def digest(found: DataFrame) -> DataFrame:

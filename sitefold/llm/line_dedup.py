@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sitefold.llm.common import columns_of
@@ -38,9 +40,17 @@ def chunked(frame: DataFrame, divisor: int = DIVISOR) -> DataFrame:
 
 
 def dedup_lines(
-    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least_lines: int = 2, divisor: int = DIVISOR
+    docs: DataFrame,
+    *,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    keep: Sequence[str] = (),
+    least_lines: int = 2,
+    divisor: int = DIVISOR,
 ) -> DataFrame:
-    """One row per document: doc_id, kept_text, n_lines, n_removed, n_chunks_removed.
+    """One row per document: doc_id, text, kept_text, n_lines, n_removed, n_chunks_removed.
+
+    Columns named in ``keep`` come along.
 
     A chunk of ``least_lines`` or more lines whose bytes occur more than once in the
     corpus stays where it comes first, by doc_id (missing ids first), then by place in
@@ -51,7 +61,8 @@ def dedup_lines(
     Hashes of chunks are counted first, so only chunks whose hash repeats move with
     their text, and only for them the bytes decide.
     """
-    frame = columns_of(docs, doc_id=doc_id, text=text).withColumn("row", F.xxhash64("text"))
+    whole = columns_of(docs, doc_id=doc_id, text=text, **{f"keep {c}": c for c in keep}).withColumn("row", F.xxhash64("text"))
+    frame = whole.select("doc_id", "text", "row")
     cut = chunked(frame.filter(F.col("text").isNotNull()), divisor)
     pieces = cut.select("doc_id", "row", F.explode("chunks").alias("c")).filter(F.col("c.n") >= least_lines)
     pieces = pieces.select("doc_id", "row", "c.no", "c.body", F.xxhash64("c.body").alias("hash"))
@@ -72,12 +83,14 @@ def dedup_lines(
     firsts = bodies.groupBy("body").agg(first)
     later = null_safe_join(bodies, firsts, ["body"], "inner").filter(~F.col("first").eqNullSafe(place))
     gone = later.groupBy("doc_id", "row").agg(F.collect_set("no").alias("gone"))
-    out = chunked(null_safe_join(frame, gone, ["doc_id", "row"], "left"), divisor)
+    out = chunked(null_safe_join(whole, gone, ["doc_id", "row"], "left"), divisor)
     kept = F.filter("chunks", lambda c: F.col("gone").isNull() | ~F.array_contains("gone", c["no"]))
     out = out.withColumn("kept", kept)
     lines = lambda chunks: F.coalesce(F.aggregate(chunks, F.lit(0), lambda s, c: s + c["n"]), F.lit(1))
     return out.select(
         "doc_id",
+        "text",
+        *(F.col(f"`keep {c}`").alias(c) for c in keep),
         F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform("kept", lambda c: c["body"]), "\n")).alias("kept_text"),
         lines("chunks").cast("long").alias("n_lines"),
         (lines("chunks") - lines("kept")).cast("long").alias("n_removed"),

@@ -142,7 +142,7 @@ def op8_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
     """
 )
 def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return line_dedup.dedup_lines(table(spark, folder, "documents"))
+    return line_dedup.dedup_lines(table(spark, folder, "documents")).drop("text")
 
 
 @query()
