@@ -7,21 +7,29 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: most entries of a worker's memo; it is emptied beyond, which costs time only
-MEMO_ENTRIES = 300_000
+#: most entries of a worker's memo
+MEMO_ENTRIES = 400_000
 
 
 class Memo(dict):
-    """A dictionary that computes what it lacks and never outgrows ``limit`` for long."""
+    """A dictionary that computes what it lacks and holds at most ``limit`` entries.
+
+    When its half is full it begins anew and keeps the former half for a second chance,
+    so frequent keys stay.
+    """
 
     def __init__(self, compute: Callable, limit: int = MEMO_ENTRIES):
         super().__init__()
-        self.compute, self.limit = compute, limit
+        self.compute, self.half, self.former = compute, max(1, limit // 2), {}
 
     def __missing__(self, key):
-        if len(self) >= self.limit:
+        value = self.former.get(key)
+        if value is None:
+            value = self.compute(key)
+        if len(self) >= self.half:
+            self.former = dict(self)
             self.clear()
-        value = self[key] = self.compute(key)
+        self[key] = value
         return value
 
 

@@ -147,6 +147,8 @@ class Labeller:
 
     def posteriors(self, texts: list[list[str]]) -> list[np.ndarray]:
         """Words x labels of each text; chains are at most CHAIN words of one text."""
+        if not self.field.labels:
+            return [np.zeros((len(t), 0)) for t in texts]
         self._learn({w for t in texts for w in t})
         get = self.known.__getitem__
         sizes = np.array([len(t) for t in texts], dtype=np.int64)
@@ -172,7 +174,7 @@ class Labeller:
                 held += len(group[-1])
                 at += 1
             for post in self.posteriors(group):
-                if len(post) and self.field.labels:
+                if post.size:
                     mean = post.mean(0)
                     names.append(self.field.labels[int(mean.argmax())])
                     scores.append(float(min(1.0, mean.max())))

@@ -90,6 +90,13 @@ def log_ratio(token: Column, ratio: list[list[float]]) -> Column:
     return F.when(F.length(token) > 1, total / (F.length(token) - 1)).otherwise(0.0)
 
 
+def _of_kind(spans: Column | str, number: int) -> Column:
+    """Spans with the number of their kind, in the order that they sort by."""
+    return F.transform(
+        spans, lambda m: F.struct(m["start"].alias("start"), F.lit(number).alias("kind"), m["end"].alias("end"), m["value"].alias("value"))
+    )
+
+
 def scan_secrets(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", margin: float = MARGIN) -> DataFrame:
     """One row per document: doc_id, base and spans, arrays of (start, end, kind, value).
 
@@ -106,12 +113,7 @@ def scan_secrets(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     body = F.coalesce(F.col("text"), F.lit(""))
     frame = columns_of(docs, doc_id=doc_id, text=text).select("doc_id", body.alias("text"))
     found = frame.select("doc_id", *(_base(F.col("text"), *k).alias(k[0]) for k in KINDS), matches(F.col("text"), CANDIDATE).alias("candidates"))
-    tagged = F.concat(
-        *(
-            F.transform(k, lambda m, i=i: F.struct(m["start"].alias("start"), F.lit(i).alias("kind"), m["end"].alias("end"), m["value"].alias("value")))
-            for i, k in enumerate(k[0] for k in KINDS)
-        )
-    )
+    tagged = F.concat(*(_of_kind(k[0], i) for i, k in enumerate(KINDS)))
     found = found.select("doc_id", F.array_sort(tagged).alias("base"), "candidates")
     apart = lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
     found = cut_lineage(found.select("doc_id", "base", F.filter("candidates", apart).alias("candidates")))
@@ -128,7 +130,7 @@ def scan_secrets(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     ratio = [[r - o for r, o in zip(*rows)] for rows in zip(*models)]
 
     added = F.filter("candidates", lambda c: log_ratio(c["value"], ratio) > margin)
-    added = F.transform(added, lambda m: F.struct(m["start"].alias("start"), F.lit(len(KINDS)).alias("kind"), m["end"].alias("end"), m["value"].alias("value")))
+    added = _of_kind(added, len(KINDS))
     names = F.array(*(F.lit(x) for x in (*(k[0] for k in KINDS), "random")))
     named = lambda spans: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.get(names, s["kind"]).alias("kind"), s["value"].alias("value")))
     return found.select("doc_id", named(F.col("base")).alias("base"), named(F.array_sort(F.concat("base", added))).alias("spans"))
