@@ -48,7 +48,7 @@ def codon_peptides(
         one
         & F.col("n_muts").isin(0, 1)
         & F.col("sample").isin(strain, control)
-        & (F.coalesce(F.col("mapped_genes"), F.lit("")) == "")
+        & (F.col("mapped_genes") == "")
     )
     for o in others:
         kept = kept.where(F.col(o.flag) == 0)

@@ -11,6 +11,10 @@ from sitefold.functions.columns import (
 )
 from sitefold.operators.joins import null_safe_join
 from sitefold.operators.reshape import row_total_not_zero, split_rows
+from sitefold.session import broadcast_if_small
+
+#: most rows of a panel list that is broadcast
+PANEL_ROWS = 100_000
 
 
 def call_hits(
@@ -44,7 +48,8 @@ def masked_fold_matrix(
     """Fold changes side by side, zero where not significant; complete rows only.
 
     A missing adjusted p gives no fold change (not an unmasked one), and infinite
-    folds drop.  Rows whose folds sum to exactly zero drop.  One aggregate per
+    folds drop.  Of several rows for a feature and label the one with the smallest
+    adjusted p counts as a whole.  Rows whose folds sum to exactly zero drop.  One aggregate per
     feature replaces a chain of self-joins.
     """
     masked = if_else(F.col(adj) > alpha, F.lit(0.0), F.col(fold))
@@ -55,11 +60,17 @@ def masked_fold_matrix(
     for name in labels:
         mine = F.col(label) == name
         aggs += [
-            F.max(F.when(mine, F.col("_f"))).alias(f"log2fc_{name}"),
-            F.max(F.when(mine, F.col("_p"))).alias(f"adj_p_{name}"),
-            F.max(F.when(mine, F.col("_m"))).alias(f"fold_{name}"),
+            F.max(F.when(mine, F.struct((-F.col("_p")).alias("q"), "_f", "_p", "_m"))).alias(name)
         ]
-    wide = rows.groupBy(feature).agg(*aggs).dropna(subset=[f"fold_{n}" for n in labels])
+    wide = rows.groupBy(feature).agg(*aggs)
+    wide = wide.select(
+        feature,
+        *(
+            F.col(f"`{name}`.{field}").alias(f"{out}_{name}")
+            for name in labels
+            for field, out in (("_f", "log2fc"), ("_p", "adj_p"), ("_m", "fold"))
+        ),
+    ).dropna(subset=[f"fold_{n}" for n in labels])
     sure = F.lit(False)
     for name in labels:
         sure = sure | (F.col(f"adj_p_{name}") < alpha)
@@ -98,10 +109,10 @@ def panel_table(
 ) -> DataFrame:
     """Fold change and star flag of every panel member in every contrast.
 
-    ``panels`` is a literal list made on the driver, so its broadcast has a fixed
-    size; one join serves all panels.
+    One join serves all panels; they are broadcast if they are as small as literal
+    lists are.
     """
-    small = F.broadcast(panels.withColumnRenamed("member", feature))
+    small = broadcast_if_small(panels.withColumnRenamed("member", feature), PANEL_ROWS)
     return null_safe_join(da, small, [feature], "inner").select(
         "panel", feature,
         site_label_title(feature).alias("title"),

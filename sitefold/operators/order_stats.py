@@ -13,7 +13,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from sitefold.operators.joins import key_join
+from sitefold.operators.joins import key_join, null_safe_join
+from sitefold.session import cut_lineage
 
 # Buckets per doubling of a value's size: one bucket spans a relative 1e-5.
 RESOLUTION = 65536
@@ -69,7 +70,7 @@ def quantiles(
     """
     by = list(by)
     keys = ["_g"]
-    counts = value_counts(df, by, value).withColumn(
+    counts = cut_lineage(value_counts(df, by, value)).withColumn(
         "_b", _octave_bucket(F.col("_v"), resolution)
     )
 
@@ -144,7 +145,8 @@ def adjust_fdr(
     """
     by = list(by)
     keys = ["_g"]
-    counts = value_counts(df, by, p)
+    df = cut_lineage(df)  # read five times below, and p-values are costly
+    counts = cut_lineage(value_counts(df, by, p))
     v = F.col("_v")
     scale = F.when(v > 0, 1 / (1 - F.log(F.when(v > 0, v)))).otherwise(F.lit(0.0))
     counts = counts.withColumn(
@@ -187,5 +189,6 @@ def adjust_fdr(
         F.least(F.lit(1.0), F.col("_here"), F.col("_later")).alias(out),
     )
     left = df.withColumn("_g", _group(by)).withColumn("_v", F.col(p).cast("double"))
-    joined = key_join(left, adj, keys + ["_v"], "left")
+    # p = 1 and missing p are hot: both sides are exchanged, so Spark can split them
+    joined = null_safe_join(left, adj, keys + ["_v"], "left")
     return joined.select(*df.columns, out)

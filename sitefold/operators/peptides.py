@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sitefold.functions.columns import (
-    divide, if_else, recode, split_fields, strip_tags, tag_count,
+    divide, if_else, recode, split_fields, strict_mean, strict_sd, strip_tags, tag_count,
 )
 from sitefold.operators.joins import null_safe_join
 from sitefold.operators.reshape import unpivot, with_order, zero_fill
@@ -167,9 +167,10 @@ def substitution_rate(
 
 
 def rate_summary(df: DataFrame, by: Sequence[str], value: str = "percent") -> DataFrame:
-    """Mean and standard deviation over replicates."""
+    """Mean and standard deviation over replicates, missing where any value is; ``n``
+    counts the values."""
     return df.groupBy(*by).agg(
-        F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.count(value).alias("n")
+        strict_mean(value).alias("mean"), strict_sd(value).alias("sd"), F.count(value).alias("n")
     )
 
 

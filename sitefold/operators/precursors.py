@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -11,27 +12,39 @@ from sitefold.functions.columns import extract, split_fields
 RUN_FIELDS = ["raw_file", "experiment", "condition", "bio_replicate", "measure", "measure2"]
 
 
-def qc_filter(df: DataFrame, phospho: bool = False, site_tag: str | None = None) -> DataFrame:
+@dataclass(frozen=True)
+class ReportRules:
+    """Thresholds of the report filter."""
+
+    max_q: float = 0.01
+    min_quality: float = 0.5
+    min_site_confidence: float = 0.75
+
+
+def qc_filter(
+    df: DataFrame, phospho: bool = False, site_tag: str | None = None, rules: ReportRules = ReportRules()
+) -> DataFrame:
     """Keep confident target observations; plain comparisons that push to the scan.
 
-    A NaN score is no evidence: the lower bounds pair with ``<= 1`` because NaN
+    A NaN score is no evidence: the lower bounds pair with ``<= infinity`` because NaN
     sorts above every number in Spark.
     """
-    rules = (
+    most = F.lit(float("inf"))
+    kept = (
         (F.col("decoy") == 0)
-        & (F.col("q_value") <= 0.01)
-        & (F.col("global_q_value") <= 0.01)
-        & (F.col("quantity_quality") > 0.5)
-        & (F.col("quantity_quality") <= 1.0)
+        & (F.col("q_value") <= rules.max_q)
+        & (F.col("global_q_value") <= rules.max_q)
+        & (F.col("quantity_quality") > rules.min_quality)
+        & (F.col("quantity_quality") <= most)
     )
     if phospho:
-        rules = (
-            rules
-            & (F.col("ptm_site_confidence") >= 0.75)
-            & (F.col("ptm_site_confidence") <= 1.0)
-            & (F.col("global_peptidoform_q_value") <= 0.01)
+        kept = (
+            kept
+            & (F.col("ptm_site_confidence") >= rules.min_site_confidence)
+            & (F.col("ptm_site_confidence") <= most)
+            & (F.col("global_peptidoform_q_value") <= rules.max_q)
         )
-    df = df.where(rules)
+    df = df.where(kept)
     return df if site_tag is None else df.where(F.contains(F.col("modified_sequence"), F.lit(site_tag)))
 
 

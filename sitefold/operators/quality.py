@@ -122,12 +122,14 @@ def group_ellipse(
 
 
 def density(
-    df: DataFrame, by: Sequence[str], value: str, grid: int = 512
+    df: DataFrame, by: Sequence[str], value: str, grid: int = 512, trim: bool = True
 ) -> DataFrame:
     """Gaussian kernel density on an even grid over each group's range.
 
-    Bandwidth by the normal reference rule 0.9 min(sd, IQR/1.34) n^(-1/5).  Values
-    are shared linearly between their two grid points by one aggregate; smoothing
+    Without ``trim`` the grid goes on for three bandwidths on both sides.  Bandwidth by
+    the normal reference rule 0.9 min(sd, IQR/1.34) n^(-1/5), with the value's size (or
+    1) in place of a spread of zero.  A group of one row has no bandwidth and no
+    density.  Values are shared linearly between their two grid points by one aggregate; smoothing
     then only sees at most ``grid`` weights per group.
     """
     x = F.col(value)
@@ -139,11 +141,14 @@ def density(
     )
     spread = (F.col("_q3") - F.col("_q1")) / 1.34
     width = F.when((spread > 0) & (spread < F.col("_sd")), spread).otherwise(F.col("_sd"))
+    size = F.when(F.col("_lo") != 0, F.abs("_lo")).otherwise(1.0)
+    width = F.when(width > 0, width).when(width == 0, size)
     s = null_safe_join(s, q, by, "inner").withColumn(
         "_bw", 0.9 * width * F.pow(F.col("_n").cast("double"), F.lit(-0.2))
-    ).where((F.col("_bw") > 0) & (F.col("_hi") > F.col("_lo")))
+    ).where(F.col("_bw") > 0)
     s = s.select(*by, "_n", "_lo", "_hi", "_bw")
-    at = (x - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * (grid - 1)
+    span = F.when(F.col("_hi") > F.col("_lo"), F.col("_hi") - F.col("_lo")).otherwise(1.0)
+    at = (x - F.col("_lo")) / span * (grid - 1)
     cell = F.least(F.floor(at), F.lit(grid - 2)).cast("int")
     shares = F.array(
         F.struct(F.col("_cell").alias("cell"), (F.col("_cell") + 1 - F.col("_at")).alias("w")),
@@ -162,8 +167,11 @@ def density(
 
     def smooth(pdf: pd.DataFrame) -> pd.DataFrame:
         n, lo, hi, bw = (float(pdf[c].iloc[0]) for c in stats)
-        points = lo + (hi - lo) * np.arange(grid) / (grid - 1)
-        z = (points[:, None] - points[pdf["_cell"].to_numpy()][None, :]) / bw
+        step = np.arange(grid) / (grid - 1)
+        cells_at = lo + (hi - lo) * step[pdf["_cell"].to_numpy()]
+        reach = 0.0 if trim else 3 * bw
+        points = lo - reach + (hi - lo + 2 * reach) * step
+        z = (points[:, None] - cells_at[None, :]) / bw
         d = np.exp(-0.5 * z * z) @ pdf["_w"].to_numpy(float) / (n * bw * np.sqrt(2 * np.pi))
         out = pd.DataFrame({"x": points, "density": d})
         for b in reversed(by):

@@ -13,6 +13,7 @@ from pyspark.sql.types import (
 from sitefold.functions.columns import chars, divide, positions_of, strip_tags
 from sitefold.functions.tails import binom_upper, fisher_p_value, z_p_value
 from sitefold.operators.joins import key_join
+from sitefold.session import cut_lineage
 
 PAD = "_"
 PAD_LENGTH = 50
@@ -248,7 +249,6 @@ MOTIF_SCHEMA = StructType(
         StructField("ord", IntegerType()),
     ]
 )
-_SMALLEST_P = 1e-16
 
 
 def _matches(fixed: Mapping[int, str]) -> Column:
@@ -268,17 +268,19 @@ def _side(df: DataFrame, window: str, side: str) -> DataFrame:
 
 def motif_enrich(
     fg: DataFrame, bg: DataFrame, centre: str, alphabet: str, min_seqs: int = 50,
-    p_cutoff: float = 1e-6, width: int = 15, window: str = "window",
+    p_cutoff: float = 1e-6, width: int = 15, window: str = "window", smallest_p: float = 1e-16,
 ) -> DataFrame:
     """Iterative motif search (Schwartz and Gygi 2005).
 
+    Tail probabilities below ``smallest_p`` count as that, so among very small ones the
+    residue with more windows is fixed first and a step adds at most its -log10.
+
     Both sides are reduced once to distinct windows with two counts.  Each step is
     one aggregate over the windows that still match; the driver sees only its
     width x alphabet counts, fixes the position and residue with the smallest
     binomial upper tail against the background share, and goes on.  When nothing
-    is left to fix, the motif is recorded, its windows leave both sides and the
-    search starts again.  The state is one predicate on the window, so no lineage
-    builds up.  Counts of a set that contains the removed windows are kept up to
+    is left to fix, the motif is recorded, its windows leave the kept set and the
+    search starts again, so plans don't grow with the number of motifs.  Counts of a set that contains the removed windows are kept up to
     date by subtraction, so the restart needs no new pass.
     """
     mid = width // 2 + 1
@@ -289,7 +291,6 @@ def motif_enrich(
         .persist()
     )
     found: list[tuple] = []
-    gone = F.lit(False)
     known: dict[frozenset, dict] = {}
     try:
         while True:
@@ -299,11 +300,11 @@ def motif_enrich(
             while True:
                 here = frozenset(fixed.items())
                 if here not in known:
-                    known[here] = _cells(windows.where(~gone & _matches(fixed)), alphabet + centre)
+                    known[here] = _cells(windows.where(_matches(fixed)), alphabet + centre)
                 cells = known[here]
                 last = cells.get((mid, centre), (0, 0))
                 size = size or last
-                best = _best_cell(cells, last, fixed, alphabet, min_seqs, p_cutoff)
+                best = _best_cell(cells, last, fixed, alphabet, min_seqs, p_cutoff, smallest_p)
                 if best is None:
                     break
                 p, pos, letter = best
@@ -314,7 +315,9 @@ def motif_enrich(
             text = "".join(fixed.get(i, ".") for i in range(1, width + 1))
             fold = (last[0] / size[0]) / (last[1] / size[1]) if last[1] else float("inf")
             found.append((text, score, last[0], size[0], last[1], size[1], fold, len(found) + 1))
-            gone = gone | _matches(fixed)
+            rest = cut_lineage(windows.where(~_matches(fixed)))
+            windows.unpersist()
+            windows = rest.persist()
             known = {k: _minus(c, cells) for k, c in known.items() if k < here}
     finally:
         windows.unpersist()
@@ -341,7 +344,7 @@ def _minus(cells: dict, removed: dict) -> dict:
     return left
 
 
-def _best_cell(cells, size, fixed, alphabet, min_seqs, p_cutoff):
+def _best_cell(cells, size, fixed, alphabet, min_seqs, p_cutoff, smallest_p):
     """(p, position, residue) to fix next: smallest p, then most windows."""
     n, m = size
     if n < min_seqs or m == 0:
@@ -350,7 +353,7 @@ def _best_cell(cells, size, fixed, alphabet, min_seqs, p_cutoff):
     for (pos, letter), (f, b) in cells.items():
         if pos in fixed or letter not in alphabet or f < min_seqs:
             continue
-        p = max(binom_upper(f, n, b / m), _SMALLEST_P)
+        p = max(binom_upper(f, n, b / m), smallest_p)
         if p < p_cutoff:
             tested.append((p, -f, pos, letter))
     if not tested:

@@ -120,7 +120,7 @@ def substitution_study(
             fx.GROWTH_EXCLUDED, fx.STRAIN_ORDER,
         )
     if cds is not None:
-        coding = readers.read_fasta(spark, cds, readers.CDS_ID).select("id", "seq", "length")
+        coding = readers.read_fasta(spark, cds, readers.CDS_ID, keep="first").select("id", "seq", "length")
         usage = None
         for e in fx.SUBSTITUTIONS:
             others = [o for o in fx.SUBSTITUTIONS if o is not e]

@@ -69,14 +69,15 @@ def box_summary_limits(spark, folder):
 
 
 @query("WITH " + v.AB_SQL + """,
-p AS (SELECT protein, grp, max(x) FILTER (subj = 1) AS a, max(x) FILTER (subj = 2) AS b FROM ab GROUP BY protein, grp),
+p AS (SELECT protein, grp, avg(x) FILTER (subj <= 2) AS a, avg(x) FILTER (subj > 2) AS b FROM ab GROUP BY protein, grp),
 c AS (SELECT * FROM p WHERE a IS NOT NULL AND b IS NOT NULL)
 SELECT grp, count(*) AS n, round(avg(a), 6) AS mean_x, round(avg(b), 6) AS mean_y, round(var_samp(a), 6) AS var_x,
        round(var_samp(b), 6) AS var_y, round(covar_samp(a, b), 6) AS cov_xy,
        round(sqrt((count(*) - 1) * (pow(0.32, -2.0 / (count(*) - 1)) - 1)), 6) AS radius FROM c GROUP BY grp""")
 def group_ellipse(spark, folder):
+    halves = v.abundance(spark, folder).withColumn("half", F.when(F.col("subj") <= 2, 1).otherwise(2))
     wide = reshape.pivot_fixed(
-        v.abundance(spark, folder), ["protein", "grp"], "subj", [1, 2], F.max("x")
+        halves, ["protein", "grp"], "half", [1, 2], F.avg("x")
     ).toDF("protein", "grp", "a", "b").dropna()
     out = quality.group_ellipse(wide, ["grp"], "a", "b")
     return rounded(out, mean_x=6, mean_y=6, var_x=6, var_y=6, cov_xy=6, radius=6)
@@ -98,6 +99,29 @@ def value_density(spark, folder):
     return rounded(out, x=6, density=6)
 
 
+@query("""
+WITH v AS (SELECT event_type, CASE WHEN event_type = 'error' THEN -2.5 ELSE value END AS value FROM events),
+s AS (SELECT event_type, count(*) AS n, stddev_samp(value) AS sd, min(value) AS lo, max(value) AS hi,
+             (quantile_cont(value, 0.75) - quantile_cont(value, 0.25)) / 1.34 AS iqr FROM v GROUP BY event_type),
+b AS (SELECT *, 0.9 * CASE WHEN sd = 0 THEN CASE WHEN lo <> 0 THEN abs(lo) ELSE 1 END
+                           WHEN iqr > 0 AND iqr < sd THEN iqr ELSE sd END * pow(n, -0.2) AS bw,
+             CASE WHEN hi > lo THEN hi - lo ELSE 1 END AS span FROM s),
+e AS (SELECT event_type, (value - lo) / span * 31 AS at_pos FROM v JOIN b USING (event_type)),
+c AS (SELECT event_type, least(floor(at_pos), 30) AS cell, at_pos FROM e),
+w AS (SELECT event_type, cell, sum(cell + 1 - at_pos) AS w FROM c GROUP BY ALL
+      UNION ALL SELECT event_type, cell + 1, sum(at_pos - cell) FROM c GROUP BY ALL)
+SELECT b.event_type, round(lo - 3 * bw + (hi - lo + 6 * bw) * i / 31.0, 6) AS x,
+       round(sum(w * exp(-0.5 * pow((lo - 3 * bw + (hi - lo + 6 * bw) * i / 31.0 - lo - (hi - lo) * cell / 31.0) / bw, 2)))
+             / max(n * bw * sqrt(2 * pi())), 6) AS density
+FROM b JOIN w USING (event_type), range(0, 32) r(i) GROUP BY b.event_type, lo, hi, bw, i""")
+def value_density_untrimmed(spark, folder):
+    """Beyond the range of the data; one group has a single value."""
+    e = table(spark, folder, "events").select(
+        "event_type", F.when(F.col("event_type") == "error", -2.5).otherwise(F.col("value")).alias("value")
+    )
+    return rounded(quality.density(e, ["event_type"], "value", grid=32, trim=False), x=6, density=6)
+
+
 @query("""
 SELECT l_returnflag, l_linestatus, round(quantile_cont(l_extendedprice, 0.1), 4) AS p10,
        round(quantile_cont(l_extendedprice, 0.5), 4) AS p50, round(quantile_cont(l_extendedprice, 0.99), 4) AS p99

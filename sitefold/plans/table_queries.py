@@ -43,20 +43,40 @@ def feature_count_summary(spark, folder):
 
 @query("""
 SELECT l_orderkey, l_linenumber, round(l_extendedprice, 2) AS quantity FROM lineitem
-WHERE l_linestatus = 'F' AND l_discount <= 0.01 * 5 AND l_tax <= 0.01 AND l_quantity / 50 > 0.5
+WHERE l_linestatus = 'F' AND l_discount <= 0.01 * 5 AND l_tax <= 0.01 AND l_quantity / 40 > 0.5
   AND contains(l_returnflag || l_linestatus, 'N')""")
 def qc_filter(spark, folder):
     """The report filter, with line items in the role of precursors."""
-    li = table(spark, folder, "lineitem").select(
+    return precursors.qc_filter(_report(spark, folder), site_tag="N").select(
+        "l_orderkey", "l_linenumber", "quantity"
+    )
+
+
+def _report(spark, folder):
+    """Line items as precursors; quality goes up to 1.25, and one in 50 has none (NaN)."""
+    nan = F.lit(float("nan"))
+    return table(spark, folder, "lineitem").select(
         "l_orderkey", "l_linenumber",
         F.when(F.col("l_linestatus") == "F", 0).otherwise(1).alias("decoy"),
         (F.col("l_discount") / 5).alias("q_value"),
         F.col("l_tax").alias("global_q_value"),
-        (F.col("l_quantity") / 50).alias("quantity_quality"),
+        (F.col("l_quantity") / 40).alias("quantity_quality"),
+        F.when(F.col("l_partkey") % 50 == 0, nan).otherwise(F.col("l_quantity") / 40).alias("ptm_site_confidence"),
+        (F.col("l_discount") / 5).alias("global_peptidoform_q_value"),
         F.concat("l_returnflag", "l_linestatus").alias("modified_sequence"),
         F.round("l_extendedprice", 2).alias("quantity"),
     )
-    return precursors.qc_filter(li, site_tag="N").select("l_orderkey", "l_linenumber", "quantity")
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, round(l_extendedprice, 2) AS quantity FROM lineitem
+WHERE l_linestatus = 'F' AND l_discount <= 0.01 * 5 AND l_tax <= 0.01 AND l_quantity / 40 >= 0.75
+  AND l_partkey % 50 <> 0""")
+def qc_filter_phospho(spark, folder):
+    """The same for sites, whose confidence has a lower bound only."""
+    return precursors.qc_filter(_report(spark, folder), phospho=True).select(
+        "l_orderkey", "l_linenumber", "quantity"
+    )
 
 
 @query(r"""
@@ -221,7 +241,7 @@ def site_rollup(spark, folder):
 NULLED_SQL = """
 o AS (SELECT o_orderkey, CASE WHEN o_custkey % 7 = 0 THEN NULL ELSE o_custkey END AS k, o_totalprice AS price FROM orders),
 c AS (SELECT CASE WHEN c_custkey = 0 THEN NULL ELSE c_custkey END AS k, c_mktsegment AS segment, c_acctbal AS price
-      FROM customer WHERE c_acctbal > 0 OR c_custkey = 0)"""
+      FROM customer)"""
 
 
 def _nulled(spark, folder):
@@ -229,9 +249,7 @@ def _nulled(spark, folder):
         "o_orderkey", F.when(F.col("o_custkey") % 7 != 0, F.col("o_custkey")).alias("k"),
         F.col("o_totalprice").alias("price"),
     )
-    c = table(spark, folder, "customer").where(
-        (F.col("c_acctbal") > 0) | (F.col("c_custkey") == 0)
-    ).select(
+    c = table(spark, folder, "customer").select(
         F.when(F.col("c_custkey") != 0, F.col("c_custkey")).alias("k"),
         F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").alias("price"),
     )
@@ -395,7 +413,8 @@ def substitution_rate(spark, folder):
 
 
 @query("WITH " + v.PEP_SQL + "," + RATES_SQL + """
-SELECT sample, event, round(avg(percent), 6) AS mean, round(stddev_samp(percent), 6) AS sd, count(percent) AS n
+SELECT sample, event, CASE WHEN count(percent) = count(*) THEN round(avg(percent), 6) END AS mean,
+       CASE WHEN count(percent) = count(*) THEN round(stddev_samp(percent), 6) END AS sd, count(percent) AS n
 FROM rates WHERE sample IN (event, 'Ctrl') GROUP BY sample, event""")
 def rate_summary(spark, folder):
     rates = peptides.substitution_rate(_pairs(spark, folder), ["sample", "replicate"], v.EVENTS)
@@ -448,12 +467,17 @@ def signal_fraction(spark, folder):
 
 
 @query("WITH " + v.PEP_SQL + "," + SIGNAL_SQL + """
-SELECT sample, event, round(avg(percent), 6) AS mean, round(stddev_samp(percent), 6) AS sd, count(percent) AS n
-FROM frac GROUP BY sample, event""")
+SELECT sample, event, CASE WHEN count(percent) = count(*) THEN round(avg(percent), 6) END AS mean,
+       CASE WHEN count(percent) = count(*) THEN round(stddev_samp(percent), 6) END AS sd, count(percent) AS n
+FROM (SELECT * REPLACE (CASE WHEN sample = 'Ctrl' AND replicate = '1' THEN NULL ELSE percent END AS percent) FROM frac)
+GROUP BY sample, event""")
 def signal_summary(spark, folder):
     out = peptides.signal_fraction(
         _kept(spark, folder), ["sample", "replicate"], v.EVENTS, "intensity"
     )
+    # one replicate of the control has no share, so its summary is missing
+    gap = (F.col("sample") == "Ctrl") & (F.col("replicate") == "1")
+    out = out.withColumn("percent", F.when(~gap, F.col("percent")))
     return rounded(peptides.rate_summary(out, ["sample", "event"]), mean=6, sd=6)
 
 
@@ -497,13 +521,11 @@ def recurrent_replicates(spark, folder):
 
 
 @query("""
-WITH u AS (SELECT DISTINCT o_orderstatus, o_custkey FROM orders WHERE o_totalprice > 400000 AND o_orderpriority = '1-URGENT')
+WITH u AS (SELECT DISTINCT o_orderstatus, o_custkey FROM orders)
 SELECT c.c_custkey AS custkey, coalesce(n.n, 0) AS count FROM customer c
 LEFT JOIN (SELECT o_custkey, count(*) AS n FROM u GROUP BY o_custkey) n ON n.o_custkey = c.c_custkey""")
 def unique_counts_zero_fill(spark, folder):
-    o = table(spark, folder, "orders").where(
-        (F.col("o_totalprice") > 400000) & (F.col("o_orderpriority") == "1-URGENT")
-    ).select(F.col("o_custkey").alias("custkey"), "o_orderstatus")
+    o = table(spark, folder, "orders").select(F.col("o_custkey").alias("custkey"), "o_orderstatus")
     domain = table(spark, folder, "customer").select(F.col("c_custkey").alias("custkey"))
     return peptides.unique_counts(o, ["custkey"], ["o_orderstatus"], domain)
 
@@ -532,7 +554,7 @@ CODON_SQL = """
 cand AS (
   SELECT *, start_pos + instr(peptide_sequence, 'P') - 1 AS position FROM kept
   WHERE length(peptide_sequence) - length(replace(peptide_sequence, 'P', '')) = 1
-    AND n_muts IN (0, 1) AND sample IN ('ProAla', 'Ctrl') AND coalesce(mapped_genes, '') = ''
+    AND n_muts IN (0, 1) AND sample IN ('ProAla', 'Ctrl') AND mapped_genes = ''
     AND n_ps = 0 AND n_rs = 0),
 cod AS (
   SELECT c.*, replace(modified_sequence, 'P[-26.0156]', 'P') AS stripped,

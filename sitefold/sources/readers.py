@@ -85,12 +85,15 @@ def read_peptides(spark: SparkSession, path: str, suffix: str) -> DataFrame:
     )
 
 
-def read_fasta(spark: SparkSession, path: str, id_pattern: str) -> DataFrame:
+def read_fasta(spark: SparkSession, path: str, id_pattern: str, keep: str = "all") -> DataFrame:
     """(id, header, seq, length), one row per record, split on record marks.
 
-    ``id_pattern`` has one capture group, matched on the header.  Where two
-    records share an id the first one in the file is kept.
+    ``id_pattern`` has one capture group, matched on the header.  With ``keep="first"``
+    the first record in the file stands for all that share an id, as in a look-up by
+    name; records without an id all stay.
     """
+    if keep not in ("all", "first"):
+        raise ValueError("keep is all or first")
     records = (
         spark.read.option("lineSep", "\n>").text(path)
         .select(
@@ -111,8 +114,12 @@ def read_fasta(spark: SparkSession, path: str, id_pattern: str) -> DataFrame:
     ).withColumn(
         "id", F.when(F.col("header").rlike(id_pattern), F.regexp_extract("header", id_pattern, 1))
     )
-    first = parsed.groupBy("id").agg(F.min_by(F.struct("header", "seq"), "at").alias("r"))
-    return first.select("id", "r.header", "r.seq", F.length("r.seq").alias("length"))
+    out = parsed.select("id", "header", "seq", F.length("seq").alias("length"))
+    if keep == "all":
+        return out
+    first = parsed.where(F.col("id").isNotNull()).groupBy("id").agg(F.min_by(F.struct("header", "seq"), "at").alias("r"))
+    first = first.select("id", "r.header", "r.seq", F.length("r.seq").alias("length"))
+    return first.unionByName(out.where(F.col("id").isNull()))
 
 
 # id rules of the two kinds of sequence file: the first word of capitals and

@@ -32,7 +32,7 @@ def test_fasta(spark, tmp_path):
     f.write_text(
         ">YAL001C TFC3 note > with mark\nATG\nAAA\n>YAL002W VPS8 x\nCCC\n>YAL009C TFC3-A again\nGGG\n"
     )
-    rows = {r.id: (r.seq, r.length) for r in readers.read_fasta(spark, str(f), readers.CDS_ID).collect()}
+    rows = {r.id: (r.seq, r.length) for r in readers.read_fasta(spark, str(f), readers.CDS_ID, keep="first").collect()}
     # TFC3-A is cut to TFC3, and the first record of an id wins
     assert rows == {"TFC3": ("ATGAAA", 6), "VPS8": ("CCC", 3)}
     g = tmp_path / "p.fa"
@@ -46,7 +46,7 @@ def test_fasta_many_blocks_keeps_first(spark, tmp_path):
     f.write_text("".join(f">x G{i % 50} n{i}\nACGT{'A' * i}\n" for i in range(400)))
     spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
     try:
-        rows = {r.id: r.length for r in readers.read_fasta(spark, str(f), readers.CDS_ID).collect()}
+        rows = {r.id: r.length for r in readers.read_fasta(spark, str(f), readers.CDS_ID, keep="first").collect()}
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert rows == {f"G{i}": 4 + i for i in range(50)}
