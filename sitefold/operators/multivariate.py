@@ -6,17 +6,13 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
 from pyspark.mllib.linalg import Vectors
 from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from sitefold.functions.columns import strict_sum
-from sitefold.operators.joins import null_safe_join
-
-# Up to this many runs the run x run matrix is built; beyond, a distributed SVD.
-MAX_GRAM_RUNS = 1000
+from sitefold.operators.joins import key_join, null_safe_join
+from sitefold.session import cut_lineage
 
 
 def run_feature_sums(df: DataFrame, run: str, feature: str, value: str) -> DataFrame:
@@ -60,10 +56,10 @@ def _centred_rows(
 
 
 def _gram_cells(rows: DataFrame, n: int) -> DataFrame:
-    """(ia, ib, g): sums of products of the row arrays' entries.
+    """(ia, ib, g), ia <= ib: sums of products of the row arrays' entries.
 
     Features are many and runs are few, so every task adds up X'X of its own rows
-    and only run x run partial sums are shuffled.
+    and only the upper triangle of run x run partial sums is shuffled.
     """
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -72,8 +68,8 @@ def _gram_cells(rows: DataFrame, n: int) -> DataFrame:
             if len(pdf):
                 m = np.stack(pdf["v"].to_numpy())
                 total += m.T @ m
-        ia, ib = np.indices((n, n))
-        yield pd.DataFrame({"ia": ia.ravel(), "ib": ib.ravel(), "g": total.ravel()})
+        ia, ib = np.triu_indices(n)
+        yield pd.DataFrame({"ia": ia, "ib": ib, "g": total[ia, ib]})
 
     return (
         rows.mapInPandas(partial, "ia int, ib int, g double")
@@ -81,18 +77,27 @@ def _gram_cells(rows: DataFrame, n: int) -> DataFrame:
     )
 
 
+def _run_names(df: DataFrame, run: str) -> DataFrame:
+    """(run, i): the runs by name, numbered from 0 like the entries of the row arrays."""
+    # ordered by one window: one short name for each measurement of the study
+    order = Window.orderBy(run)
+    return df.select(run).distinct().select(F.col(run), (F.row_number().over(order) - 1).alias("i"))
+
+
 def run_gram(
     df: DataFrame, run: str, feature: str, value: str, scale: bool = False
 ) -> DataFrame:
     """(run_a, run_b, g): inner products of runs over centred complete features."""
-    runs = _run_list(df, run)
-    sums = _gram_cells(_centred_rows(df, run, feature, value, len(runs), scale), len(runs))
-    names = F.array(*[F.lit(r) for r in runs])
-    return sums.select(
-        F.element_at(names, F.col("ia") + 1).alias("run_a"),
-        F.element_at(names, F.col("ib") + 1).alias("run_b"),
-        "g",
+    names = cut_lineage(_run_names(df, run))
+    n = names.count()
+    sums = _gram_cells(_centred_rows(df, run, feature, value, n, scale), n)
+    both = F.when(F.col("ia") == F.col("ib"), F.array(F.struct("ia", "ib"))).otherwise(
+        F.array(F.struct("ia", "ib"), F.struct(F.col("ib").alias("ia"), F.col("ia").alias("ib")))
     )
+    cells = sums.select(F.explode(both).alias("c"), "g").select("c.ia", "c.ib", "g")
+    a = names.select(F.col(run).alias("run_a"), F.col("i").alias("ia"))
+    b = names.select(F.col(run).alias("run_b"), F.col("i").alias("ib"))
+    return key_join(key_join(cells, a, ["ia"], "inner"), b, ["ib"], "inner").select("run_a", "run_b", "g")
 
 
 def zero_variance_features(df: DataFrame, run: str, feature: str, value: str) -> DataFrame:
@@ -108,30 +113,31 @@ def zero_variance_features(df: DataFrame, run: str, feature: str, value: str) ->
 
 def run_pca(
     df: DataFrame, run: str, feature: str, value: str, scale: bool = False,
-    components: int | None = None, max_gram_runs: int = MAX_GRAM_RUNS,
+    components: int | None = None, method: str = "gram",
 ) -> DataFrame:
     """Scores per run and component with the component's share of variance.
 
-    The eigenvectors of the run x run matrix give the scores.  With more than
-    ``max_gram_runs`` runs Spark's distributed SVD gives the leading
-    ``components`` instead, with the same scores and shares.  Signs are fixed: the
-    score of largest size is positive.
+    The caller names the method, at any size.  ``gram``: the eigenvectors of the run x
+    run matrix, whose n x n numbers come to the driver, as the n scores of each component
+    do.  ``svd``: Spark's distributed SVD of the feature rows for the leading
+    ``components``, for studies of very many runs.  Both give the same scores and shares.
+    Signs are fixed: the score of largest size is positive.
     """
+    if method not in ("gram", "svd"):
+        raise ValueError("method is gram or svd")
     spark = df.sparkSession
     runs = _run_list(df, run)
     n = len(runs)
     rows = _centred_rows(df, run, feature, value, n, scale)
-    if n <= max_gram_runs:
+    if method == "gram":
         g = np.zeros((n, n))
-        cells = _gram_cells(rows, n).toPandas()  # n x n numbers
-        g[cells["ia"], cells["ib"]] = cells["g"]
-        vals, vecs = np.linalg.eigh((g + g.T) / 2)
+        cells = _gram_cells(rows, n).toPandas()
+        g[cells["ia"], cells["ib"]] = g[cells["ib"], cells["ia"]] = cells["g"]
+        vals, vecs = np.linalg.eigh(g)
         vals, vecs = np.maximum(vals[::-1], 0.0), vecs[:, ::-1]
         total = float(vals.sum())
     else:
-        if components is None:
-            raise ValueError("with this many runs, say how many components are wanted")
-        vals, vecs, total = _leading_components(rows, components)
+        vals, vecs, total = _leading_components(rows, components or n)
     k = min(n, components or n, len(vals))
     out = []
     for j in range(k):
@@ -158,7 +164,84 @@ def _leading_components(rows: DataFrame, k: int):
 
 # --- Ward clusters ------------------------------------------------------------
 
-MAX_CENTRES = 2000
+#: clusters whose nearest neighbours are looked up together, and that one task can finish
+WARD_BLOCK = 512
+
+
+def _nearest(state: DataFrame, size: int) -> DataFrame:
+    """(id, other, height): each cluster's nearest one by Ward's distance.
+
+    Clusters are packed in blocks, and every block meets every other in a task of its
+    own, which sends one candidate for each cluster; ties go to the smaller id.
+    """
+    blocks = max(1, -(-size // WARD_BLOCK))
+    state = state.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    asked = state.select(F.col("b").alias("p"), every.alias("q"), F.lit(0).alias("side"), "id", "x", "w")
+    given = state.select(every.alias("p"), F.col("b").alias("q"), F.lit(1).alias("side"), "id", "x", "w")
+
+    def best(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = pdf[pdf.side == 0].sort_values("id"), pdf[pdf.side == 1].sort_values("id")
+        if not len(a) or not len(b):
+            return pd.DataFrame({"id": [], "other": [], "height": []})
+        x, y = np.stack(a.x.to_numpy()), np.stack(b.x.to_numpy())
+        w, v = a.w.to_numpy()[:, None], b.w.to_numpy()[None, :]
+        d = ((x[:, None, :] - y[None, :, :]) ** 2).sum(2) * (w * v / (w + v))
+        d[a.id.to_numpy()[:, None] == b.id.to_numpy()[None, :]] = np.inf
+        j = d.argmin(1)
+        height = d[np.arange(len(a)), j]
+        out = pd.DataFrame({"id": a.id.to_numpy(), "other": b.id.to_numpy()[j], "height": height})
+        return out[np.isfinite(height)]
+
+    met = asked.unionByName(given).groupBy("p", "q").applyInPandas(best, "id long, other long, height double")
+    nearest = F.min(F.struct("height", "other")).alias("m")
+    return met.groupBy("id").agg(nearest).select("id", "m.other", "m.height")
+
+
+def ward_merges(points: DataFrame) -> DataFrame:
+    """(child, parent, height): the whole Ward hierarchy of (id, x, w).
+
+    Ward's distance is reducible, so clusters that are each other's nearest can merge at
+    once without a change of the hierarchy.  Every round merges all such pairs as
+    DataFrames; the last WARD_BLOCK clusters are merged pair by pair in one task.
+    """
+    state = cut_lineage(points)
+    merges = []
+    size = state.count()
+    while size > WARD_BLOCK:
+        near = cut_lineage(_nearest(state, size))
+        back = near.select(F.col("id").alias("other"), F.col("other").alias("id"))
+        pairs = near.join(back, ["id", "other"]).where("id < other")
+        pairs = cut_lineage(pairs.select(F.col("id").alias("parent"), F.col("other").alias("child"), "height"))
+        merges.append(pairs.select("child", "parent", "height"))
+        home = pairs.select(F.col("child").alias("id"), "parent")
+        moved = key_join(state, home, ["id"], "left").withColumn("id", F.coalesce("parent", "id"))
+        weighed = moved.select("id", "w", F.transform("x", lambda v: v * F.col("w")).alias("s"))
+        total = F.aggregate(
+            F.collect_list("s"), F.transform(F.first("s"), lambda v: v * 0.0), lambda t, v: F.zip_with(t, v, lambda p, q: p + q)
+        )  # two clusters at most
+        state = weighed.groupBy("id").agg(F.sum("w").alias("w"), total.alias("s"))
+        state = cut_lineage(state.select("id", F.transform("s", lambda v: v / F.col("w")).alias("x"), "w"))
+        size = state.count()
+
+    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        ids, x, w = pdf.id.to_numpy(), np.stack(pdf.x.to_numpy()), pdf.w.to_numpy(float)
+        out = []
+        while len(ids) > 1:
+            d = ((x[:, None, :] - x[None, :, :]) ** 2).sum(2) * (w[:, None] * w[None, :] / (w[:, None] + w[None, :]))
+            d[np.tril_indices(len(ids))] = np.inf
+            i, j = divmod(int(d.argmin()), len(ids))
+            out.append((ids[j], ids[i], d[i, j]))
+            x[i] = (x[i] * w[i] + x[j] * w[j]) / (w[i] + w[j])
+            w[i] += w[j]
+            ids, x, w = np.delete(ids, j), np.delete(x, j, 0), np.delete(w, j)
+        return pd.DataFrame(out, columns=["child", "parent", "height"])
+
+    last = state.groupBy(F.lit(0).alias("one")).applyInPandas(finish, "child long, parent long, height double")
+    for m in merges:
+        last = last.unionByName(m)
+    return last
 
 
 def ward_labels(points: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
@@ -203,60 +286,33 @@ def ward_labels(points: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
     return np.unique(member, return_inverse=True)[1]
 
 
-def ward_clusters(
-    df: DataFrame, key: str, features: Sequence[str], k: int, max_centres: int = MAX_CENTRES,
-    seed: int = 1,
-) -> DataFrame:
+def ward_clusters(df: DataFrame, key: str, features: Sequence[str], k: int) -> DataFrame:
     """Ward (squared-distance) clusters cut at ``k``: (key, cluster).
 
-    Equal rows are one weighted point.  Up to ``max_centres`` distinct rows the
-    result is the exact hierarchy.  Beyond it, distributed k-means first makes
-    ``max_centres`` weighted centres; the hierarchy is built on those and labels go
-    back by join.  Clusters are numbered by size, then by centre.
+    Equal rows are one weighted point.  The exact hierarchy is built at every size, and
+    all but its ``k - 1`` highest merges are taken.  Clusters are numbered by size, then
+    by centre.
     """
     cols = list(features)
-    points = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_w")).persist()
-    few = points.limit(max_centres + 1).count() <= max_centres
-    spark = df.sparkSession
-    fields = [f"`{c}` double" for c in cols]
-    if few:
-        local = points.toPandas()
-        points.unpersist()
-        labels = _canonical(local[cols].to_numpy(float), local["_w"].to_numpy(float), k)
-        table = spark.createDataFrame(
-            [tuple(map(float, p)) + (int(c),) for p, c in zip(local[cols].to_numpy(float), labels)],
-            ", ".join([*fields, "cluster int"]),
-        )
-        return null_safe_join(
-            df.select(key, *[F.col(c).cast("double").alias(c) for c in cols]),
-            F.broadcast(table), cols, "inner",
-        ).select(key, "cluster")
-    vec = VectorAssembler(inputCols=cols, outputCol="_x")
-    model = KMeans(
-        k=max_centres, seed=seed, featuresCol="_x", predictionCol="_centre", weightCol="_w",
-        initSteps=2, maxIter=20,
-    ).fit(vec.transform(points))
-    points.unpersist()
-    placed = model.transform(vec.transform(df.select(key, *cols)))
-    means = [F.avg(c).alias(c) for c in cols]
-    # at most max_centres rows
-    local = placed.groupBy("_centre").agg(F.count(F.lit(1)).alias("_w"), *means).toPandas()
-    labels = _canonical(local[cols].to_numpy(float), local["_w"].to_numpy(float), k)
-    table = spark.createDataFrame(
-        [(int(a), int(b)) for a, b in zip(local["_centre"], labels)], "_centre int, cluster int"
-    )
-    return placed.join(F.broadcast(table), "_centre").select(key, "cluster")
-
-
-def _canonical(points: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
-    """Ward labels renumbered from 1 by falling size, then by centre."""
-    if not len(points):
-        return np.zeros(0, dtype=int)
-    order = np.lexsort(points.T[::-1])
-    raw = np.empty(len(points), dtype=int)
-    raw[order] = ward_labels(points[order], weights[order], k)
-    ids = np.unique(raw)
-    size = {c: weights[raw == c].sum() for c in ids}
-    centre = {c: tuple(np.average(points[raw == c], axis=0, weights=weights[raw == c])) for c in ids}
-    rank = {c: i + 1 for i, c in enumerate(sorted(ids, key=lambda c: (-size[c], centre[c])))}
-    return np.array([rank[c] for c in raw])
+    x = F.array(*[F.col(c).cast("double") for c in cols])
+    rows = df.select(key, x.alias("x"))
+    points = cut_lineage(rows.groupBy("x").agg(F.count(F.lit(1)).cast("double").alias("w")))
+    points = cut_lineage(points.withColumn("id", F.xxhash64("x")))
+    n = points.count()
+    merges = cut_lineage(ward_merges(points.select("id", "x", "w")))
+    taken = merges.orderBy("height", "child").limit(max(0, n - k)).select(F.col("child").alias("id"), "parent")
+    roots = cut_lineage(key_join(points.select("id"), taken, ["id"], "left").select("id", F.coalesce("parent", "id").alias("root")))
+    while True:  # every jump halves the way to the root
+        up = roots.select(F.col("id").alias("root"), F.col("root").alias("above"))
+        roots = cut_lineage(null_safe_join(roots, up, ["root"], "inner").select("id", "above", (F.col("above") != F.col("root")).alias("went")))
+        moved = roots.where("went").count()
+        roots = roots.select("id", F.col("above").alias("root"))
+        if not moved:
+            break
+    placed = key_join(points, roots, ["id"], "inner")
+    means = F.array(*[F.sum(F.col("x")[i] * F.col("w")) / F.sum("w") for i in range(len(cols))])
+    order = Window.orderBy(F.col("size").desc(), "centre")  # k rows
+    clusters = placed.groupBy("root").agg(F.sum("w").alias("size"), means.alias("centre"))
+    clusters = clusters.select("root", F.row_number().over(order).alias("cluster"))
+    labels = key_join(placed.select("x", "root"), clusters, ["root"], "inner").select("x", "cluster")
+    return null_safe_join(rows, labels, ["x"], "inner").select(key, "cluster")

@@ -619,6 +619,17 @@ def run_pca(spark, folder):
     return rounded(out, score=5, variance_percent=5)
 
 
+@query("WITH " + GRAM_SQL + """
+SELECT a.run AS run_a, b.run AS run_b, round(sum(a.d * b.d), 4) + 0.0 AS g FROM cen a JOIN cen b USING (protein) GROUP BY a.run, b.run""")
+def run_pca_products(spark, folder):
+    """Products of the runs' scores over all components give the runs' inner products."""
+    s = multivariate.run_pca(v.abundance(spark, folder), "run", "protein", "x")
+    a = s.select(F.col("run").alias("run_a"), "component", F.col("score").alias("a"))
+    b = s.select(F.col("run").alias("run_b"), "component", F.col("score").alias("b"))
+    g = a.join(b, "component").groupBy("run_a", "run_b").agg((F.round(F.sum(F.col("a") * F.col("b")), 4) + 0.0).alias("g"))
+    return g
+
+
 @query()
 def pca_ellipse(spark, folder):
     """Ellipse table of the first two components per group."""

@@ -79,11 +79,11 @@ def test_pca_matches_svd(spark):
     assert np.allclose(parts[0], parts[1])
 
 
-def test_pca_beyond_the_matrix_limit(spark):
+def test_pca_by_either_method(spark):
     rng = np.random.default_rng(13)
     df = table(spark, rng.normal(0, 1, (8, 30)) * rng.uniform(0.2, 4, 30))
     a = mv.run_pca(df, "run", "f", "x", components=3).toPandas()
-    b = mv.run_pca(df, "run", "f", "x", components=3, max_gram_runs=4).toPandas()
+    b = mv.run_pca(df, "run", "f", "x", components=3, method="svd").toPandas()
     assert np.allclose(a.score, b.score, atol=1e-6)
     assert np.allclose(a.variance_percent, b.variance_percent, atol=1e-6)
 
@@ -118,9 +118,20 @@ def test_ward_against_brute_force(spark):
         assert sizes == sorted(sizes, reverse=True) and sorted(got) == list(range(1, k + 1))
 
 
-def test_ward_through_kmeans(spark):
+def test_ward_in_rounds(spark, monkeypatch):
+    """Merges of mutual nearest clusters, in blocks, give the hierarchy of single merges."""
+    monkeypatch.setattr(mv, "WARD_BLOCK", 16)
     rng = np.random.default_rng(5)
-    pts = np.concatenate([rng.normal(0, 0.3, (120, 2)), rng.normal(8, 0.3, (60, 2))])
+    pts = np.concatenate([rng.normal(0, 0.3, (60, 2)), rng.normal(3, 0.6, (30, 2)), [[9, 9]] * 3])
     df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(pts)], "i int, a double, b double")
-    rows = {r.i: r.cluster for r in mv.ward_clusters(df, "i", ["a", "b"], 2, max_centres=12).collect()}
-    assert {rows[i] for i in range(120)} == {1} and {rows[i] for i in range(120, 180)} == {2}
+    for k in (1, 5):
+        got = {}
+        for r in mv.ward_clusters(df, "i", ["a", "b"], k).collect():
+            got.setdefault(r.cluster, set()).add(r.i)
+        distinct, w = np.unique(pts, axis=0, return_counts=True)
+        labels = mv.ward_labels(distinct, w.astype(float), k)
+        where = {tuple(p): c for p, c in zip(distinct, labels)}
+        want = {}
+        for i, p in enumerate(pts):
+            want.setdefault(where[tuple(p)], set()).add(i)
+        assert {frozenset(g) for g in got.values()} == {frozenset(g) for g in want.values()}
