@@ -22,6 +22,8 @@ from sitefold.operators.order_stats import median_by
 from sitefold.session import cut_lineage
 
 MAX_CELLS = 1_000_000
+# Rounds and least step of the censored fit, for proteins of any size.
+MAX_ROUNDS, TOLERANCE = 1000, 1e-9
 
 
 def log2_normalize_medians(
@@ -90,9 +92,17 @@ def _log_likelihood(y, cut, seen, mu, log_sd) -> float:
 
 
 def fit_censored(
-    y: np.ndarray, cut: np.ndarray, seen: np.ndarray, max_iter: int = 1000, tol: float = 1e-9
+    y: np.ndarray, cut: np.ndarray, seen: np.ndarray, max_iter: int = MAX_ROUNDS, tol: float = TOLERANCE
 ) -> np.ndarray:
-    """Fitted means of a feature x run table with left-censored cells.
+    """Fitted means of ``fit_censored_checked``."""
+    return fit_censored_checked(y, cut, seen, max_iter, tol)[0]
+
+
+def fit_censored_checked(
+    y: np.ndarray, cut: np.ndarray, seen: np.ndarray, max_iter: int = MAX_ROUNDS, tol: float = TOLERANCE
+) -> tuple[np.ndarray, bool]:
+    """Fitted means of a feature x run table with left-censored cells, and whether the
+    steps came below ``tol``.
 
     Normal errors, additive feature and run effects, by EM: the expected table is
     complete, so each maximisation is row mean + column mean - grand mean.  Steps
@@ -106,7 +116,7 @@ def fit_censored(
         mu2, s2 = _em_step(y, cut, seen, mu1, s1)
         moved = max(float(np.abs(mu2 - mu1).max()), abs(s2 - s1))
         if moved < tol:
-            return mu2
+            return mu2, True
         r_mu, r_s = mu1 - mu, s1 - log_sd
         v_mu, v_s = mu2 - mu1 - r_mu, s2 - s1 - r_s
         bend = math.sqrt(float((v_mu**2).sum()) + v_s**2)
@@ -119,7 +129,7 @@ def fit_censored(
                 far_s = min(max(far_s, -13.0), 13.0)
                 if _log_likelihood(y, cut, seen, far_mu, far_s) >= _log_likelihood(y, cut, seen, mu2, s2):
                     mu, log_sd = far_mu, far_s
-    return mu
+    return mu, False
 
 
 def _matrix(pdf: pd.DataFrame, feature: str, run: str):
@@ -135,20 +145,24 @@ def _fill(shape, i, j, values) -> np.ndarray:
     return out
 
 
-def _filled(pdf: pd.DataFrame, feature: str, run: str, value: str):
+def _filled(
+    pdf: pd.DataFrame, feature: str, run: str, value: str, max_rounds: int = MAX_ROUNDS, tol: float = TOLERANCE
+):
     """The feature x run table of one protein with censored cells fitted."""
+    converged = True
     rows, cols, i, j = _matrix(pdf, feature, run)
     y = _fill((len(rows), len(cols)), i, j, pdf[value].to_numpy(float))
     seen = ~np.isnan(y)
     if not seen.all():
         cut = _fill(y.shape, i, j, pdf["_cut"].to_numpy(float))
-        y = np.where(seen, y, fit_censored(np.where(seen, y, 0.0), cut, seen))
-    return rows, cols, y, seen
+        mu, converged = fit_censored_checked(np.where(seen, y, 0.0), cut, seen, max_rounds, tol)
+        y = np.where(seen, y, mu)
+    return rows, cols, y, seen, converged
 
 
-def _impute_group(protein: str, feature: str, run: str, value: str):
+def _impute_group(protein: str, feature: str, run: str, value: str, max_rounds: int, tol: float):
     def impute(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, cols, y, seen = _filled(pdf, feature, run, value)
+        rows, cols, y, seen, converged = _filled(pdf, feature, run, value, max_rounds, tol)
         return pd.DataFrame(
             {
                 protein: [pdf[protein].iloc[0]] * y.size,
@@ -156,6 +170,7 @@ def _impute_group(protein: str, feature: str, run: str, value: str):
                 run: np.tile(cols, len(rows)),
                 value: y.ravel(),
                 "imputed": ~seen.ravel(),
+                "converged": converged,
             }
         )
 
@@ -202,14 +217,21 @@ def split_by_size(df: DataFrame, protein: str, max_cells: int) -> tuple[DataFram
 
 def impute_censored(
     df: DataFrame, protein: str, feature: str, run: str, value: str, max_cells: int = MAX_CELLS,
-    max_rounds: int = 200, tol: float = 1e-6,
+    max_rounds: int = MAX_ROUNDS, tol: float = TOLERANCE,
 ) -> DataFrame:
-    """Complete (protein, feature, run) table; ``imputed`` marks fitted values."""
+    """Complete (protein, feature, run) table; ``imputed`` marks fitted values.
+
+    ``converged`` says whether the protein's fit came below ``tol`` within
+    ``max_rounds``; both hold for proteins of any size.  A protein of more than
+    ``max_cells`` cells takes the steps as distributed aggregates.
+    """
     grid = censored_grid(df, protein, feature, run, value)
     small, large = split_by_size(grid, protein, max_cells)
     types = {f.name: f.dataType.simpleString() for f in grid.schema.fields}
-    schema = f"`{protein}` {types[protein]}, `{feature}` {types[feature]}, `{run}` {types[run]}, `{value}` double, imputed boolean"
-    out = small.groupBy(protein).applyInPandas(_impute_group(protein, feature, run, value), schema)
+    schema = f"`{protein}` {types[protein]}, `{feature}` {types[feature]}, `{run}` {types[run]}, `{value}` double, imputed boolean, converged boolean"
+    out = small.groupBy(protein).applyInPandas(
+        _impute_group(protein, feature, run, value, max_rounds, tol), schema
+    )
     if large is None:
         return out
     big = _impute_distributed(large, protein, feature, run, value, max_rounds, tol)
@@ -302,12 +324,12 @@ def _impute_distributed(df, protein, feature, run, value, max_rounds, tol) -> Da
             F.greatest("_moved", shift, F.abs(F.col("_sd") - F.col("_sd0")))
         )
         moved = fresh.agg(F.max(step)).first()[0]
-        params = fresh.select(protein, "_b", "_sd")
+        params = fresh.select(protein, "_b", "_sd", (step < tol).alias("_done"))
         if moved < tol:
             break
     done = null_safe_join(null_safe_join(state, params, [protein]), names, [protein])
     cells = done.select(
-        protein, feature, "_a",
+        protein, feature, "_a", "_done",
         F.explode(F.arrays_zip(F.col("_runs").alias("r"), F.col("_y").alias("y"), F.col("_b").alias("b"))).alias("_c"),
     )
     # a NaN that went through Arrow comes back as a null
@@ -316,6 +338,7 @@ def _impute_distributed(df, protein, feature, run, value, max_rounds, tol) -> Da
         protein, feature, F.col("_c.r").alias(run),
         F.when(gone, F.col("_a") + F.col("_c.b")).otherwise(F.col("_c.y")).alias(value),
         gone.alias("imputed"),
+        F.col("_done").alias("converged"),
     )
 
 
@@ -393,7 +416,7 @@ def tukey_median_polish(
 
 def _fit_and_polish_group(protein: str, feature: str, run: str, value: str, out: str):
     def run_abundance(pdf: pd.DataFrame) -> pd.DataFrame:
-        _, runs, y, _ = _filled(pdf, feature, run, value)
+        _, runs, y, _, _ = _filled(pdf, feature, run, value)
         overall, _, cols = polish(y)
         return pd.DataFrame(
             {protein: [pdf[protein].iloc[0]] * len(runs), run: runs, out: overall + cols}
@@ -496,9 +519,9 @@ def summarize_abundance(
     )
     if large is None:
         return res
-    fitted = _impute_distributed(large, protein, feature, run, "_x", 200, 1e-6)
+    fitted = _impute_distributed(large, protein, feature, run, "_x", MAX_ROUNDS, TOLERANCE)
     big = _polish_distributed(
-        fitted.drop("imputed"), protein, feature, run, "_x", out, 10, 0.01
+        fitted.drop("imputed", "converged"), protein, feature, run, "_x", out, 10, 0.01
     )
     return res.unionByName(big)
 

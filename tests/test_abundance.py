@@ -69,6 +69,8 @@ def test_impute_grouped_path(spark):
     key = ["protein", "feature", "run"]
     out = ab.impute_censored(df, *key, "x").toPandas()
     assert out.imputed.sum() > 0 and len(out) == out.drop_duplicates(key).shape[0]
+    assert out.converged.all()
+    assert not ab.impute_censored(df, *key, "x", max_rounds=1).toPandas().converged.all()
     back = out[~out.imputed].merge(df.toPandas(), on=key)
     assert np.allclose(back.x_x, back.x_y)
 
