@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -492,14 +491,6 @@ def _polish_distributed(df, protein, feature, run, value, out, max_iter, eps) ->
 # --- summarisation ------------------------------------------------------------
 
 
-@dataclass(frozen=True)
-class Study:
-    """The site table and the protein table of one study."""
-
-    ptm: DataFrame
-    protein: DataFrame
-
-
 def summarize_abundance(
     df: DataFrame, protein: str, feature: str, run: str, value: str,
     out: str = "log_intensity", impute: bool = True, max_cells: int = MAX_CELLS,
@@ -524,12 +515,3 @@ def summarize_abundance(
         fitted.drop("imputed", "converged"), protein, feature, run, "_x", out, 10, 0.01
     )
     return res.unionByName(big)
-
-
-def summarize_study(
-    study: Study, protein: str, feature: str, run: str, value: str
-) -> Study:
-    return Study(
-        summarize_abundance(study.ptm, protein, feature, run, value),
-        summarize_abundance(study.protein, protein, feature, run, value),
-    )

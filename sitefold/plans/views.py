@@ -8,12 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sitefold.operators.peptides import Event
+from sitefold.fixed_values import ARG_SER, PRO_ALA, PRO_SER
 
-# Substitution events: names, mass tags and residues are fixed values of the data.
-PRO_SER = Event("ProSer", "P[-10.0207]", "P", "P to S")
-PRO_ALA = Event("ProAla", "P[-26.0156]", "P", "P to A")
-ARG_SER = Event("ArgSer", "R[-69.0691]", "R", "R to S")
 EVENTS = [PRO_SER, PRO_ALA, ARG_SER]
 SAMPLES = ["Ctrl", "ProAla", "ProSer", "ArgSer"]
 

@@ -7,14 +7,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql.types import (
-    DoubleType, IntegerType, LongType, StringType, StructField, StructType,
-)
-
-
-def _schema(**cols) -> StructType:
-    return StructType([StructField(n, t, True) for n, t in cols.items()])
-
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType
 
 S, D, I, L = StringType(), DoubleType(), IntegerType(), LongType()
 
