@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sitefold.llm.common import columns_of
 from sitefold.operators.joins import null_safe_join
+from sitefold.session import cut_lineage
 
 #: a boundary follows a line where the rolling hash is a multiple of this
 DIVISOR = 4
@@ -18,25 +19,46 @@ def line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line), 1, 8), 16, 10).cast("long")
 
 
-def chunked(frame: DataFrame, divisor: int = DIVISOR) -> DataFrame:
-    """Add ``chunks``: array of (no, n, body), which joined by line feeds are the text.
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once.
+
+    A column made in an earlier select would do, but the optimizer may write its
+    expression into a lambda, where it is computed again for each element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def chunks_of(text: Column, divisor: int = DIVISOR) -> Column:
+    """Chunks of a text: array of (no, n, body), which joined by line feeds are the text.
 
     A rolling hash over two neighbouring lines' hashes decides where chunks end, so
     lines put in or taken out elsewhere don't shift the boundaries.
     """
-    frame = frame.withColumn("lines", F.split("text", "\n", -1))
-    frame = frame.withColumn("hashes", F.transform("lines", line_hash))
-    before = F.concat(F.array(F.lit(0).cast("long")), F.slice("hashes", 1, F.size("hashes") - 1))
-    frame = frame.withColumn("rolled", F.zip_with("hashes", before, lambda h, b: (h + 31 * b) % divisor))
-    last = F.size("rolled") - 1
-    ends = F.array_compact(F.transform("rolled", lambda r, i: F.when((r == 0) | (i == last), i + 1)))
-    frame = frame.withColumn("ends", ends)
-    starts = F.concat(F.array(F.lit(0)), F.slice("ends", 1, F.size("ends") - 1))
-    frame = frame.withColumn("cuts", F.zip_with(starts, "ends", lambda s, e: F.struct(s.alias("s"), (e - s).alias("n"))))
-    chunk = lambda c, i: F.struct(
-        i.alias("no"), c["n"].alias("n"), F.array_join(F.slice("lines", c["s"] + 1, c["n"]), "\n").alias("body")
-    )
-    return frame.withColumn("chunks", F.transform("cuts", chunk)).drop("lines", "hashes", "rolled", "ends", "cuts")
+
+    def rolled(lines: Column) -> Column:
+        def roll(hashes: Column) -> Column:
+            before = F.concat(F.array(F.lit(0).cast("long")), F.slice(hashes, 1, F.size(hashes) - 1))
+            return F.zip_with(hashes, before, lambda h, b: (h + 31 * b) % divisor)
+
+        return let(F.transform(lines, line_hash), roll)
+
+    def ends(rolls: Column) -> Column:
+        """How many lines stand before each boundary."""
+        last = F.size(rolls) - 1
+        return F.filter(F.transform(rolls, lambda r, i: F.when((r == 0) | (i == last), i + 1)), lambda e: e.isNotNull())
+
+    def cut(lines: Column, stops: Column) -> Column:
+        starts = F.concat(F.array(F.lit(0)), F.slice(stops, 1, F.size(stops) - 1))
+        places = F.zip_with(starts, stops, lambda s, e: F.struct(s.alias("s"), (e - s).alias("n")))
+        body = lambda p: F.array_join(F.slice(lines, p["s"] + 1, p["n"]), "\n")
+        return F.transform(places, lambda p, i: F.struct(i.alias("no"), p["n"].alias("n"), body(p).alias("body")))
+
+    return let(F.split(text, "\n", -1), lambda lines: let(let(rolled(lines), ends), lambda stops: cut(lines, stops)))
+
+
+def chunked(frame: DataFrame, divisor: int = DIVISOR) -> DataFrame:
+    """Add the text's ``chunks``; null for a missing text."""
+    return frame.withColumn("chunks", F.when(F.col("text").isNotNull(), chunks_of(F.col("text"), divisor)))
 
 
 def dedup_lines(
@@ -62,37 +84,33 @@ def dedup_lines(
     their text, and only for them the bytes decide.
     """
     whole = columns_of(docs, doc_id=doc_id, text=text, **{f"keep {c}": c for c in keep}).withColumn("row", F.xxhash64("text"))
-    frame = whole.select("doc_id", "text", "row")
-    cut = chunked(frame.filter(F.col("text").isNotNull()), divisor)
-    pieces = cut.select("doc_id", "row", F.explode("chunks").alias("c")).filter(F.col("c.n") >= least_lines)
-    pieces = pieces.select("doc_id", "row", "c.no", "c.body", F.xxhash64("c.body").alias("hash"))
+    frame = whole.select("doc_id", "row", "text").filter(F.col("text").isNotNull())
+    pieces = chunked(frame, divisor).select("doc_id", "row", F.explode_outer("chunks").alias("c")).filter(F.col("c.n") >= least_lines)
+    pieces = cut_lineage(pieces.select("doc_id", "row", "c.no", F.xxhash64("c.body").alias("hash")))
     # a chunk repeats if another document has it or its own document has it again
     place = F.struct("doc_id", "row", "no")
     first = F.min(place).alias("first")
     hashes = pieces.groupBy("hash").agg(first, F.max(place).alias("last"))
     hashes = hashes.filter(~F.col("first").eqNullSafe(F.col("last"))).select("hash")
-    narrow = pieces.select("hash", "doc_id", "row", "no")
-    flagged = null_safe_join(narrow, hashes, ["hash"], "left_semi")
-    flagged = flagged.groupBy("doc_id", "row").agg(F.collect_set("no").alias("nos"))
-    # the bytes of flagged chunks, one row for each distinct chunk of a document
-    marked = null_safe_join(frame.filter(F.col("text").isNotNull()).dropDuplicates(["doc_id", "row"]), flagged, ["doc_id", "row"], "inner")
-    bodies = chunked(marked, divisor).select(
-        "doc_id", "row", F.explode(F.filter("chunks", lambda c: F.array_contains("nos", c["no"]))).alias("c")
-    )
-    bodies = bodies.select("doc_id", "row", "c.no", "c.body")
+    flagged = null_safe_join(pieces, hashes, ["hash"], "left_semi").groupBy("doc_id", "row").agg(F.collect_set("no").alias("nos"))
+    # of texts with flagged chunks, the bytes of these
+    marked = chunked(null_safe_join(frame, flagged, ["doc_id", "row"], "inner"), divisor)
+    wanted = F.filter("chunks", lambda c: F.array_contains("nos", c["no"]))
+    bodies = cut_lineage(marked.select("doc_id", "row", F.explode_outer(wanted).alias("c")).select("doc_id", "row", "c.no", "c.body"))
     firsts = bodies.groupBy("body").agg(first)
     later = null_safe_join(bodies, firsts, ["body"], "inner").filter(~F.col("first").eqNullSafe(place))
     gone = later.groupBy("doc_id", "row").agg(F.collect_set("no").alias("gone"))
-    out = chunked(null_safe_join(whole, gone, ["doc_id", "row"], "left"), divisor)
-    kept = F.filter("chunks", lambda c: F.col("gone").isNull() | ~F.array_contains("gone", c["no"]))
-    out = out.withColumn("kept", kept)
-    lines = lambda chunks: F.coalesce(F.aggregate(chunks, F.lit(0), lambda s, c: s + c["n"]), F.lit(1))
+    # texts that lose nothing are not cut again
+    out = null_safe_join(whole.withColumnRenamed("text", "whole"), gone, ["doc_id", "row"], "left")
+    out = chunked(out.withColumn("text", F.when(F.col("gone").isNotNull(), F.col("whole"))), divisor)
+    out = out.withColumn("kept", F.filter("chunks", lambda c: ~F.array_contains("gone", c["no"])))
+    lines = lambda chunks: F.aggregate(chunks, F.lit(0), lambda s, c: s + c["n"])
     return out.select(
         "doc_id",
-        "text",
+        F.col("whole").alias("text"),
         *(F.col(f"`keep {c}`").alias(c) for c in keep),
-        F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform("kept", lambda c: c["body"]), "\n")).alias("kept_text"),
-        lines("chunks").cast("long").alias("n_lines"),
-        (lines("chunks") - lines("kept")).cast("long").alias("n_removed"),
-        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_chunks_removed"),
+        F.when(F.col("gone").isNull(), F.col("whole")).otherwise(F.array_join(F.transform("kept", lambda c: c["body"]), "\n")).alias("kept_text"),
+        F.coalesce(F.size(F.split("whole", "\n", -1)), F.lit(1)).cast("long").alias("n_lines"),
+        F.coalesce(lines("chunks") - lines("kept"), F.lit(0)).cast("long").alias("n_removed"),
+        F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_chunks_removed"),
     )
