@@ -135,3 +135,12 @@ def test_ward_in_rounds(spark, monkeypatch):
         for i, p in enumerate(pts):
             want.setdefault(where[tuple(p)], set()).add(i)
         assert {frozenset(g) for g in got.values()} == {frozenset(g) for g in want.values()}
+
+
+def test_density_of_a_constant_group(spark):
+    df = spark.createDataFrame([("c", 4.0)] * 5 + [("v", float(i)) for i in range(9)] + [("one", 1.0)], "g string, x double")
+    for trim in (True, False):
+        got = ql.density(df, ["g"], "x", grid=64, trim=trim).toPandas()
+        assert set(got.g) == {"c", "v"}
+    wide = got[got.g == "c"].sort_values("x")
+    assert abs(np.trapezoid(wide.density, wide.x) - 1) < 0.01 and wide.x.min() < 4 < wide.x.max()

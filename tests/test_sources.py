@@ -117,3 +117,26 @@ def test_write(spark, tmp_path, fmt):
     assert sorted(map(tuple, back.collect())) == [("a", 1.5), ("b", None)]
     with pytest.raises(ValueError):
         write_table(df, path, "xlsx")
+
+
+def test_report_filter_has_no_upper_bound(spark):
+    from sitefold.operators.precursors import ReportRules, qc_filter
+
+    nan = float("nan")
+    rows = [(0, 0.001, 0.001, q, c, 0.001, "S") for q, c in [(0.9, 0.8), (1.3, 1.2), (nan, 0.8), (0.9, nan), (0.5, 0.8), (0.9, 0.7)]]
+    df = spark.createDataFrame(
+        rows,
+        "decoy int, q_value double, global_q_value double, quantity_quality double, "
+        "ptm_site_confidence double, global_peptidoform_q_value double, modified_sequence string",
+    )
+    assert sorted(r.quantity_quality for r in qc_filter(df).collect()) == [0.9, 0.9, 0.9, 1.3]
+    assert sorted(r.quantity_quality for r in qc_filter(df, phospho=True).collect()) == [0.9, 1.3]
+    assert qc_filter(df, rules=ReportRules(min_quality=0.4, max_q=0.0001)).count() == 0
+
+
+def test_fasta_keeps_all_records_or_the_first_of_an_id(spark, tmp_path):
+    f = tmp_path / "p.fa"
+    f.write_text(">sp|A1|x\nMK\n>no id\nAA\n>sp|A1|y\nMMM\n>other\nC\n")
+    rows = lambda keep: sorted((r.id or "", r.seq) for r in readers.read_fasta(spark, str(f), readers.PROTEIN_ID, keep=keep).collect())
+    assert rows("all") == [("", "AA"), ("", "C"), ("A1", "MK"), ("A1", "MMM")]
+    assert rows("first") == [("", "AA"), ("", "C"), ("A1", "MK")]
