@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from bisect import bisect_left, insort
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,18 +18,16 @@ from sitefold.session import cut_lineage
 CAPACITY = 4096
 #: rows that are ranked together
 RANK_ROWS = 200_000
-#: white space at which a text can be cut: the tokenizer drops it and no token reaches over it
-_SPACES = str.maketrans("\n\t\r", "   ")
-#: a run of Latin letters and a mark behind it; anything else goes to the whole tokenizer
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
+#: a run of Latin letters between marks; anything else goes to the whole tokenizer
+_PLAIN = re.compile(r"""([("*\[-]*)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?)"*\]-]*)""")
 
 
 class WordEncoder:
     """Token ids of texts by a byte-pair tokenizer that works word by word.
 
     The tokenizer drops white space and treats what stands between as texts of their
-    own, so a text's ids are those of its words in turn.  Ids of words are kept in
-    bounded memos.  A word of Latin letters is one run for the tokenizer: it is lower
+    own, so a text's ids are those of its words in turn.  A word's ids are kept as bytes
+    in bounded memos.  Letters between marks are runs for the tokenizer: each is lower
     cased and given to its model as bytes; every other word takes the whole way.
     """
 
@@ -45,19 +43,28 @@ class WordEncoder:
         self.run = Memo(self._run)
         self.word = Memo(self._word)
 
-    def _run(self, letters: str) -> tuple[int, ...]:
-        text = "".join(self.byte[b] for b in letters.encode())
-        return tuple(t.id for t in self.model.tokenize(text))
+    def _run(self, letters: str) -> bytes:
+        text = letters if letters.isascii() else "".join(self.byte[b] for b in letters.encode())
+        return pack_ids([t.id for t in self.model.tokenize(text)])
 
-    def _word(self, word: str) -> tuple[int, ...]:
+    def _word(self, word: str) -> bytes:
         plain = _PLAIN.fullmatch(word)
         if plain is None:
-            return tuple(self.whole.encode(word, add_special_tokens=False).ids) if word else ()
-        letters, mark = plain.groups()
-        return self.run[letters.lower()] + (self.run[mark] if mark else ())
+            return pack_ids(self.whole.encode(word, add_special_tokens=False).ids) if word else b""
+        before, letters, behind = plain.groups()
+        ids = self.run[letters.lower()]
+        if before:
+            ids = self.run[before] + ids
+        return ids + self.run[behind] if behind else ids
 
-    def ids(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.word.__getitem__, text.translate(_SPACES).split(" "))))
+    def ids(self, text: str) -> bytes:
+        """Little-endian 32-bit ids; the text is cut at white space that the tokenizer drops."""
+        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        return b"".join(map(self.word.__getitem__, words))
+
+
+def pack_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 @lru_cache(maxsize=2)
@@ -86,11 +93,11 @@ def tokenized_pieces(
     """
 
     def run(batches):
-        encoder = _encoder(tokenizer_path)
+        encoder, end = _encoder(tokenizer_path), pack_ids([end_id])
         for batch in batches:
             owner, piece, start, length, crc, data = [], [], [], [], [], []
             for i, t in enumerate(batch.column(1).to_pylist()):
-                ids = np.array([*encoder.ids(t or ""), end_id], dtype="<u4")
+                ids = np.frombuffer(encoder.ids(t or "") + end, dtype="<u4")
                 for p, at in enumerate(range(0, len(ids), capacity)):
                     part = ids[at : at + capacity]
                     owner.append(i)
