@@ -203,10 +203,11 @@ def packed_texts(docs: DataFrame) -> DataFrame:
 def block_links(members: DataFrame, percent: int, k: int) -> DataFrame:
     """Links (a, b) between the roots that meet in large buckets.
 
-    Rows are (hub, block, minor, node, root, n, registers, packed), sorted by hub, block
-    and falling minor.  A block's minor nodes are held, at most about BLOCK_NODES; all
-    members of the hub stream past them.  Estimates go by matrix rows, and whole sets are
-    compared for the pairs they leave, so no pair is ever a row before it is a link.
+    Rows are (hub, block, minor, node, root, packed), sorted by hub, block and falling
+    minor.  A block's minor nodes are held, at most about BLOCK_NODES; all members of the
+    hub stream past them.  Sets and registers are made again from the texts, which move in
+    fewer bytes.  Estimates go by matrix rows, and whole sets are compared for the pairs
+    they leave, so no pair is ever a row before it is a link.
     """
 
     def run(batches):
@@ -214,26 +215,24 @@ def block_links(members: DataFrame, percent: int, k: int) -> DataFrame:
         at = held = None
         for batch in batches:
             found = []
-            for hub, block, minor, node, root, n, registers_, packed in zip(*(c.to_pylist() for c in batch.columns)):
+            for hub, block, minor, node, root, packed in zip(*(c.to_pylist() for c in batch.columns)):
                 if (hub, block) != at:
                     at, held, matrix, sizes = (hub, block), [], None, None
-                own = np.frombuffer(registers_, np.uint16)
+                own = shingle(unpack(packed))
                 if minor:
-                    held.append((node, root, n, own, shingle(unpack(packed))))
+                    held.append((node, root, own))
                     matrix = None
                     continue
                 if matrix is None:
-                    matrix = np.array([h[3] for h in held]).reshape(-1, BUCKETS)
-                    sizes = np.array([h[2] for h in held], dtype=np.int64)
+                    matrix = np.array([registers(h[2]) for h in held]).reshape(-1, BUCKETS)
+                    sizes = np.array([len(h[2]) for h in held], dtype=np.int64)
+                n = len(own)
                 fits = np.minimum(sizes, n) * 100 >= np.maximum(sizes, n) * percent
-                fits &= estimate(matrix, own[None, :], sizes, np.full(len(sizes), n)) >= percent / 100 - SLACK
-                whole = None
+                fits &= estimate(matrix, registers(own)[None, :], sizes, np.full(len(sizes), n)) >= percent / 100 - SLACK
                 for i in np.flatnonzero(fits):
-                    other, other_root, _, _, other_set = held[i]
-                    if other_root != root:
-                        whole = shingle(unpack(packed)) if whole is None else whole
-                        if linked(whole, other_set, percent):
-                            found.append((min(node, other), max(node, other)))
+                    other, other_root, other_set = held[i]
+                    if other_root != root and linked(own, other_set, percent):
+                        found.append((min(node, other), max(node, other)))
             a, b = zip(*found) if found else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
@@ -268,10 +267,11 @@ def near_duplicates(
     frame = frame.select("doc_id", F.xxhash64("text").alias("row"), "text")
     signed = cut_lineage(signatures(frame, shingle))
     # of a node's rows that of the smallest id speaks for it
-    speaker = F.min(F.struct("doc_id", "row")).alias("speaker")
-    speakers = cut_lineage(signed.filter("n > 3").groupBy("node").agg(speaker).select("node", "speaker.*"))
-    nodes = null_safe_join(signed, speakers, ["doc_id", "row", "node"], "left_semi").dropDuplicates(["node"])
-    nodes = cut_lineage(nodes.select("node", "n", "registers", "keys"))
+    speaker = F.struct("doc_id", "row")
+    own = F.min_by(F.struct("n", "registers", "keys"), speaker).alias("own")
+    nodes = signed.filter("n > 3").groupBy("node").agg(F.min(speaker).alias("speaker"), own)
+    nodes = cut_lineage(nodes.select("node", "speaker", "own.*"))
+    speakers = nodes.select("node", "speaker.*")
 
     keys = nodes.select("node", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
@@ -325,8 +325,7 @@ def _unfinished(shared: DataFrame, rooted: DataFrame, nodes: DataFrame, texts: D
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     held = large.filter("minor").select("hub", own.alias("block"), F.lit(1).alias("minor"), "node", "root")
     passing = large.select("hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("minor"), "node", "root")
-    rows = null_safe_join(held.unionByName(passing), nodes.select("node", "n", "registers"), ["node"], "inner")
-    rows = null_safe_join(rows, texts, ["node"], "inner")
-    rows = rows.select("hub", "block", "minor", "node", "root", "n", "registers", "packed")
+    rows = null_safe_join(held.unionByName(passing), texts, ["node"], "inner")
+    rows = rows.select("hub", "block", "minor", "node", "root", "packed")
     rows = rows.repartition("hub", "block").sortWithinPartitions("hub", "block", F.desc("minor"))
     return few.unionByName(block_links(rows, percent, k))
