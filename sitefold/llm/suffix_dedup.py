@@ -26,9 +26,9 @@ from sitefold.session import cut_lineage
 #: bytes whose rolling hash makes a trigger
 GRAM = 16
 #: text bytes that a task parses at once, and for each part of the triggers' exchange
-SHARD_BYTES, PART_BYTES = 16 << 20, 24 << 20
+SHARD_BYTES, PART_BYTES = 8 << 20, 16 << 20
 #: phrases whose suffixes are put in order at once, unless one trigger has more
-ORDER_PHRASES = 50_000
+ORDER_PHRASES = 25_000
 #: a text is parsed in blocks of so many bytes; a key holds a place in its low bits
 BLOCK, PLACE_BITS = 8 << 20, np.uint64(24)
 
@@ -428,11 +428,11 @@ def repeated_substrings(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
     least = rows.groupBy("name").agg(F.min("rank").alias("least"))
     asked = null_safe_join(codes, least, ["name"], "inner").withColumnRenamed("least", "rank")
     packed = _packed(long.select("name", "rank", "text"))
-    texts = null_safe_join(packed, asked, ["name", "rank"], "inner").dropDuplicates(["name"])
+    texts = null_safe_join(packed, asked, ["name", "rank"], "inner")  # repeated rows give the same spans
     spans = cut_lineage(repeated_spans(texts, length, parts))
 
     wanted = null_safe_join(spans, least, ["name"], "inner").withColumnRenamed("least", "rank")
-    cut = null_safe_join(packed, wanted, ["name", "rank"], "inner").dropDuplicates(["name"])
+    cut = null_safe_join(packed, wanted, ["name", "rank"], "inner")
 
     def digests(batches):
         unpack = zstandard.ZstdDecompressor().decompress
@@ -444,7 +444,7 @@ def repeated_substrings(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
                 out.append((name, [{"start": a, "end": z} for a, z in own], hashlib.sha256(kept_bytes(data, own)).hexdigest()))
             yield _batch(schema, out)
 
-    cut = cut.select("name", "packed", "spans").mapInArrow(digests, "name binary, own array<struct<start:long,end:long>>, kept string")
+    cut = cut.select("name", "packed", "spans").mapInArrow(digests, "name binary, own array<struct<start:long,end:long>>, kept string").dropDuplicates(["name"])
     copies = null_safe_join(rows, least, ["name"], "inner")
     result = null_safe_join(copies, cut, ["name"], "left")
     whole = (F.col("rank") > F.col("least")) & (F.col("n_bytes") >= length)
