@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: most entries of a worker's memo
-MEMO_ENTRIES = 150_000
+MEMO_ENTRIES = 200_000
 
 
 class Memo(dict):

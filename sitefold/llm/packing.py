@@ -18,6 +18,8 @@ from sitefold.session import cut_lineage
 CAPACITY = 4096
 #: rows that are ranked together
 RANK_ROWS = 200_000
+#: runs, and words, whose ids a worker keeps
+WORD_MEMO = 300_000
 #: a run of Latin letters between marks; anything else goes to the whole tokenizer
 _PLAIN = re.compile(r"""([("*\[-]*)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?)"*\]-]*)""")
 
@@ -40,8 +42,8 @@ class WordEncoder:
         others = [b for b in range(256) if b not in printable]
         # byte-level models write a byte that can't be printed as the next character from 256
         self.byte = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
-        self.run = Memo(self._run)
-        self.word = Memo(self._word)
+        self.run = Memo(self._run, WORD_MEMO)
+        self.word = Memo(self._word, WORD_MEMO)
 
     def _run(self, letters: str) -> bytes:
         text = letters if letters.isascii() else "".join(self.byte[b] for b in letters.encode())
