@@ -163,9 +163,9 @@ class Labeller:
         post = forward_backward(emit, mask, self.field.moves)[0][mask]
         return np.split(post, np.cumsum(sizes)[:-1])
 
-    def documents(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        """Language of the largest mean posterior, and that mean."""
-        names, scores = [], []
+    def documents(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
+        """Language of the largest mean posterior, that mean, and the mean of the words' largest."""
+        names, scores, sure = [], [], []
         at = 0
         while at < len(texts):
             group, held = [], 0
@@ -178,10 +178,12 @@ class Labeller:
                     mean = post.mean(0)
                     names.append(self.field.labels[int(mean.argmax())])
                     scores.append(float(min(1.0, mean.max())))
+                    sure.append(float(min(1.0, post.max(1).mean())))
                 else:
                     names.append("und")
                     scores.append(0.0)
-        return names, scores
+                    sure.append(0.0)
+        return names, scores, sure
 
 
 def windows_of(text: str) -> list[list[str]]:
@@ -220,12 +222,14 @@ def fit_language_field(docs: DataFrame, *, text: str = "text", lang: str = "lang
 
 
 def with_language(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
-    """The table with lang_pred and score in place of columns of these names.
+    """The table with lang_pred, score and confidence in place of columns of these names.
 
-    ``und`` with score 0 where a text is missing or has no letter, or where the field
+    ``score`` is the share of lang_pred in a text, ``confidence`` the mean over its words
+    of each word's largest posterior, which switching between languages doesn't lower.
+    ``und`` with zeros where a text is missing or has no letter, or where the field
     knows no language.  Whole texts are labelled word by word; rows stay as they are.
     """
-    frame = docs.drop("lang_pred", "score")
+    frame = docs.drop("lang_pred", "score", "confidence")
     held = docs.sparkSession.sparkContext.broadcast(field)  # BUCKETS x MOST_LABELS numbers at most
     at = frame.columns.index(text)
 
@@ -233,14 +237,14 @@ def with_language(docs: DataFrame, field: Field, text: str = "text") -> DataFram
         labeller = None
         for batch in batches:
             labeller = labeller or Labeller(held.value)
-            names, scores = labeller.documents(batch.column(at).to_pylist())
+            names, scores, sure = labeller.documents(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())],
-                names=[*batch.schema.names, "lang_pred", "score"],
+                [*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(sure, pa.float64())],
+                names=[*batch.schema.names, "lang_pred", "score", "confidence"],
             )
 
     kinds = ", ".join(f"`{c}` {t}" for c, t in frame.dtypes)
-    return frame.mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    return frame.mapInArrow(run, f"{kinds}, lang_pred string, score double, confidence double")
 
 
 def held_out(doc_id: Column) -> Column:

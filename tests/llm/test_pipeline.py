@@ -84,3 +84,14 @@ def test_stages_on_an_empty_table(spark, none):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, FOLDER)
         assert docs.count() == 0
+
+
+def test_language_keeps_evenly_mixed_text(spark, docs):
+    docs = docs.select(*corpus_pipeline.COLUMNS)
+    own = {}
+    for r in docs.orderBy("doc_id").collect():
+        own.setdefault(r.lang, (r.text or "").split()[:40])
+    text = " ".join(w for lang in ("en", "de", "fr") for w in own[lang])
+    mixed = spark.createDataFrame([(10**9, text, None, "s", len(text))], docs.schema)
+    kept = corpus_pipeline.language(spark, docs.unionByName(mixed), FOLDER)
+    assert kept.filter(f"doc_id = {10**9}").count() == 1
