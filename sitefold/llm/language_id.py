@@ -8,9 +8,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sitefold.llm.common import MEMO_ENTRIES, columns_of
+from sitefold.operators.joins import null_safe_join
+from sitefold.session import cut_lineage
 
 #: a run of letters
 _WORD = re.compile(r"[^\W\d_]+")
@@ -194,31 +196,33 @@ def windows_of(text: str) -> list[list[str]]:
 
 
 def fit_language_field(docs: DataFrame, *, text: str = "text", lang: str = "lang", sample_docs: int = SAMPLE_DOCS) -> Field:
-    """A field fitted to about ``sample_docs`` documents of each language, chosen by hash.
+    """A field fitted to about ``sample_docs`` distinct texts of each language, chosen by hash.
 
     Rows without text or language teach nothing; without any row the field is empty.
     """
     frame = columns_of(docs, text=text, lang=lang).dropna()
-    counts = frame.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LABELS).collect()
+    frame = frame.withColumn("h", F.xxhash64("text"))
+    # copies of a text count once and are chosen once
+    pairs = cut_lineage(frame.select("lang", "h").distinct())
+    counts = pairs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LABELS).collect()
     if not counts:
         return fit([])
     rate = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, 1.25 * sample_docs / r["count"]))))
-    order = F.xxhash64("text")
-    chosen = frame.filter(F.pmod(order, F.lit(1 << 20)) < F.ceil(rate[F.col("lang")] * (1 << 20)))
+    thin = lambda rows: rows.filter(F.pmod("h", F.lit(1 << 20)) < F.ceil(rate[F.col("lang")] * (1 << 20)))
+    # the smallest hashes of each language, of some 1.25 times as many
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    wanted = thin(pairs).withColumn("place", place).filter(F.col("place") <= sample_docs).select("lang", "h")
+    # copies meet before anything moves
+    single = thin(frame).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    chosen = null_safe_join(single, wanted, ["lang", "h"], "left_semi")
 
     def run(batches):
         for batch in batches:
             own = [windows_of(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(own, pa.list_(pa.list_(pa.string())))], names=["lang", "windows"])
 
-    rows = chosen.mapInArrow(run, "lang string, windows array<array<string>>").withColumn("h", F.xxhash64("windows"))
-    kept: dict[str, int] = {}
-    sample = []
-    for r in rows.orderBy("h", "lang").limit(2 * sample_docs * len(counts)).collect():
-        kept[r["lang"]] = kept.get(r["lang"], 0) + 1
-        if kept[r["lang"]] <= sample_docs:
-            sample.append((r["lang"], r["windows"]))
-    return fit(sample)
+    rows = chosen.select("text", "lang").mapInArrow(run, "lang string, windows array<array<string>>").withColumn("h", F.xxhash64("windows"))
+    return fit([(r["lang"], r["windows"]) for r in rows.orderBy("h", "lang").collect()])
 
 
 def with_language(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:

@@ -62,3 +62,15 @@ def test_empty_and_unlabelled_tables(spark, none):
     assert language_id.identify_languages(none).count() == 0
     frame = spark.createDataFrame([(1, "some words", None)], "doc_id long, text string, lang string")
     assert [r.lang_pred for r in language_id.identify_languages(frame).collect()] == ["und"]
+
+
+def test_copies_take_no_place_in_the_sample(spark, monkeypatch):
+    word = lambda i: "".join(chr(97 + int(x)) for x in str(i))
+    rows = [(f"{lang}{word(i)} {lang}{word(i + 7)} {lang}", lang) for lang in ("aa", "bb", "cc") for i in range(30)]
+    rows += [("always the same", "aa")] * 500 + [("bb once more", "bb")] * 60
+    seen = {}
+    monkeypatch.setattr(language_id, "fit", lambda sample: seen.update(rows=sample))
+    language_id.fit_language_field(spark.createDataFrame(rows, "text string, lang string"), sample_docs=20)
+    texts = [(lang, str(windows)) for lang, windows in seen["rows"]]
+    assert len(texts) == len(set(texts))
+    assert all(sum(own == lang for own, _ in texts) >= 15 for lang in ("aa", "bb", "cc"))
