@@ -242,7 +242,7 @@ def block_links(members: DataFrame, percent: int, k: int) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80
 ) -> DataFrame:
-    """Components of near duplicates: doc_id, n_shingles, component_id, kept, row.
+    """Components of near duplicates: doc_id, n_shingles, component_id, kept, row, root.
 
     A document's set holds its distinct shingles of ``shingle`` lower-cased (A-Z) words
     between ASCII white space; with fewer words, all of them as one shingle.  Documents
@@ -250,7 +250,7 @@ def near_duplicates(
     ``component_id`` is the smallest doc_id that links reach.  A missing or empty text has
     no shingles and is linked with nothing.  A row without doc_id links like others but
     names no component and isn't kept; repeated rows share a component.  ``row`` is
-    xxhash64 of the text.
+    xxhash64 of the text; ``root`` names the component of every row with shingles.
 
     1. Equal sets become one node.  2. HyperMinHash registers are banded; nodes that share
     a band key are in a bucket.  3. In each bucket all nodes are paired with its most
@@ -294,11 +294,11 @@ def near_duplicates(
     own = signed.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
     own = null_safe_join(own, rooted, ["node"], "left").withColumn("root", F.coalesce("root", "node"))
     least = own.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = null_safe_join(own.select("node", "root"), least, ["root"], "inner").select("node", "component_id")
+    found = null_safe_join(own.select("node", "root"), least, ["root"], "inner").select("node", "component_id", "root")
     out = null_safe_join(signed.select("doc_id", "row", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")), found, ["node"], "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select(
-        "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), "row"
+        "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), "row", "root"
     )
 
 

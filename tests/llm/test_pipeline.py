@@ -95,3 +95,13 @@ def test_language_keeps_evenly_mixed_text(spark, docs):
     mixed = spark.createDataFrame([(10**9, text, None, "s", len(text))], docs.schema)
     kept = corpus_pipeline.language(spark, docs.unionByName(mixed), FOLDER)
     assert kept.filter(f"doc_id = {10**9}").count() == 1
+
+
+def test_one_of_near_copies_without_own_ids_stays(spark, docs):
+    words = [f"word{i}" for i in range(300)]
+    near = lambda tag: " ".join([*words[:-1], tag])
+    rows = [(None, near("a")), (None, near("b")), (None, near("b"))]
+    rows += [(7, " ".join(f"other{i}" for i in range(200)) + x) for x in (" p", " q", " r")]
+    frame = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], docs.select(*corpus_pipeline.COLUMNS).schema)
+    kept = corpus_pipeline.near_duplicates(spark, frame, FOLDER).collect()
+    assert sorted(r.doc_id or 0 for r in kept) == [0, 7]
