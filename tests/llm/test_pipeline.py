@@ -1,4 +1,6 @@
+import random
 import re
+import shutil
 from collections import defaultdict
 
 import duckdb
@@ -105,3 +107,25 @@ def test_one_of_near_copies_without_own_ids_stays(spark, docs):
     frame = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], docs.select(*corpus_pipeline.COLUMNS).schema)
     kept = corpus_pipeline.near_duplicates(spark, frame, FOLDER).collect()
     assert sorted(r.doc_id or 0 for r in kept) == [0, 7]
+
+
+def test_run_leaves_one_of_each_group_of_copies(spark, docs, tmp_path):
+    docs = docs.select(*corpus_pipeline.COLUMNS)
+    held = docs.collect()
+    rng = random.Random(5)
+    words = sorted({w for r in held if r.lang == "en" for w in (r.text or "").split() if w.isalpha()})
+    rows, groups = [], []
+    for g in range(4):
+        lines = [" ".join(rng.sample(words, 10)) for _ in range(12)]
+        groups.append(list(range(10**6 + 10 * g, 10**6 + 10 * g + 3)))
+        for i, d in enumerate(groups[-1]):
+            text = "\n".join([*lines[:5], lines[5] + f" {rng.choice(words)}" * (i > 0 and g > 0), *lines[6:]])
+            rows.append((d, text, "en", "s", len(text)))
+    docs.unionByName(spark.createDataFrame(rows, docs.schema)).write.parquet(f"{tmp_path}/documents.parquet")
+    shutil.copy(f"{FOLDER}/benchmark.parquet", f"{tmp_path}/benchmark.parquet")
+    left = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().collect()}
+    assert [sum(d in left for d in own) for own in groups] == [1] * 4
+    same = defaultdict(set)
+    for r in held:
+        same[r.text].add(r.doc_id)
+    assert not [own for text, own in same.items() if text and len(own & left) > 1]
