@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from zlib import crc32
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sitefold.llm import decontamination, language_id, line_dedup, near_dedup, packing, secret_scan, sharding, suffix_dedup, token_counts, top_k
+from sitefold.llm import (
+    collocations, decontamination, language_id, line_dedup, line_frequency, near_dedup, packing, periodic_runs, secret_scan, sharding, suffix_dedup,
+    token_counts, top_k,
+)
 
 QUERIES: dict = {}
 CHECKS: dict[str, str] = {}
@@ -148,3 +153,101 @@ def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan_secrets(table(spark, folder, "documents")))
+
+
+def periodic_tail(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words with a tail that repeats, for a tenth of the documents by their doc_id."""
+    h, n = crc32(str(doc_id).encode()), len(words)
+    if doc_id is None or h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + i % p] for i in range(n - a)]
+
+
+@query()
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic_runs.digest(periodic_runs.periodic_runs(table(spark, folder, "documents"), rewrite=periodic_tail))
+
+
+@query(
+    r"""
+    WITH d AS (
+        SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+    ), t AS (
+        SELECT doc_id, w[i:i + 2] AS p, i FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)
+    ), p AS (
+        SELECT doc_id, list(i) AS places FROM t GROUP BY doc_id, p HAVING count(*) > 1
+    ), c AS (
+        SELECT doc_id, count(DISTINCT x) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS x FROM (SELECT doc_id, unnest(places) AS i FROM p))
+        GROUP BY doc_id
+    ), l AS (
+        SELECT doc_id, source, text, line,
+               regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000'), '[^\x20\x09-\x0D]+') AS v
+        FROM (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line FROM d)
+    ), u AS (
+        SELECT doc_id, source, text, line, array_to_string(v, ' ') AS norm, len(v) AS n FROM l WHERE len(v) > 0
+    ), h AS (
+        SELECT source, count(DISTINCT text) AS n_host FROM u GROUP BY source
+    ), m AS (
+        SELECT f.source, f.norm
+        FROM (SELECT source, norm, count(DISTINCT text) AS n FROM u GROUP BY source, norm) AS f
+        JOIN h ON f.source IS NOT DISTINCT FROM h.source
+        WHERE f.n > 10 AND f.n * 1000 > h.n_host
+    ), g AS (
+        SELECT u.doc_id, count(*) - count(DISTINCT u.line) AS dup, sum(CASE WHEN m.norm IS NOT NULL THEN u.n ELSE 0 END) AS gone
+        FROM u LEFT JOIN m ON u.source IS NOT DISTINCT FROM m.source AND u.norm = m.norm
+        GROUP BY u.doc_id
+    ), r AS (
+        SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(length(array_to_string(d.w, '')) AS BIGINT) AS word_chars,
+               CAST(len(regexp_extract_all(d.text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(coalesce(g.dup, 0) AS BIGINT) AS n_dup_lines,
+               CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(g.gone, 0) AS BIGINT) AS gone
+        FROM d LEFT JOIN c USING (doc_id) LEFT JOIN g USING (doc_id)
+    )
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+           n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+           NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * (n_words - gone) >= 50 * n_words AS kept
+    FROM r
+    """
+)
+def op12_line_frequency(spark: SparkSession, folder: str) -> DataFrame:
+    return line_frequency.digest(line_frequency.quality_verdicts(table(spark, folder, "documents")))
+
+
+@query(
+    r"""
+    WITH s AS (
+        SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS d,
+               regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS pieces
+        FROM documents
+    ), w AS (
+        SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(pieces) AS piece FROM s)
+    ), g AS (
+        SELECT lang, k, w[i:i + k - 1] AS p
+        FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3]) AS k) WHERE len(w) >= k)
+    ), f AS (
+        SELECT lang, k, p, count(*) AS f FROM g GROUP BY lang, k, p
+    ), n AS (
+        SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang
+    ), c AS (
+        SELECT lang, k, p, f AS a FROM f WHERE k > 1 AND f >= 10
+    ), x AS (
+        SELECT c.lang, c.p, c.a, j, h.f AS l, t.f AS r, CAST(1000000 AS HUGEINT) * c.a * c.a // (CAST(h.f AS HUGEINT) * t.f) AS score
+        FROM (SELECT *, unnest(range(1, k)) AS j FROM c) AS c
+        JOIN f AS h ON h.lang = c.lang AND h.p = c.p[1:j]
+        JOIN f AS t ON t.lang = c.lang AND t.p = c.p[j + 1:c.k]
+    ), b AS (
+        SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, j) = 1
+    ), o AS (
+        SELECT lang, q, max(a) AS m FROM (SELECT lang, a, unnest([p[1:2], p[2:3]]) AS q FROM c WHERE k = 3) GROUP BY lang, q
+    ), e AS (
+        SELECT b.*, array_to_string(b.p, ' ') AS phrase FROM b LEFT JOIN o ON o.lang = b.lang AND o.q = b.p WHERE o.m IS NULL OR 100 * o.m < 50 * b.a
+    ), z AS (
+        SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM e
+    )
+    SELECT z.lang, z.rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM z JOIN n USING (lang) WHERE z.rank <= 2000
+    """
+)
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
