@@ -16,7 +16,7 @@ through to the exact sums, which drop it.
 from __future__ import annotations
 
 from collections import Counter, defaultdict
-from itertools import count
+from itertools import chain, count
 from zlib import crc32
 
 import numpy as np
@@ -35,6 +35,8 @@ TRIGGER, MOST_TOKENS = 64, 4096
 SHARD_BYTES = 8 << 20
 #: text bytes whose chunks are counted before they leave a task
 PARSE_BYTES = 4 << 20
+#: parts of a language whose first rows are found before its own
+TIERS = 64
 #: ends a piece; two of them (for phrases of three words) end a text
 BREAK = b"\n"
 
@@ -74,66 +76,89 @@ def chunks_of(tokens: list[bytes], overlap: int) -> list[bytes]:
     return out
 
 
+class Known:
+    """The frequent fingerprints of a shard, as the exchange tells them apart."""
+
+    def __init__(self, places: np.ndarray):
+        self.places = np.sort(places)
+        self.some = np.zeros(1 << 22, dtype=bool)  # most of the rare ones end here
+        self.some[(self.places * _ODD >> np.uint64(42)).astype(np.int64)] = True
+
+    def holds(self, places: np.ndarray) -> np.ndarray:
+        held = self.some[(places * _ODD >> np.uint64(42)).astype(np.int64)]
+        few = np.flatnonzero(held)
+        held[few] = np.isin(places[few], self.places)
+        return held
+
+
 class Phrases:
-    """Distinct phrases of up to ``most_words`` words in one language's chunks of a shard."""
+    """Distinct phrases of up to ``most_words`` words in one language's chunks of a shard.
 
-    def __init__(self, lang: str, chunks: list[bytes], times: np.ndarray, most_words: int):
+    With ``known``, only those whose fingerprint it holds.  A frequent phrase begins with
+    a frequent one, so what isn't known is not made longer.
+    """
+
+    def __init__(self, lang: str, chunks: list[bytes], times: np.ndarray, most_words: int, parts: int, known: Known | None = None):
         overlap = most_words - 1
         split = [c.split(b" ") for c in chunks]
-        size = np.array([len(s) for s in split])
-        self.tokens = [t for s in split for t in s]
+        size = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
+        self.tokens = list(chain.from_iterable(split))
         number = defaultdict(count(1).__next__)
         number[BREAK] = 0
-        self.ids = np.fromiter(map(number.__getitem__, self.tokens), dtype=np.int64, count=len(self.tokens))
+        ids = np.fromiter(map(number.__getitem__, self.tokens), dtype=np.int64, count=len(self.tokens))
         weight = np.repeat(times, size)
         ends = np.cumsum(size)
         for i in range(1, overlap + 1):
             weight[ends - i] = 0  # the closing window is the next chunk's
         salt = lang.encode() + b"\0"
-        self.names = np.array([xxhash.xxh64_intdigest(salt + w) for w in number], dtype=np.uint64)
+        names = np.array([xxhash.xxh64_intdigest(salt + w) for w in number], dtype=np.uint64)
         #: for each length: first place, total and fingerprint of each distinct phrase
         self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        place = np.flatnonzero((self.ids != 0) & (weight > 0))
+        place = np.flatnonzero((ids != 0) & (weight > 0))
         self.n_words = int(weight[place].sum())
-        group = self.ids[place]
+        group = ids[place]
         for k in range(1, most_words + 1):
-            order = np.argsort(group, kind="stable")
+            order = np.argsort(group)
             ordered = group[order]
             new = np.r_[True, ordered[1:] != ordered[:-1]] if len(ordered) else np.zeros(0, dtype=bool)
             starts = np.flatnonzero(new)
             total = np.add.reduceat(weight[place][order], starts) if len(starts) else np.zeros(0, dtype=np.int64)
-            first = place[order][starts]
+            first = place[order[starts]]
             mixed = np.full(len(first), k, dtype=np.uint64)
             for i in range(k):
-                mixed = (mixed ^ mixed >> np.uint64(29)) * _ODD + self.names[self.ids[first + i]]
+                mixed = (mixed ^ mixed >> np.uint64(29)) * _ODD + names[ids[first + i]]
             mixed = (mixed ^ mixed >> np.uint64(32)) * _ODD
-            self.levels.append((first, total, mixed ^ mixed >> np.uint64(29)))
+            name = _places(mixed ^ mixed >> np.uint64(29), parts)
+            stays = np.ones(len(place), dtype=bool)
+            dense = np.empty(len(group), dtype=np.int64)
+            dense[order] = np.cumsum(new) - 1
+            if known is not None:
+                held = known.holds(name)
+                stays = held[dense]
+                first, total, name = first[held], total[held], name[held]
+            self.levels.append((first, total, name))
             if k < most_words:
-                dense = np.empty(len(group), dtype=np.int64)
-                dense[order] = np.cumsum(new) - 1
-                following = self.ids[place + k]
-                stays = following != 0
+                following = ids[place + k]
+                stays &= following != 0
                 place, group = place[stays], dense[stays] << 32 | following[stays]
 
     def words(self, at: int, k: int) -> bytes:
         return b" ".join(self.tokens[at : at + k])
 
 
-def _shard(table: pa.Table, most_words: int) -> dict[str, Phrases]:
+def _shard(table: pa.Table, most_words: int, parts: int, known: Known | None = None) -> dict[str, Phrases]:
     """The phrases of a shard for each language; equal chunks of different tasks are summed."""
     held: defaultdict[str, Counter] = defaultdict(Counter)
     for lang, chunk, n in zip(table["lang"].to_pylist(), table["chunk"].to_pylist(), table["n"].to_pylist()):
         held[lang][chunk] += n
-    return {lang: Phrases(lang, list(c), np.fromiter(c.values(), dtype=np.int64, count=len(c)), most_words) for lang, c in held.items()}
-
-
-def _parts(fingerprints: np.ndarray, parts: int) -> np.ndarray:
-    return (fingerprints >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+    return {
+        lang: Phrases(lang, list(c), np.fromiter(c.values(), dtype=np.int64, count=len(c)), most_words, parts, known) for lang, c in held.items()
+    }
 
 
 def _places(fingerprints: np.ndarray, parts: int) -> np.ndarray:
     """Part and low half of each fingerprint: what the exchange can tell apart."""
-    return _parts(fingerprints, parts) << np.uint64(32) | fingerprints & _LOW
+    return (fingerprints >> np.uint64(32)) * np.uint64(parts) & ~_LOW | fingerprints & _LOW
 
 
 def phrase_counts(docs: DataFrame, *, text: str, lang: str, most_words: int, least: int) -> DataFrame:
@@ -174,9 +199,9 @@ def phrase_counts(docs: DataFrame, *, text: str, lang: str, most_words: int, lea
 
     def fingerprints(table: pa.Table) -> pa.Table:
         prints, times = [], []
-        for phrases in _shard(table, most_words).values():
+        for phrases in _shard(table, most_words, parts).values():
             for _, total, name in phrases.levels:
-                prints.append(_places(name, parts))
+                prints.append(name)
                 times.append(np.minimum(total, least))
         prints, times = np.concatenate(prints), np.concatenate(times)
         order = np.argsort(prints)
@@ -209,15 +234,14 @@ def phrase_counts(docs: DataFrame, *, text: str, lang: str, most_words: int, lea
         langs, phrases, lengths, totals = [], [], [], []
         if chunks.num_rows:
             keys = [np.frombuffer(b, dtype=np.uint32) | np.uint64(p << 32) for p, b in zip(known["part"].to_pylist(), known["prints"].to_pylist())]
-            keys = np.sort(np.concatenate(keys)) if keys else np.zeros(0, dtype=np.uint64)
-            for key, found in _shard(chunks, most_words).items():
+            keys = Known(np.concatenate(keys) if keys else np.zeros(0, dtype=np.uint64))
+            for key, found in _shard(chunks, most_words, parts, keys).items():
                 langs.append(key), phrases.append(b""), lengths.append(0), totals.append(found.n_words)
-                for k, (first, total, name) in enumerate(found.levels, 1):
-                    few = np.flatnonzero(np.isin(_places(name, parts), keys))
-                    langs += [key] * len(few)
-                    phrases += [found.words(i, k) for i in first[few].tolist()]
-                    lengths += [k] * len(few)
-                    totals += total[few].tolist()
+                for k, (first, total, _) in enumerate(found.levels, 1):
+                    langs += [key] * len(first)
+                    phrases += [found.words(i, k) for i in first.tolist()]
+                    lengths += [k] * len(first)
+                    totals += total.tolist()
         return pa.table({
             "lang": pa.array(langs, type=pa.string()), "phrase": pa.array(phrases, type=pa.binary()).cast(pa.string()),
             "words": pa.array(lengths, type=pa.int32()), "f": pa.array(totals, type=pa.int64()),
@@ -278,8 +302,10 @@ def collocations(
     best = null_safe_join(best, longer, ["lang", "phrase"], "left")
     best = best.filter(F.col("longest").isNull() | (100 * F.col("longest") < least_share * F.col("a")))
 
-    order = Window.partitionBy("lang").orderBy(F.desc("cut.score"), F.desc("a"), "phrase")
-    best = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    # the final task of a language gets TIERS times ``top`` rows at most
+    for place in (["lang", F.pmod(F.xxhash64("phrase"), F.lit(TIERS))], ["lang"]):
+        order = Window.partitionBy(*place).orderBy(F.desc("cut.score"), F.desc("a"), "phrase")
+        best = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
     return null_safe_join(best, totals, ["lang"], "inner").select(
         "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "cut.l", "cut.r", "n", "cut.score"
     )

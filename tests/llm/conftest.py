@@ -41,3 +41,8 @@ def docs(spark):
 def none(spark):
     """An empty documents table."""
     return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="session")
+def sf():
+    return FOLDER
