@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Hashable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -33,6 +33,28 @@ class Memo(dict):
         return value
 
 
+_KEPT: dict = {}
+
+
+def kept(key: Hashable, make: Callable):
+    """What a worker keeps between its tasks: one thing at a time.
+
+    Workers serve one stage after another; what an earlier operator left is dropped
+    before the next one builds its own, so memos never add up.
+    """
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches, so that few texts are Python objects at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def columns_of(frame: DataFrame, **names: str) -> DataFrame:
     """Only the named columns, under the operator's own names.
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -95,10 +94,9 @@ class _Held:
         self.items = items
 
 
-@lru_cache(maxsize=1)
 def _phrases(held: _Held, window: int) -> Phrases:
     """A worker prepares a block once; the block is equal only to itself."""
-    return Phrases(held.items, window)
+    return kept(("phrases", held, window), lambda: Phrases(held.items, window))
 
 
 def _shards(batch: pa.RecordBatch):

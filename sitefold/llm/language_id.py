@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from dataclasses import dataclass
 
@@ -10,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from sitefold.llm.common import MEMO_ENTRIES, columns_of
+from sitefold.llm.common import MEMO_ENTRIES, columns_of, kept, slices
 from sitefold.operators.joins import null_safe_join
 from sitefold.session import cut_lineage
 
@@ -19,11 +20,13 @@ _WORD = re.compile(r"[^\W\d_]+")
 #: feature weights for each label
 BUCKETS = 1 << 16
 #: words of a chain, and words that go through forward-backward at once
-CHAIN, GROUP = 64, 200_000
+CHAIN, GROUP = 64, 100_000
+#: unseen words whose features are looked up at once
+LEARN = 4_000
 #: labelled documents per language that the field is fitted on, windows and words of each
 SAMPLE_DOCS, SAMPLE_WINDOWS, WINDOW_WORDS = 240, 6, 16
-#: languages that are learned at most, the most frequent ones
-MOST_LABELS = 200
+#: most numbers of posteriors that a fit holds at once
+FIT_CELLS = 4_000_000
 
 
 def words_of(text: str) -> list[str]:
@@ -110,19 +113,24 @@ def fit(sample: list[tuple[str, list[list[str]]]], rounds: int = 60) -> Field:
     flat, at = feature_rows(list(known))
     owner = np.repeat(np.arange(len(known)), np.diff(np.r_[at, len(flat)]))
     k = len(labels)
-    true = np.zeros((n, CHAIN, k))
-    np.put_along_axis(true, gold[..., None], 1.0, axis=2)
-    true *= mask[..., None]
     true_moves = np.zeros((k, k))
     both = mask[:, 1:]
     np.add.at(true_moves, (gold[:, :-1][both], gold[:, 1:][both]), 1)
     weights, moves = np.zeros((BUCKETS, k)), np.zeros((k, k))
     sums = [np.full_like(weights, 1e-8), np.full_like(moves, 1e-8)]
+    some = max(1, FIT_CELLS // (CHAIN * k))  # chains at once, fewer the more languages there are
     for _ in range(rounds):
-        emit = np.add.reduceat(weights[flat], at)[word]
-        post, pairs, _ = forward_backward(emit, mask, moves)
-        off = ((true - post) * mask[..., None]).reshape(-1, k)
-        by_word = np.stack([np.bincount(word.ravel(), off[:, j], len(known)) for j in range(k)], 1)
+        scores = np.add.reduceat(weights[flat], at)
+        by_word, pairs = np.zeros((len(known), k)), np.zeros((k, k))
+        for c in range(0, n, some):
+            part = slice(c, c + some)
+            post, moved, _ = forward_backward(scores[word[part]], mask[part], moves)
+            pairs += moved
+            own, live = word[part].ravel(), mask[part].ravel()
+            off = -post.reshape(-1, k)
+            off[np.arange(len(own)), gold[part].ravel()] += 1.0
+            off *= live[:, None]
+            by_word += np.stack([np.bincount(own, off[:, j], len(known)) for j in range(k)], 1)
         slope = np.stack([np.bincount(flat, by_word[owner, j], BUCKETS) for j in range(k)], 1)
         for x, s, g in ((weights, sums[0], slope - 0.05 * weights), (moves, sums[1], true_moves - pairs - 0.05 * moves)):
             s += g * g
@@ -143,9 +151,12 @@ class Labeller:
             self.known, self.emit = {}, self.emit[:0]
         new = [w for w in words if w not in self.known]
         if new:
-            flat, at = feature_rows(new)
+            scores = [self.emit]
+            for i in range(0, len(new), LEARN):  # a word's features take some hundred times its room
+                flat, at = feature_rows(new[i : i + LEARN])
+                scores.append(np.add.reduceat(self.field.weights[flat].astype(np.float64), at))
             self.known.update(zip(new, range(len(self.emit), len(self.emit) + len(new))))
-            self.emit = np.concatenate([self.emit, np.add.reduceat(self.field.weights[flat].astype(np.float64), at)])
+            self.emit = np.concatenate(scores)
 
     def posteriors(self, texts: list[list[str]]) -> list[np.ndarray]:
         """Words x labels of each text; chains are at most CHAIN words of one text."""
@@ -204,11 +215,12 @@ def fit_language_field(docs: DataFrame, *, text: str = "text", lang: str = "lang
     frame = frame.withColumn("h", F.xxhash64("text"))
     # copies of a text count once and are chosen once
     pairs = cut_lineage(frame.select("lang", "h").distinct())
-    counts = pairs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LABELS).collect()
+    counts = pairs.groupBy("lang").count().orderBy("lang").collect()  # one row for each language
     if not counts:
         return fit([])
-    rate = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, 1.25 * sample_docs / r["count"]))))
-    thin = lambda rows: rows.filter(F.pmod("h", F.lit(1 << 20)) < F.ceil(rate[F.col("lang")] * (1 << 20)))
+    rates = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, 1.25 * sample_docs / r["count"])) for r in counts], "lang string, rate double")
+    rates = F.broadcast(rates)  # one row for each language
+    thin = lambda rows: rows.join(rates, "lang").filter(F.pmod("h", F.lit(1 << 20)) < F.ceil(F.col("rate") * (1 << 20))).drop("rate")
     # the smallest hashes of each language, of some 1.25 times as many
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
     wanted = thin(pairs).withColumn("place", place).filter(F.col("place") <= sample_docs).select("lang", "h")
@@ -234,13 +246,12 @@ def with_language(docs: DataFrame, field: Field, text: str = "text") -> DataFram
     knows no language.  Whole texts are labelled word by word; rows stay as they are.
     """
     frame = docs.drop("lang_pred", "score", "confidence")
-    held = docs.sparkSession.sparkContext.broadcast(field)  # BUCKETS x MOST_LABELS numbers at most
-    at = frame.columns.index(text)
+    held = docs.sparkSession.sparkContext.broadcast(field)  # BUCKETS numbers for each language
+    at, name = frame.columns.index(text), uuid.uuid4().hex
 
     def run(batches):
-        labeller = None
-        for batch in batches:
-            labeller = labeller or Labeller(held.value)
+        labeller = kept(("labeller", name), lambda: Labeller(held.value))
+        for batch in slices(batches):
             names, scores, sure = labeller.documents(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(sure, pa.float64())],

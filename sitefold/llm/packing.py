@@ -12,14 +12,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from sitefold.llm.common import Memo, columns_of
+from sitefold.llm.common import Memo, columns_of, kept
 from sitefold.session import cut_lineage
 
 CAPACITY = 4096
 #: rows that are ranked together
 RANK_ROWS = 200_000
-#: runs, and words, whose ids a worker keeps
-WORD_MEMO = 300_000
+#: words whose ids a worker keeps
+WORD_MEMO = 400_000
 #: a run of Latin letters between marks; anything else goes to the whole tokenizer
 _PLAIN = re.compile(r"""([("*\[-]*)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?)"*\]-]*)""")
 
@@ -29,7 +29,7 @@ class WordEncoder:
 
     The tokenizer drops white space and treats what stands between as texts of their
     own, so a text's ids are those of its words in turn.  A word's ids are kept as bytes
-    in bounded memos.  Letters between marks are runs for the tokenizer: each is lower
+    in one bounded memo.  Letters between marks are runs for the tokenizer: each is lower
     cased and given to its model as bytes; every other word takes the whole way.
     """
 
@@ -37,27 +37,36 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.model = self.whole.model
+        self.tokenize = self.whole.model.tokenize
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in printable]
         # byte-level models write a byte that can't be printed as the next character from 256
-        self.byte = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
-        self.run = Memo(self._run, WORD_MEMO)
+        byte = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+        self.byte = "".join(map(byte.__getitem__, range(256)))
         self.word = Memo(self._word, WORD_MEMO)
 
     def _run(self, letters: str) -> bytes:
-        text = letters if letters.isascii() else "".join(self.byte[b] for b in letters.encode())
-        return pack_ids([t.id for t in self.model.tokenize(text)])
+        if not letters.isascii():
+            letters = letters.encode().decode("latin-1").translate(self.byte)
+        return pack_ids([t.id for t in self.tokenize(letters)])
 
     def _word(self, word: str) -> bytes:
+        if word.isascii() and word.isalpha():
+            small = word.lower()
+            return self._run(word) if small == word else self.word[small]
         plain = _PLAIN.fullmatch(word)
         if plain is None:
             return pack_ids(self.whole.encode(word, add_special_tokens=False).ids) if word else b""
         before, letters, behind = plain.groups()
-        ids = self.run[letters.lower()]
+        small = letters.lower()
+        ids = self._run(small) if small == word else self.word[small]
         if before:
-            ids = self.run[before] + ids
-        return ids + self.run[behind] if behind else ids
+            ids = self._marks(before) + ids
+        return ids + self._marks(behind) if behind else ids
+
+    @lru_cache(maxsize=1000)
+    def _marks(self, marks: str) -> bytes:
+        return self._run(marks)
 
     def ids(self, text: str) -> bytes:
         """Little-endian 32-bit ids; the text is cut at white space that the tokenizer drops."""
@@ -65,16 +74,18 @@ class WordEncoder:
         return b"".join(map(self.word.__getitem__, words))
 
 
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(64)]
+
+
 def pack_ids(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+    return _PACK[len(ids)](*ids) if len(ids) < 64 else struct.pack(f"<{len(ids)}I", *ids)
 
 
-@lru_cache(maxsize=2)
 def _encoder(path: str | None) -> WordEncoder:
-    """One encoder for each worker, kept between tasks."""
+    """One encoder for each worker, kept between tasks until another operator needs the room."""
     import public_tokenizers
 
-    return WordEncoder(path or public_tokenizers.path("word_bpe_49k.json"))
+    return kept(("packing", path), lambda: WordEncoder(path or public_tokenizers.path("word_bpe_49k.json")))
 
 
 def tokenized_pieces(

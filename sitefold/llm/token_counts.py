@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sitefold.llm.common import MEMO_ENTRIES, columns_of
+from sitefold.llm.common import MEMO_ENTRIES, columns_of, kept
 
 #: a space between two characters that are no space marks; no piece reaches over it
 _SAFE_CUT = re.compile("(?<=[^ ▁]) (?=[^ ▁])")
@@ -73,12 +72,11 @@ class PieceCounter:
         return out
 
 
-@lru_cache(maxsize=2)
 def _counter(path: str | None) -> PieceCounter:
-    """One counter for each worker, kept between tasks."""
+    """One counter for each worker, kept between tasks until another operator needs the room."""
     import public_tokenizers
 
-    return PieceCounter(path or public_tokenizers.path("piece_bpe_32k.model"))
+    return kept(("counts", path), lambda: PieceCounter(path or public_tokenizers.path("piece_bpe_32k.model")))
 
 
 def token_counts(

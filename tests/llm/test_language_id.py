@@ -74,3 +74,14 @@ def test_copies_take_no_place_in_the_sample(spark, monkeypatch):
     texts = [(lang, str(windows)) for lang, windows in seen["rows"]]
     assert len(texts) == len(set(texts))
     assert all(sum(own == lang for own, _ in texts) >= 15 for lang in ("aa", "bb", "cc"))
+
+
+def test_many_labels_are_all_learned():
+    rng = np.random.default_rng(1)
+    names = [f"l{i:03d}" for i in range(300)]
+    stems = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 5)) for _ in names]
+    windows = [(name, [[s + x for x in "abcdefgh"]]) for name, s in zip(names, stems)]
+    field = language_id.fit(windows, rounds=12)
+    assert field.labels == names
+    found, _, _ = language_id.Labeller(field).documents([" ".join(w[0]) for _, w in windows])
+    assert sum(a == b for a, b in zip(found, names)) > 290
