@@ -128,7 +128,8 @@ def test_codon_usage_end_to_end(spark):
         ("APK", "AP[-10.0207]K", 1, "G", "", "ProSer", "1", 1.0),
         ("APK", "APK", 1, "G", "H", "ProSer", "1", 1.0),       # mapped elsewhere too
         ("APPK", "APPK", 1, "G", "", "ProSer", "1", 1.0),      # two candidates
-        ("APK", "APK", 1, "G", None, "Ctrl", "1", 1.0),
+        ("APK", "APK", 1, "G", "", "Ctrl", "1", 1.0),
+        ("APK", "APK", 1, "G", None, "Ctrl", "1", 1.0),        # a missing mapping fails the filter
         ("APK", "APK", 1, "G", "", "ArgSer", "1", 1.0),        # other strain
         ("APK", "APK", 9, "G", "", "ProSer", "1", 1.0),        # past the end
     ]
