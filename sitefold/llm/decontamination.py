@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sitefold.llm.common import bytes_of, columns_of
+from sitefold.llm.common import bytes_of, columns_of, kept
 from sitefold.llm.fm_index import FMIndex
 from sitefold.session import cut_lineage
 
