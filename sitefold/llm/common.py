@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Hashable, Iterator
 
 import pyarrow as pa
@@ -48,6 +49,13 @@ def kept(key: Hashable, make: Callable):
     return _KEPT[key]
 
 
+def forget() -> None:
+    """Drop what a worker keeps, at the end of a task whose stage isn't followed by its like."""
+    _KEPT.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
     """The same rows in small batches, so that few texts are Python objects at once."""
     for batch in batches:

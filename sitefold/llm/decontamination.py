@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sitefold.llm.common import bytes_of, columns_of, kept
+from sitefold.llm.common import bytes_of, columns_of, forget, kept
 from sitefold.llm.fm_index import FMIndex
 from sitefold.session import cut_lineage
 
@@ -161,6 +161,8 @@ def find_benchmark(
                         own[i] = sorted({*(own[i] or ()), *found})
                 done = [pa.array(hits, pa.list_(pa.int32())), pa.array(own, batch.column("items").type)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *done], names=batch.schema.names)
+            del phrases
+            forget()
 
         return frame.mapInArrow(run, f"{own_type}, hit array<int>, items array<{item_type}>")
 

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from sitefold.llm.common import MEMO_ENTRIES, columns_of, kept, slices
+from sitefold.llm.common import MEMO_ENTRIES, columns_of, forget, kept, slices
 from sitefold.operators.joins import null_safe_join
 from sitefold.session import cut_lineage
 
@@ -257,6 +257,8 @@ def with_language(docs: DataFrame, field: Field, text: str = "text") -> DataFram
                 [*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(sure, pa.float64())],
                 names=[*batch.schema.names, "lang_pred", "score", "confidence"],
             )
+        del labeller
+        forget()
 
     kinds = ", ".join(f"`{c}` {t}" for c, t in frame.dtypes)
     return frame.mapInArrow(run, f"{kinds}, lang_pred string, score double, confidence double")

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from sitefold.llm.common import Memo, columns_of, kept
+from sitefold.llm.common import Memo, columns_of, forget, kept, slices
 from sitefold.session import cut_lineage
 
 CAPACITY = 4096
@@ -97,9 +97,13 @@ def tokenized_pieces(
     end_id: int = 1,
     tokenizer_path: str | None = None,
     with_ids: bool = False,
+    stay_warm: bool = True,
 ) -> DataFrame:
     """Pieces of documents: doc_id, piece, start, length, ids_crc32 and, if asked, ids.
 
+    With ``stay_warm`` a worker keeps its words' ids for its next task; without, their room
+    is free for other stages after each task.
+
     A document's ids are the tokenizer's, without special tokens added, then
     ``end_id``; a missing text counts as empty.  Only a document above ``capacity`` is
     cut, into pieces of that length; its last piece may be shorter.
@@ -107,7 +111,7 @@ def tokenized_pieces(
 
     def run(batches):
         encoder, end = _encoder(tokenizer_path), pack_ids([end_id])
-        for batch in batches:
+        for batch in slices(batches):
             owner, piece, start, length, crc, data = [], [], [], [], [], []
             for i, t in enumerate(batch.column(1).to_pylist()):
                 ids = np.frombuffer(encoder.ids(t or "") + end, dtype="<u4")
@@ -130,6 +134,9 @@ def tokenized_pieces(
                 columns.append(pa.array(data, pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names=names)
+        del encoder
+        if not stay_warm:
+            forget()
 
     frame = columns_of(docs, doc_id=doc_id, text=text)
     schema = f"doc_id {frame.dtypes[0][1]}, piece int, start long, length long, ids_crc32 long"
