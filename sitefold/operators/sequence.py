@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import (
     DoubleType, IntegerType, LongType, StringType, StructField, StructType,
 )
 
 from sitefold.functions.columns import chars, divide, positions_of, strip_tags
-from sitefold.functions.tails import binom_upper, fisher_p_value, z_p_value
+from sitefold.functions.tails import binom_log_pmf, binom_upper, fisher_p_value, z_p_value
 from sitefold.operators.joins import key_join
-from sitefold.session import cut_lineage
 
 PAD = "_"
 PAD_LENGTH = 50
@@ -251,13 +252,6 @@ MOTIF_SCHEMA = StructType(
 )
 
 
-def _matches(fixed: Mapping[int, str]) -> Column:
-    cond = F.lit(True)
-    for pos, letter in sorted(fixed.items()):
-        cond = cond & (F.substring("window", pos, 1) == letter)
-    return cond
-
-
 def _side(df: DataFrame, window: str, side: str) -> DataFrame:
     other = "bn" if side == "fn" else "fn"
     return df.select(
@@ -275,22 +269,26 @@ def motif_enrich(
     Tail probabilities below ``smallest_p`` count as that, so among very small ones the
     residue with more windows is fixed first and a step adds at most its -log10.
 
-    Both sides are reduced once to distinct windows with two counts.  Each step is
-    one aggregate over the windows that still match; the driver sees only its
-    width x alphabet counts, fixes the position and residue with the smallest
-    binomial upper tail against the background share, and goes on.  When nothing
-    is left to fix, the motif is recorded, its windows leave the kept set and the
-    search starts again, so plans don't grow with the number of motifs.  Counts of a set that contains the removed windows are kept up to
-    date by subtraction, so the restart needs no new pass.
+    Both sides are reduced once to distinct windows with two counts, and these to an
+    index of bitmaps (``window_index``).  A step ANDs the bitmaps of the fixed residues,
+    leaves out the windows of earlier motifs and counts bits; the driver sees only its
+    width x alphabet counts, fixes the position and residue with the smallest binomial
+    upper tail against the background share, and goes on.  When nothing is left to fix,
+    the motif is recorded and the search starts again on the same index.  Counts of a set
+    that contains the removed windows are kept up to date by subtraction, so the restart
+    needs no new pass.  Windows that are missing, of another width or without ``centre``
+    in the middle take no part; an empty side gives no motif.
     """
     mid = width // 2 + 1
+    letters = "".join(dict.fromkeys(alphabet + centre))
     windows = (
         _side(fg, window, "fn").unionByName(_side(bg, window, "bn"))
         .where((F.length("window") == width) & (F.substring("window", mid, 1) == centre))
         .groupBy("window").agg(F.sum("fn").alias("fn"), F.sum("bn").alias("bn"))
-        .persist()
     )
+    index = window_index(windows, letters, width).persist()
     found: list[tuple] = []
+    removed: list[dict[int, str]] = []
     known: dict[frozenset, dict] = {}
     try:
         while True:
@@ -300,7 +298,7 @@ def motif_enrich(
             while True:
                 here = frozenset(fixed.items())
                 if here not in known:
-                    known[here] = _cells(windows.where(_matches(fixed)), alphabet + centre)
+                    known[here] = _cells(index, letters, width, fixed, removed)
                 cells = known[here]
                 last = cells.get((mid, centre), (0, 0))
                 size = size or last
@@ -315,24 +313,79 @@ def motif_enrich(
             text = "".join(fixed.get(i, ".") for i in range(1, width + 1))
             fold = (last[0] / size[0]) / (last[1] / size[1]) if last[1] else float("inf")
             found.append((text, score, last[0], size[0], last[1], size[1], fold, len(found) + 1))
-            rest = cut_lineage(windows.where(~_matches(fixed)))
-            windows.unpersist()
-            windows = rest.persist()
+            removed.append(fixed)
             known = {k: _minus(c, cells) for k, c in known.items() if k < here}
     finally:
-        windows.unpersist()
+        index.unpersist()
     return fg.sparkSession.createDataFrame(found, MOTIF_SCHEMA)
 
 
-def _cells(windows: DataFrame, alphabet: str) -> dict[tuple[int, str], tuple[int, int]]:
-    """Counts of both sides per (position, residue): at most width x alphabet rows."""
+def window_index(windows: DataFrame, letters: str, width: int) -> DataFrame:
+    """(cells, fn, bn): one row of bitmaps for each Arrow batch of (window, fn, bn).
+
+    ``cells`` holds a bitmap for every position and letter in turn, a bit for each window
+    of the batch; ``fn`` and ``bn`` hold the counts bit by bit, lowest first, as bitmaps
+    of the same length.  A window takes width x letters bits, whatever its counts.
+    """
+    codes = np.frombuffer(letters.encode("utf-32-le"), "<u4")
+
+    def packed(bits: np.ndarray) -> bytes:
+        spare = -bits.shape[1] % 64
+        return np.packbits(np.pad(bits, ((0, 0), (0, spare))), axis=1).tobytes()
+
+    def sliced(counts: np.ndarray) -> bytes:
+        places = np.arange(max(1, int(counts.max()).bit_length()))
+        return packed((counts[None, :] >> places[:, None]) & 1 > 0)
+
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            text = np.frombuffer("".join(pdf.window).encode("utf-32-le"), "<u4").reshape(len(pdf), width)
+            cells = (text.T[:, None, :] == codes[None, :, None]).reshape(width * len(codes), len(pdf))
+            yield pd.DataFrame({
+                "cells": [packed(cells)], "fn": [sliced(pdf.fn.to_numpy())], "bn": [sliced(pdf.bn.to_numpy())],
+            })
+
+    return windows.mapInPandas(build, "cells binary, fn binary, bn binary")
+
+
+def _cells(index: DataFrame, letters: str, width: int, fixed: Mapping[int, str], removed: Sequence[Mapping[int, str]]) -> dict[tuple[int, str], tuple[int, int]]:
+    """Counts of both sides per (position, residue) among the windows that match ``fixed``
+    and none of ``removed``: at most width x letters rows."""
+    size = width * len(letters)
+
+    def place(motif: Mapping[int, str]) -> list[int]:
+        return [(pos - 1) * len(letters) + letters.index(a) for pos, a in motif.items()]
+
+    wanted, left_out = place(fixed), [place(m) for m in removed]
+
+    def weigh(bits: np.ndarray, planes: np.ndarray) -> np.ndarray:
+        """Sum of the counts under each bitmap."""
+        return sum(np.bitwise_count(bits & plane).sum(1, dtype=np.int64) << b for b, plane in enumerate(planes))
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            fn, bn = np.zeros(size, np.int64), np.zeros(size, np.int64)
+            for row in pdf.itertuples():
+                cells = np.frombuffer(row.cells, np.uint64).reshape(size, -1)
+                alive = np.bitwise_and.reduce(cells[wanted])
+                for gone in left_out:
+                    alive &= ~np.bitwise_and.reduce(cells[gone])
+                if alive.any():
+                    words = np.flatnonzero(alive)
+                    here = cells[:, words] & alive[words]
+                    fn += weigh(here, np.frombuffer(row.fn, np.uint64).reshape(-1, len(alive))[:, words])
+                    bn += weigh(here, np.frombuffer(row.bn, np.uint64).reshape(-1, len(alive))[:, words])
+            some = np.flatnonzero(fn + bn)
+            yield pd.DataFrame({"cell": some, "fn": fn[some], "bn": bn[some]})
+
     rows = (
-        windows.select(F.posexplode(F.split("window", "")).alias("pos", "residue"), "fn", "bn")
-        .where(F.col("residue").isin(*alphabet))
-        .groupBy("pos", "residue").agg(F.sum("fn").alias("fn"), F.sum("bn").alias("bn"))
+        index.mapInPandas(count, "cell int, fn bigint, bn bigint")
+        .groupBy("cell").agg(F.sum("fn").alias("fn"), F.sum("bn").alias("bn"))
         .collect()
     )
-    return {(r.pos + 1, r.residue): (r.fn, r.bn) for r in rows}
+    return {(r.cell // len(letters) + 1, letters[r.cell % len(letters)]): (r.fn, r.bn) for r in rows}
 
 
 def _minus(cells: dict, removed: dict) -> dict:
@@ -349,14 +402,33 @@ def _best_cell(cells, size, fixed, alphabet, min_seqs, p_cutoff, smallest_p):
     n, m = size
     if n < min_seqs or m == 0:
         return None
-    tested = []
-    for (pos, letter), (f, b) in cells.items():
-        if pos in fixed or letter not in alphabet or f < min_seqs:
-            continue
-        p = max(binom_upper(f, n, b / m), smallest_p)
-        if p < p_cutoff:
-            tested.append((p, -f, pos, letter))
+    free = [(pos, a, f, b) for (pos, a), (f, b) in cells.items() if pos not in fixed and a in alphabet and f >= min_seqs]
+    if not free:
+        return None
+    p = _upper_tails(np.array([c[2] for c in free]), n, np.array([c[3] for c in free]) / m, p_cutoff, smallest_p)
+    tested = [(x, -f, pos, a) for x, (pos, a, f, _) in zip(p.tolist(), free) if x < p_cutoff]
     if not tested:
         return None
-    p, _, pos, letter = min(tested)
-    return p, pos, letter
+    x, _, pos, letter = min(tested)
+    return x, pos, letter
+
+
+def _upper_tails(x: np.ndarray, n: int, p: np.ndarray, above: float, below: float) -> np.ndarray:
+    """P(X >= x) where it decides: a value of ``above`` or more may come back as 1 and
+    one of ``below`` or less comes back as ``below``, so most tails need no summation.
+
+    At or below its mean a binomial tail is over a quarter once n * p >= 1; a tail holds
+    its first term; and it is at most exp(-n * relative entropy) (Chernoff).
+    """
+    share = x / n
+    with np.errstate(divide="ignore", invalid="ignore"):
+        rest = np.where(x < n, (1 - share) * np.log((1 - share) / (1 - p)), 0.0)
+        bound = -n * (share * np.log(share / p) + rest)
+    inside = (p > 0) & (p < 1) & (x > 0)
+    over = share > p
+    large = inside & np.where(over, np.exp(binom_log_pmf(x, n, p)) >= above, (above <= 0.25) & (n * p >= 1))
+    small = inside & over & (bound < math.log(below) - 1e-6)
+    out = np.where(large, 1.0, below)
+    for i in np.flatnonzero(~large & ~small):
+        out[i] = max(binom_upper(int(x[i]), n, float(p[i])), below)
+    return out

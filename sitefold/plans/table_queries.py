@@ -13,6 +13,7 @@ from sitefold.operators.peptides import Event
 from sitefold.plans import views as v
 from sitefold.plans.registry import query, rounded
 from sitefold.plans.views import table
+from sitefold.session import cut_lineage
 
 # ---------------------------------------------------------------- counts, filters
 
@@ -711,11 +712,10 @@ good AS (SELECT d.* FROM documents d JOIN labels l ON l.doc_id = d.doc_id AND l.
 
 def _fg_bg(spark, folder, residue="T"):
     """Windows in documents of good quality against windows in all documents."""
-    good = table(spark, folder, "labels").where(F.col("quality") == 1).select("doc_id")
-    docs = _documents(spark, folder)
-    win = sequence.text_windows(docs, ["doc_id"], "text", residue)
-    # few labelled documents carry the flag, the join is by document
-    return joins.null_safe_join(win, good, ["doc_id"], "left_semi"), win
+    good = table(spark, folder, "labels").where(F.col("quality") == 1).select("doc_id", F.lit(True).alias("good")).distinct()
+    docs = joins.null_safe_join(_documents(spark, folder).select("doc_id", "text"), good, ["doc_id"], "left")
+    win = cut_lineage(sequence.text_windows(docs, ["doc_id", "good"], "text", residue))  # cut once, read for both sides
+    return win.where("good").drop("good"), win.drop("good")
 
 
 def _cells_sql() -> str:
@@ -760,19 +760,62 @@ st AS (SELECT pos, residue, sum(share) / 30.0 AS bg_mean,
 grid AS (SELECT p AS pos, chr(CAST(96 + c AS INTEGER)) AS residue FROM range(1, 16) r(p), range(1, 27) q(c)),
 cells AS (SELECT grid.pos, grid.residue, coalesce(fc.n, 0) AS n, coalesce(bg_mean, 0) AS bg_mean, coalesce(bg_sd, 0) AS bg_sd
           FROM grid LEFT JOIN fc USING (pos, residue) LEFT JOIN st USING (pos, residue)),
-d AS (SELECT *, n / nullif(sum(n) OVER (PARTITION BY pos), 0) - bg_mean AS difference FROM cells)
+d AS (SELECT *, n / nullif(sum(n) OVER (PARTITION BY pos), 0) - bg_mean AS difference FROM cells),
+z AS (SELECT *, difference / nullif(bg_sd, 0) AS z FROM d),
+-- 1 - erf(|z| / sqrt 2) by erf's series of positive terms
+t AS (SELECT *, CASE WHEN z IS NULL THEN NULL WHEN z = 0 THEN 1.0 WHEN abs(z) > 20 THEN 0.0 ELSE greatest(0.0, 1 - list_sum(list_transform(
+        range(0, 500), lambda i: exp((2 * i + 1) * ln(abs(z) / sqrt(2)) - lgamma(i + 1.5) - z * z / 2)))) END AS p FROM z)
 SELECT CAST(pos AS INTEGER) AS pos, residue, n, round(bg_mean, 6) AS bg_mean, round(bg_sd, 6) AS bg_sd,
-       round(difference, 6) AS difference, round(difference / nullif(bg_sd, 0), 4) AS z FROM d""")
+       round(difference, 6) AS difference, round(z, 4) AS z, round(p, 6) AS p,
+       round(difference * CASE WHEN p <= 0.05 THEN 1 WHEN p IS NOT NULL THEN 0 END * 100, 4) AS score FROM t""")
 def position_enrich_z(spark, folder):
     fg, bg = _fg_bg(spark, folder)
     out = sequence.position_enrich_z(fg, bg, LETTERS, "doc_id")
     return rounded(
-        out.select("pos", "residue", "n", "bg_mean", "bg_sd", "difference", "z"),
-        bg_mean=6, bg_sd=6, difference=6, z=4,
-    )
-
-
-@query()
+        out.select("pos", "residue", "n", "bg_mean", "bg_sd", "difference", "z", "p", "score"),
+        bg_mean=6, bg_sd=6, difference=6, z=4, p=6, score=4,
+    )
+
+
+@query("WITH RECURSIVE " + _win_sql("T", False) + """,
+u AS (SELECT win, count(*) FILTER (quality = 1) AS fn, count(*) AS bn
+      FROM win LEFT JOIN (SELECT DISTINCT doc_id, quality FROM labels WHERE quality = 1) l ON l.doc_id = win.doc_id GROUP BY win),
+-- one row a step: the pattern so far, the motifs before it, counts of the search's start and of the pattern
+walk AS (
+  SELECT 0 AS step, '.......T.......' AS pattern, []::VARCHAR[] AS before, 0.0::DOUBLE AS score,
+         NULL::BIGINT AS size_n, NULL::BIGINT AS size_m, NULL::VARCHAR AS motif, NULL::DOUBLE AS motif_score,
+         NULL::BIGINT AS n, NULL::BIGINT AS m, NULL::BIGINT AS n0, NULL::BIGINT AS m0, 0 AS ord, false AS done
+  UNION ALL
+  SELECT step + 1,
+         CASE WHEN best IS NOT NULL THEN pattern[:best.pos - 1] || best.letter || pattern[best.pos + 1:] ELSE '.......T.......' END,
+         CASE WHEN best IS NULL THEN list_append(before, pattern) ELSE before END,
+         CASE WHEN best IS NOT NULL THEN score - log10(best.p) ELSE 0.0 END,
+         CASE WHEN best IS NOT NULL THEN start_n END, CASE WHEN best IS NOT NULL THEN start_m END,
+         CASE WHEN best IS NULL AND pattern <> '.......T.......' THEN pattern END, score, here_n, here_m, start_n, start_m,
+         CASE WHEN best IS NULL THEN ord + 1 ELSE ord END, best IS NULL AND pattern = '.......T.......'
+  FROM (
+    SELECT any_value(step) AS step, any_value(pattern) AS pattern, any_value(before) AS before, any_value(score) AS score, any_value(ord) AS ord,
+           any_value(here_n) AS here_n, any_value(here_m) AS here_m, any_value(coalesce(size_n, here_n)) AS start_n, any_value(coalesce(size_m, here_m)) AS start_m,
+           min({'p': p, 'f': -f, 'pos': pos, 'letter': letter}) FILTER (p < 1e-6) AS best
+    FROM (
+      SELECT *, CASE WHEN here_n >= 50 AND f >= 50 AND substr(pattern, pos, 1) = '.' AND regexp_matches(letter, '^[a-z]$') AND f * here_m > b * here_n
+                     THEN greatest(1e-16, list_sum(list_transform(range(f, here_n + 1), lambda i:
+                       exp(lgamma(here_n + 1) - lgamma(i + 1) - lgamma(here_n - i + 1) + i * ln(b / here_m) + (here_n - i) * ln(1 - b / here_m))))) END AS p
+      FROM (
+        SELECT step, pattern, before, score, size_n, size_m, ord, pos, letter, f, b,
+               max(CASE WHEN pos = 8 THEN f END) OVER () AS here_n, max(CASE WHEN pos = 8 THEN b END) OVER () AS here_m
+        FROM (
+          SELECT any_value(step) AS step, any_value(pattern) AS pattern, any_value(before) AS before, any_value(score) AS score,
+                 any_value(size_n) AS size_n, any_value(size_m) AS size_m, any_value(ord) AS ord,
+                 pos, substr(win, pos, 1) AS letter, CAST(sum(fn) AS BIGINT) AS f, CAST(sum(bn) AS BIGINT) AS b
+          FROM walk, u, (SELECT CAST(range AS INTEGER) AS pos FROM range(1, 16))
+          WHERE NOT done AND regexp_full_match(win, pattern, 's')
+            AND NOT (len(before) > 0 AND regexp_full_match(win, array_to_string(before, '|'), 's'))
+          GROUP BY pos, substr(win, pos, 1))))
+    HAVING count(*) > 0))
+SELECT motif, round(motif_score, 6) AS score, n AS fg_matches, n0 AS fg_size, m AS bg_matches, m0 AS bg_size,
+       round((n / n0) / (m / m0), 6) AS fold_increase, CAST(ord AS INTEGER) AS ord
+FROM walk WHERE motif IS NOT NULL""")
 def motif_enrich(spark, folder):
     fg, bg = _fg_bg(spark, folder)
-    return sequence.motif_enrich(fg, bg, "T", LETTERS)
+    return rounded(sequence.motif_enrich(fg, bg, "T", LETTERS), score=6, fold_increase=6)
