@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.mllib.linalg import Vectors
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import DataFrame, Window, functions as F
@@ -164,46 +165,149 @@ def _leading_components(rows: DataFrame, k: int):
 
 # --- Ward clusters ------------------------------------------------------------
 
-#: clusters whose nearest neighbours are looked up together, and that one task can finish
+#: clusters that one task can finish
 WARD_BLOCK = 512
+#: clusters of a leaf: one to two times as many
+WARD_LEAF = 256
+#: leaves of a range of the sorted clusters, and children of a node of the tree
+WARD_RANGE, WARD_FAN = 32, 8
+#: leaves that ask one leaf in one task
+WARD_GUESTS = 8
+#: bound and height are computed in different ways, a bound within this share counts as equal
+WARD_SLACK = 1e-9
+
+
+def _curve(state: DataFrame) -> DataFrame:
+    """``z``: place of a centre on a Z-curve over quantile cells of every dimension."""
+    dims = len(state.select("x").first().x)
+    bits = max(1, min(6, 62 // dims))
+    cuts = [i / (1 << bits) for i in range(1, 1 << bits)]
+    used = min(dims, 62)
+    edges = state.agg(*[F.percentile_approx(F.col("x")[i], cuts, 1000).alias(f"e{i}") for i in range(used)]).first()
+    edges = [np.array(e) for e in edges]
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x = np.stack(pdf.x.to_numpy())
+            z = np.zeros(len(pdf), np.int64)
+            for i, edge in enumerate(edges):
+                cell = np.searchsorted(edge, x[:, i], "right")
+                for bit in range(bits):
+                    z |= ((cell >> bit) & 1).astype(np.int64) << (bit * used + i)
+            yield pdf.assign(z=z)
+
+    return state.mapInPandas(place, "id long, x array<double>, w double, z long")
+
+
+def _leaves(state: DataFrame, size: int) -> DataFrame:
+    """(id, x, w, leaf): clusters in leaves of WARD_LEAF to twice as many neighbours on the
+    curve.  Equal places are told apart by id, so a dense spot is cut like any other."""
+    ranges = max(1, size // (WARD_LEAF * WARD_RANGE))
+
+    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, at = TaskContext.get().partitionId(), 0
+        for pdf in batches:
+            yield pdf[["id", "x", "w"]].assign(part=part, at=np.arange(at, at + len(pdf)))
+            at += len(pdf)
+
+    sorted_ = _curve(state).repartitionByRange(ranges, "z", "id").sortWithinPartitions("z", "id")
+    rows = cut_lineage(sorted_.mapInPandas(number, "id long, x array<double>, w double, part long, at long"))
+    sizes = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    most = max(1, sizes.agg(F.max("n")).first()[0] // WARD_LEAF)
+    pieces = F.greatest(F.lit(1), F.floor(F.col("n") / WARD_LEAF))
+    leaf = F.col("part") * most + F.floor(F.col("at") * pieces / F.col("n"))
+    return null_safe_join(rows, sizes, ["part"], "inner").select("id", "x", "w", leaf.cast("long").alias("leaf"))
+
+
+def _boxed(rows: DataFrame, node, dims: int, lo, hi) -> DataFrame:
+    """Box, smallest weight and reach (largest height still asked for) of every node."""
+    return rows.groupBy(node.alias("node")).agg(
+        F.array(*[F.min(lo[i]) for i in range(dims)]).alias("lo"), F.array(*[F.max(hi[i]) for i in range(dims)]).alias("hi"),
+        F.min("light").alias("light"), F.max("reach").alias("reach"),
+    )
+
+
+def _least_height(lo_a, hi_a, w_a, lo_b, hi_b, w_b):
+    """No cluster of one box and weight or more is nearer to one of the other's, by Ward's distance."""
+    gaps = F.zip_with(
+        F.zip_with(lo_a, hi_b, lambda p, q: p - q), F.zip_with(lo_b, hi_a, lambda p, q: p - q),
+        lambda p, q: F.greatest(p, q, F.lit(0.0)),
+    )
+    return F.aggregate(gaps, F.lit(0.0), lambda t, g: t + g * g) * (w_a * w_b / (w_a + w_b))
+
+
+def _heights(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    """Nearest of ``b`` for each of ``a``; ties go to the smaller id."""
+    b = b.sort_values("id")
+    x, y = np.stack(a.x.to_numpy()), np.stack(b.x.to_numpy())
+    w, v = a.w.to_numpy()[:, None], b.w.to_numpy()[None, :]
+    d = sum((x[:, [i]] - y[:, i]) ** 2 for i in range(x.shape[1])) * (w * v / (w + v))
+    d[a.id.to_numpy()[:, None] == b.id.to_numpy()[None, :]] = np.inf
+    j = d.argmin(1)
+    return pd.DataFrame({"id": a.id.to_numpy(), "other": b.id.to_numpy()[j], "height": d[np.arange(len(a)), j]})
 
 
 def _nearest(state: DataFrame, size: int) -> DataFrame:
     """(id, other, height): each cluster's nearest one by Ward's distance.
 
-    Clusters are packed in blocks, and every block meets every other in a task of its
-    own, which sends one candidate for each cluster; ties go to the smaller id.
+    Clusters next to each other on a Z-curve form leaves, and WARD_FAN nodes a node of the
+    next level.  The nearest one within the leaf bounds the search: from the root down, a
+    leaf meets only the nodes whose box can hold something as near, and at the bottom only
+    the clusters that the other leaf's box can still serve go there.  So a round's rows
+    grow with the clusters and not with their pairs.
     """
-    blocks = max(1, -(-size // WARD_BLOCK))
-    state = state.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    asked = state.select(F.col("b").alias("p"), every.alias("q"), F.lit(0).alias("side"), "id", "x", "w")
-    given = state.select(every.alias("p"), F.col("b").alias("q"), F.lit(1).alias("side"), "id", "x", "w")
-
-    def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[pdf.side == 0].sort_values("id"), pdf[pdf.side == 1].sort_values("id")
-        if not len(a) or not len(b):
-            return pd.DataFrame({"id": [], "other": [], "height": []})
-        x, y = np.stack(a.x.to_numpy()), np.stack(b.x.to_numpy())
-        w, v = a.w.to_numpy()[:, None], b.w.to_numpy()[None, :]
-        d = ((x[:, None, :] - y[None, :, :]) ** 2).sum(2) * (w * v / (w + v))
-        d[a.id.to_numpy()[:, None] == b.id.to_numpy()[None, :]] = np.inf
-        j = d.argmin(1)
-        height = d[np.arange(len(a)), j]
-        out = pd.DataFrame({"id": a.id.to_numpy(), "other": b.id.to_numpy()[j], "height": height})
-        return out[np.isfinite(height)]
-
-    met = asked.unionByName(given).groupBy("p", "q").applyInPandas(best, "id long, other long, height double")
+
+    def within(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf.merge(_heights(pdf, pdf), on="id")
+
+    leaves = _leaves(state, size)
+    own = cut_lineage(leaves.groupBy("leaf").applyInPandas(within, "id long, x array<double>, w double, leaf long, other long, height double"))
+    dims = len(own.select("x").first().x)
+    x = F.col("x")
+    rows = own.select("leaf", "x", F.col("w").alias("light"), F.col("height").alias("reach"))
+    level = cut_lineage(_boxed(rows, F.col("leaf"), dims, x, x))
+    levels = [level]
+    span = level.agg(F.max("node")).first()[0] + 1
+    while span > 1:
+        level = _boxed(level, F.floor(F.col("node") / WARD_FAN), dims, F.col("lo"), F.col("hi"))
+        levels.append(level)
+        span = -(-span // WARD_FAN)
+    asking = levels[0].select(F.col("node").alias("q"), *[F.col(c).alias(f"q_{c}") for c in ("lo", "hi", "light", "reach")])
+    front = asking.withColumn("node", F.lit(0).cast("long"))
+    for below in reversed(levels[:-1]):
+        child = below.drop("reach").withColumnRenamed("node", "child").withColumn("node", F.floor(F.col("child") / WARD_FAN))
+        least = _least_height(F.col("q_lo"), F.col("q_hi"), F.col("q_light"), F.col("lo"), F.col("hi"), F.col("light"))
+        met = null_safe_join(front, child, ["node"], "inner").where(least <= F.col("q_reach") * (1 + WARD_SLACK))
+        front = met.select("q", "q_lo", "q_hi", "q_light", "q_reach", F.col("child").alias("node"))
+    pairs = cut_lineage(front.where("q <> node").select("q", F.col("node").alias("c")))
+    visits = pairs.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / WARD_GUESTS).alias("chunks"))
+    pairs = null_safe_join(pairs, visits, ["c"], "inner").select("q", "c", F.pmod(F.xxhash64("q"), F.col("chunks")).alias("chunk"))
+    boxes = levels[0].select(F.col("node").alias("c"), "lo", "hi", "light")
+    ends = null_safe_join(pairs, boxes, ["c"], "inner")
+    least = _least_height(x, x, F.col("w"), F.col("lo"), F.col("hi"), F.col("light"))
+    asked = null_safe_join(own.withColumnRenamed("leaf", "q"), ends, ["q"], "inner").where(least <= F.col("height") * (1 + WARD_SLACK))
+    asked = asked.select("c", "chunk", F.lit(0).alias("side"), "id", "x", "w")
+    given = null_safe_join(own.select(F.col("leaf").alias("c"), "id", "x", "w"), pairs.select("c", "chunk").distinct(), ["c"], "inner")
+    given = given.select("c", "chunk", F.lit(1).alias("side"), "id", "x", "w")
+
+    def across(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = pdf[pdf.side == 0], pdf[pdf.side == 1]
+        return _heights(a, b) if len(a) else pd.DataFrame({"id": [], "other": [], "height": []})
+
+    met = asked.unionByName(given).groupBy("c", "chunk").applyInPandas(across, "id long, other long, height double")
     nearest = F.min(F.struct("height", "other")).alias("m")
-    return met.groupBy("id").agg(nearest).select("id", "m.other", "m.height")
+    return own.select("id", "other", "height").unionByName(met).groupBy("id").agg(nearest).select("id", "m.other", "m.height")
 
 
 def ward_merges(points: DataFrame) -> DataFrame:
     """(child, parent, height): the whole Ward hierarchy of (id, x, w).
 
     Ward's distance is reducible, so clusters that are each other's nearest can merge at
-    once without a change of the hierarchy.  Every round merges all such pairs as
-    DataFrames; the last WARD_BLOCK clusters are merged pair by pair in one task.
+    once without a change of the hierarchy.  Every round finds them by a tree of boxes
+    and merges all such pairs as DataFrames; the last WARD_BLOCK clusters, whatever the
+    number of points, are merged pair by pair in one task.
     """
     state = cut_lineage(points)
     merges = []
@@ -244,48 +348,6 @@ def ward_merges(points: DataFrame) -> DataFrame:
     return last
 
 
-def ward_labels(points: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
-    """Ward labels of weighted points (Lance-Williams on squared distances)."""
-    n = len(points)
-    sq = (points**2).sum(1)
-    d = np.maximum(0.0, sq[:, None] + sq[None, :] - 2 * points @ points.T)
-    w = weights.astype(float).copy()
-    d *= (w[:, None] * w[None, :]) / (w[:, None] + w[None, :])
-    np.fill_diagonal(d, np.inf)
-    member = np.arange(n)
-    alive = np.ones(n, dtype=bool)
-    near = d.argmin(1)
-    dist = d[np.arange(n), near]
-    for _ in range(n - min(k, n)):
-        i = int(np.where(alive, dist, np.inf).argmin())
-        j = int(near[i])
-        i, j = min(i, j), max(i, j)
-        dij = d[i, j]
-        others = alive.copy()
-        others[[i, j]] = False
-        wo = w[others]
-        new = ((w[i] + wo) * d[i, others] + (w[j] + wo) * d[j, others] - wo * dij) / (
-            w[i] + w[j] + wo
-        )
-        d[i, others] = new
-        d[others, i] = new
-        alive[j] = False
-        d[j, :] = np.inf
-        d[:, j] = np.inf
-        w[i] += w[j]
-        member[member == j] = i
-        # refresh the nearest neighbour wherever it may have changed
-        idx = np.flatnonzero(others)
-        stale = idx[(near[idx] == i) | (near[idx] == j)]
-        for s in [i, *stale]:
-            near[s] = int(d[s].argmin())
-            dist[s] = d[s, near[s]]
-        closer = idx[d[idx, i] < dist[idx]]
-        near[closer] = i
-        dist[closer] = d[closer, i]
-    return np.unique(member, return_inverse=True)[1]
-
-
 def ward_clusters(df: DataFrame, key: str, features: Sequence[str], k: int) -> DataFrame:
     """Ward (squared-distance) clusters cut at ``k``: (key, cluster).
 
@@ -298,9 +360,9 @@ def ward_clusters(df: DataFrame, key: str, features: Sequence[str], k: int) -> D
     rows = df.select(key, x.alias("x"))
     points = cut_lineage(rows.groupBy("x").agg(F.count(F.lit(1)).cast("double").alias("w")))
     points = cut_lineage(points.withColumn("id", F.xxhash64("x")))
-    n = points.count()
     merges = cut_lineage(ward_merges(points.select("id", "x", "w")))
-    taken = merges.orderBy("height", "child").limit(max(0, n - k)).select(F.col("child").alias("id"), "parent")
+    highest = merges.orderBy(F.col("height").desc(), F.col("child").desc()).limit(max(0, k - 1)).select("child")
+    taken = merges.join(highest, ["child"], "left_anti").select(F.col("child").alias("id"), "parent")
     roots = cut_lineage(key_join(points.select("id"), taken, ["id"], "left").select("id", F.coalesce("parent", "id").alias("root")))
     while True:  # every jump halves the way to the root
         up = roots.select(F.col("id").alias("root"), F.col("root").alias("above"))

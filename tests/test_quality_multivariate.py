@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 
 from sitefold.operators import multivariate as mv, quality as ql
 
@@ -118,9 +119,82 @@ def test_ward_against_brute_force(spark):
         assert sizes == sorted(sizes, reverse=True) and sorted(got) == list(range(1, k + 1))
 
 
+def ward_labels(points: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
+    """Ward labels of weighted points (Lance-Williams on squared distances)."""
+    n = len(points)
+    sq = (points**2).sum(1)
+    d = np.maximum(0.0, sq[:, None] + sq[None, :] - 2 * points @ points.T)
+    w = weights.astype(float).copy()
+    d *= (w[:, None] * w[None, :]) / (w[:, None] + w[None, :])
+    np.fill_diagonal(d, np.inf)
+    member = np.arange(n)
+    alive = np.ones(n, dtype=bool)
+    near = d.argmin(1)
+    dist = d[np.arange(n), near]
+    for _ in range(n - min(k, n)):
+        i = int(np.where(alive, dist, np.inf).argmin())
+        j = int(near[i])
+        i, j = min(i, j), max(i, j)
+        dij = d[i, j]
+        others = alive.copy()
+        others[[i, j]] = False
+        wo = w[others]
+        new = ((w[i] + wo) * d[i, others] + (w[j] + wo) * d[j, others] - wo * dij) / (
+            w[i] + w[j] + wo
+        )
+        d[i, others] = new
+        d[others, i] = new
+        alive[j] = False
+        d[j, :] = np.inf
+        d[:, j] = np.inf
+        w[i] += w[j]
+        member[member == j] = i
+        # refresh the nearest neighbour wherever it may have changed
+        idx = np.flatnonzero(others)
+        stale = idx[(near[idx] == i) | (near[idx] == j)]
+        for s in [i, *stale]:
+            near[s] = int(d[s].argmin())
+            dist[s] = d[s, near[s]]
+        closer = idx[d[idx, i] < dist[idx]]
+        near[closer] = i
+        dist[closer] = d[closer, i]
+    return np.unique(member, return_inverse=True)[1]
+
+
+def brute_nearest(x, w, ids):
+    d = ((x[:, None, :] - x[None, :, :]) ** 2).sum(2) * (w[:, None] * w[None, :] / (w[:, None] + w[None, :]))
+    np.fill_diagonal(d, np.inf)
+    return d
+
+
+@pytest.mark.parametrize("shape", ["even", "dense spot", "heavy far"])
+def test_nearest_cluster_by_boxes(spark, monkeypatch, shape):
+    """Leaves pruned by their boxes miss no nearest cluster, and most pairs of leaves are pruned."""
+    monkeypatch.setattr(mv, "WARD_LEAF", 8)
+    monkeypatch.setattr(mv, "WARD_RANGE", 16)
+    rng = np.random.default_rng(7)
+    n = 700
+    x = rng.uniform(0, 10, (n, 2))
+    w = rng.integers(1, 4, n).astype(float)
+    if shape == "dense spot":
+        x[: n // 3] = 5 + rng.normal(0, 1e-4, (n // 3, 2))
+    if shape == "heavy far":
+        x[:20] = rng.uniform(50, 90, (20, 2))
+        w[:40] = 1000.0
+    ids = rng.permutation(n)
+    df = spark.createDataFrame([(int(i), [float(v) for v in p], float(q)) for i, p, q in zip(ids, x, w)], "id long, x array<double>, w double")
+    got = {r.id: r for r in mv._nearest(df, n).collect()}
+    d = brute_nearest(x, w, ids)
+    assert set(got) == set(ids.tolist())
+    for a, i in enumerate(ids):
+        assert got[int(i)].height == pytest.approx(d[a].min(), rel=1e-9)
+        assert d[a][np.flatnonzero(ids == got[int(i)].other)[0]] == pytest.approx(d[a].min(), rel=1e-9)
+
+
 def test_ward_in_rounds(spark, monkeypatch):
     """Merges of mutual nearest clusters, in blocks, give the hierarchy of single merges."""
-    monkeypatch.setattr(mv, "WARD_BLOCK", 16)
+    monkeypatch.setattr(mv, "WARD_BLOCK", 60)
+    monkeypatch.setattr(mv, "WARD_LEAF", 8)
     rng = np.random.default_rng(5)
     pts = np.concatenate([rng.normal(0, 0.3, (60, 2)), rng.normal(3, 0.6, (30, 2)), [[9, 9]] * 3])
     df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(pts)], "i int, a double, b double")
@@ -129,7 +203,7 @@ def test_ward_in_rounds(spark, monkeypatch):
         for r in mv.ward_clusters(df, "i", ["a", "b"], k).collect():
             got.setdefault(r.cluster, set()).add(r.i)
         distinct, w = np.unique(pts, axis=0, return_counts=True)
-        labels = mv.ward_labels(distinct, w.astype(float), k)
+        labels = ward_labels(distinct, w.astype(float), k)
         where = {tuple(p): c for p, c in zip(distinct, labels)}
         want = {}
         for i, p in enumerate(pts):
