@@ -536,13 +536,13 @@ def term_enrichment(spark, folder):
 
 
 @query("WITH " + TERM_SQL + """
-SELECT term, cluster, split_part(cluster, '_', 1) AS strain, fg_pos, round(p, 6) AS p, round(enrich, 6) AS enrich, round(log2(enrich), 6) AS log2_enrich
+SELECT term, cluster, split_part(cluster, '_', 1) AS strain, fg_pos, round(p, 6) AS p, round(enrich, 6) AS enrich, round(log2(enrich), 6) AS log2_enrich, round(p_adj, 6) AS p_adj
 FROM bh WHERE p < 0.2 AND fg_pos >= 5 AND enrich > 1""")
 def enriched_terms(spark, folder):
     out = enrichment.enriched_terms(_term(spark, folder), 0.2, 5, p="p_adj_grouped")
     return rounded(
-        out.select("term", "cluster", "strain", "fg_pos", "p", "enrich", "log2_enrich"),
-        p=6, enrich=6, log2_enrich=6,
+        out.select("term", "cluster", "strain", "fg_pos", "p", "enrich", "log2_enrich", "p_adj"),
+        p=6, enrich=6, log2_enrich=6, p_adj=6,
     )
 
 
@@ -640,7 +640,26 @@ def pca_ellipse(spark, folder):
     return rounded(out, mean_x=4, mean_y=4, var_x=4, var_y=4, cov_xy=4, radius=4)
 
 
-@query()
+@query("WITH RECURSIVE " + SDA_SQL + "," + MATRIX_SQL + """,
+pts AS MATERIALIZED (SELECT f1, f2, f3, CAST(count(*) AS DOUBLE) AS w, row_number() OVER (ORDER BY f1, f2, f3) AS id FROM mat GROUP BY f1, f2, f3),
+-- a row for each point, with the centre and weight of its cluster; one merge a step, down to 4 clusters
+walk AS (
+  SELECT 0 AS step, id, id AS root, f1 AS x, f2 AS y, f3 AS z, w FROM pts
+  UNION ALL
+  SELECT step + 1, id, CASE WHEN root = m.j THEN m.i ELSE root END,
+         CASE WHEN root IN (m.i, m.j) THEN m.x ELSE walk.x END, CASE WHEN root IN (m.i, m.j) THEN m.y ELSE walk.y END,
+         CASE WHEN root IN (m.i, m.j) THEN m.z ELSE walk.z END, CASE WHEN root IN (m.i, m.j) THEN m.w ELSE walk.w END
+  FROM walk, (
+    SELECT best.i AS i, best.j AS j, best.x AS x, best.y AS y, best.z AS z, best.w AS w
+    FROM (SELECT min({'h': ((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) * a.w * b.w / (a.w + b.w), 'i': a.root, 'j': b.root,
+                      'x': (a.x * a.w + b.x * b.w) / (a.w + b.w), 'y': (a.y * a.w + b.y * b.w) / (a.w + b.w),
+                      'z': (a.z * a.w + b.z * b.w) / (a.w + b.w), 'w': a.w + b.w}) AS best, count(*) AS n
+          FROM (SELECT DISTINCT root, x, y, z, w FROM walk) a JOIN (SELECT DISTINCT root, x, y, z, w FROM walk) b ON a.root < b.root)
+    WHERE n > 6) m),
+fin_ AS (SELECT * FROM walk WHERE step = (SELECT max(step) FROM walk)),
+num AS (SELECT root, row_number() OVER (ORDER BY w DESC, x, y, z) AS cluster FROM (SELECT DISTINCT root, x, y, z, w FROM fin_))
+SELECT mat.protein, CAST(num.cluster AS INTEGER) AS cluster
+FROM mat JOIN pts ON (mat.f1, mat.f2, mat.f3) = (pts.f1, pts.f2, pts.f3) JOIN fin_ ON fin_.id = pts.id JOIN num ON num.root = fin_.root""")
 def ward_clusters(spark, folder):
     m = hits.masked_fold_matrix(_sda(spark, folder), "protein", MATRIX_LABELS, ALPHA)
     return multivariate.ward_clusters(m, "protein", [f"fold_{n}" for n in MATRIX_LABELS], 4)
