@@ -9,6 +9,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in the session's Python workers, once per context.
@@ -63,9 +65,22 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Reliable checkpoint in the shared folder.
+
+    Once it is written nothing reads the shuffle files behind it, so they go at once and
+    not when the driver next collects its garbage.
+    """
+    spark = df.sparkSession
+    shared_folder(spark)
+    before = spark.conf.get(_CLEAN_SHUFFLES, None)
+    spark.conf.set(_CLEAN_SHUFFLES, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # a plan takes the setting when it is made
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEAN_SHUFFLES)
+        else:
+            spark.conf.set(_CLEAN_SHUFFLES, before)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int | None) -> DataFrame:
