@@ -8,6 +8,7 @@ ratio speaks for a random string.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -32,6 +33,26 @@ MARGIN = 0.5
 _SPAN = "array<struct<start:int,end:int,value:string>>"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """What ``join`` makes of the elements up to each one; zero must change nothing.
+
+    Step k joins to each element what lies 2**k before it, so n elements take n * log n
+    operations; appending to an array in a loop would copy it each time.
+    """
+
+    def double(sums: Column, k: Column) -> Column:
+        before = F.slice(F.concat(F.array_repeat(F.lit(0), F.pow(F.lit(2), k).cast("int")), sums), F.lit(1), F.size(sums))
+        return F.zip_with(sums, before, join)
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(values), F.lit(1)))).cast("int"))
+    return F.aggregate(steps, values, double)
+
+
 def matches(text: Column, pattern: str, group: int = 0) -> Column:
     """Leftmost non-overlapping matches: array of (start, end, value of the group).
 
@@ -42,33 +63,68 @@ def matches(text: Column, pattern: str, group: int = 0) -> Column:
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
     parts = F.arrays_zip(F.split(text, pattern, -1).alias("between"), whole.alias("whole"), value.alias("value"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("found"))
 
-    def step(done: Column, part: Column) -> Column:
-        start = done["at"] + F.length(part["between"])
-        end = start + F.coalesce(F.length(part["whole"]), F.lit(0))
-        span = F.struct(start.alias("start"), end.alias("end"), part["value"].alias("value"))
-        found = F.when(part["whole"].isNull(), done["found"]).otherwise(F.concat(done["found"], F.array(span).cast(_SPAN)))
-        return F.struct(end.alias("at"), found.alias("found"))
+    def span(part: Column, end: Column) -> Column:
+        return F.struct((end - F.length(part["whole"])).alias("start"), end.alias("end"), part["value"].alias("value"))
+
+    def placed(parts: Column) -> Column:
+        lengths = F.transform(parts, lambda p: F.length(p["between"]) + F.coalesce(F.length(p["whole"]), F.lit(0)))
+        return F.zip_with(parts, running(lengths, lambda x, y: x + y), span)
 
-    found = F.aggregate(parts, zero, step, lambda done: done["found"])
+    found = F.filter(_let(parts, placed), lambda m: m["start"].isNotNull())  # no match behind the last part
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast(_SPAN))
 
 
+def apart(candidates: Column, base: Column) -> Column:
+    """Candidates, ordered and without overlaps, that touch no base span.
+
+    Base spans by start and candidates by end are put in one order; a candidate is touched
+    if the furthest end of the base spans that start before its own end lies behind its
+    start.
+    """
+    none = F.lit(None).cast("string")
+    event = lambda at, is_base, reach, start, value: F.struct(at.alias("at"), F.lit(is_base).alias("is_base"), reach.alias("reach"), start.alias("start"), value.alias("value"))
+    events = F.concat(
+        F.transform(base, lambda b: event(b["start"], 1, b["end"], b["start"], none)),
+        F.transform(candidates, lambda c: event(c["end"], 0, F.lit(0), c["start"], c["value"])),
+    )
+
+    def judged(events: Column) -> Column:
+        reach = running(F.transform(events, lambda e: e["reach"]), lambda x, y: F.greatest(x, y))
+        met = F.zip_with(events, reach, lambda e, r: F.struct(e["start"].alias("start"), e["at"].alias("end"), e["value"].alias("value"), ((e["is_base"] == 0) & (r <= e["start"])).alias("free")))
+        return F.transform(F.filter(met, lambda m: m["free"]), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value")))
+
+    return F.when((F.size(base) == 0) | (F.size(candidates) == 0), candidates).otherwise(_let(F.array_sort(events), judged))
+
+
 def _base(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
     if kind == "hex":  # runs are maximal, so the short ones need not be matched first
         pattern = f"[0-9a-f]{{{least},}}"
     return F.filter(matches(text, pattern, group), lambda m: F.length(m["value"]) >= least)
 
 
+def _codes(token: Column) -> Column:
+    """Numbers of a token's characters, from one pass over it."""
+    return F.transform(F.split(token, ""), lambda c: F.instr(F.lit(ALPHABET), c))
+
+
+def _steps(token: Column, pair: Callable[[Column, Column], Column]) -> Column:
+    """``pair`` of the numbers of every two neighbouring characters."""
+
+    def neighbours(codes: Column) -> Column:
+        n = F.greatest(F.size(codes) - 1, F.lit(0))
+        return F.zip_with(F.slice(codes, F.lit(1), n), F.slice(codes, F.lit(2), n), pair)
+
+    return _let(_codes(token), neighbours)
+
+
 def _transitions(tokens: DataFrame) -> DataFrame:
     """(a, b, n): how often b follows a in the distinct tokens' characters."""
     # a token in a hot group is counted once and weighted after
     counted = tokens.groupBy("token").agg(F.count("*").alias("n"))
-    at = F.explode(F.sequence(F.lit(1), F.length("token") - 1)).alias("i")
-    pairs = counted.filter(F.length("token") > 1).select("token", "n", at)
-    pair = [F.instr(F.lit(ALPHABET), F.substring("token", F.col("i") + d, F.lit(1))) for d in (0, 1)]
-    return pairs.select(pair[0].alias("a"), pair[1].alias("b"), "n").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    steps = _steps(F.col("token"), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    pairs = counted.filter(F.length("token") > 1).select(F.explode(steps).alias("step"), "n")
+    return pairs.groupBy("step.a", "step.b").agg(F.sum("n").alias("n"))
 
 
 def _log_model(tokens: DataFrame) -> list[list[float]]:
@@ -84,9 +140,7 @@ def log_ratio(token: Column, ratio: list[list[float]]) -> Column:
     """Mean log-likelihood ratio per transition of a token, random against ordinary."""
     k = len(ratio)
     table = F.split(F.lit(",".join(f"{x:.6f}" for row in ratio for x in row)), ",").cast("array<double>")
-    code = lambda i: F.instr(F.lit(ALPHABET), F.substring(token, i, F.lit(1)))
-    steps = F.sequence(F.lit(1), F.length(token) - 1)
-    total = F.aggregate(steps, F.lit(0.0), lambda s, i: s + F.get(table, code(i) * k + code(i + 1)))
+    total = F.aggregate(_steps(token, lambda a, b: F.get(table, a * k + b)), F.lit(0.0), lambda s, x: s + x)
     return F.when(F.length(token) > 1, total / (F.length(token) - 1)).otherwise(0.0)
 
 
@@ -115,8 +169,7 @@ def scan_secrets(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     found = frame.select("doc_id", *(_base(F.col("text"), *k).alias(k[0]) for k in KINDS), matches(F.col("text"), CANDIDATE).alias("candidates"))
     tagged = F.concat(*(_of_kind(k[0], i) for i, k in enumerate(KINDS)))
     found = found.select("doc_id", F.array_sort(tagged).alias("base"), "candidates")
-    apart = lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-    found = cut_lineage(found.select("doc_id", "base", F.filter("candidates", apart).alias("candidates")))
+    found = cut_lineage(found.select("doc_id", "base", apart(F.col("candidates"), F.col("base")).alias("candidates")))
 
     n = max(1, frame.count())
     few = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < math.ceil((1 << 20) * min(1.0, ORDINARY_DOCS / n))

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 import string
+import time
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -63,6 +64,31 @@ def test_random_strings_are_added_and_words_left_alone(spark, docs):
         assert not any(int(a) < z and x < int(b) for k, a, b in spans if k == "random" for x, z in own)
 
 
+def test_candidates_apart_from_base_spans(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(60):
+        ends = sorted(rng.sample(range(200), 2 * rng.randint(0, 12)))
+        candidates = [(a, z, "c") for a, z in zip(ends[::2], ends[1::2])]
+        base = sorted((a, a + rng.randint(1, 30), "b") for a in rng.sample(range(200), rng.randint(0, 6)))
+        rows.append((i, base, candidates))
+    span = "array<struct<start:int,end:int,value:string>>"
+    frame = spark.createDataFrame(rows, f"i int, base {span}, candidates {span}")
+    got = {r.i: [tuple(c) for c in r.a] for r in frame.select("i", secret_scan.apart(F.col("candidates"), F.col("base")).alias("a")).collect()}
+    for i, base_spans, candidates in rows:
+        assert got[i] == [c for c in candidates if not any(b[0] < c[1] and c[0] < b[1] for b in base_spans)]
+
+
+def test_text_with_many_matches(spark):
+    """Places of 100,000 matches and a token of 200,000 characters take seconds."""
+    rng = random.Random(9)
+    many = " ".join("".join(rng.choices("0123456789abcdef", k=16)) for _ in range(100_000))
+    token = "".join(rng.choices(string.ascii_letters, k=200_000))
+    began = time.monotonic()
+    check(spark.createDataFrame([(1, many), (2, f"é {token} é")], "doc_id long, text string"))
+    assert time.monotonic() - began < 60
+
+
 def test_ratio_matches_brute_force(spark):
     k = len(secret_scan.ALPHABET) + 1
     rng = random.Random(1)
