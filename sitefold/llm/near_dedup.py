@@ -287,9 +287,10 @@ def near_duplicates(
     pairs = null_safe_join(shared, hubs, ["key"], "inner").filter("a <> node").select("a", F.col("node").alias("b")).distinct()
     links = cut_lineage(verified(cut_lineage(estimated(pairs, nodes, percent)), texts, percent, shingle))
 
-    rest = _unfinished(shared, components(links), nodes, texts, percent, shingle)
-    links = links.unionByName(rest)
     rooted = components(links)
+    rest = _unfinished(shared, rooted, nodes, texts, percent, shingle)
+    # the first links are stars by now, so only what joins components takes rounds
+    rooted = components(rooted.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest))
 
     own = signed.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
     own = null_safe_join(own, rooted, ["node"], "left").withColumn("root", F.coalesce("root", "node"))
