@@ -606,6 +606,52 @@ def codon_t_test(spark, folder):
     return rounded(out.select("codon", "n0", "n1", "t", "df", "p"), t=6, p=6)
 
 
+#: letters of a text and the bases they stand for, so that a text reads as a coding sequence
+TEXT_LETTERS, TEXT_BASES = "abcdefghijklmnopqrstuvwxyz ", "GTACCTACGATCTCATAGCCGATGTAC"
+
+
+def _event_codons_sql(event) -> tuple[str, str]:
+    """Rates per codon of one event and the sites they come from, among the codons of its residue."""
+    own = {"ProSer": "n_ps", "ProAla": "n_pa", "ArgSer": "n_rs"}
+    none_else = " AND ".join(f"{c} = 0" for name, c in own.items() if name != event.name)
+    listed = ", ".join(f"'{c}'" for c in event.codons)
+    return f"""
+  SELECT w.sample, w.replicate, w.codon, '{event.name}' AS event, count(*) AS count_wt, count(m.gene) AS count_mutant,
+         round(count(m.gene) / count(*) * 100.0, 6) AS percent
+  FROM (SELECT * FROM {event.name}_sites WHERE n_muts = 0) w
+  LEFT JOIN (SELECT * FROM {event.name}_sites WHERE n_muts = 1) m
+    ON w.sample = m.sample AND w.replicate = m.replicate AND w.stripped = m.stripped AND w.codon = m.codon
+  WHERE contains(w.stripped, '{event.residue}') GROUP BY w.sample, w.replicate, w.codon""", f"""
+{event.name}_sites AS (
+  SELECT * FROM (
+    SELECT k.*, replace(modified_sequence, '{event.tag}', '{event.residue}') AS stripped,
+           substr(c.seq, CAST((start_pos + instr(peptide_sequence, '{event.residue}') - 1) * 3 - 2 AS BIGINT), 3) AS codon
+    FROM kept k JOIN coding c ON c.id = k.gene
+    WHERE length(peptide_sequence) - length(replace(peptide_sequence, '{event.residue}', '')) = 1
+      AND n_muts IN (0, 1) AND sample IN ('{event.name}', 'Ctrl') AND mapped_genes = '' AND {none_else}
+      AND (start_pos + instr(peptide_sequence, '{event.residue}') - 1) * 3 <= length(c.seq))
+  WHERE codon IN ({listed}))"""
+
+
+_EVENT_CODONS = [_event_codons_sql(e) for e in v.EVENTS]
+
+
+@query("WITH " + v.PEP_SQL + f""",
+coding AS (SELECT CAST(doc_id AS VARCHAR) AS id, translate(text, '{TEXT_LETTERS}', '{TEXT_BASES}') AS seq FROM documents),"""
+    + ",".join(sites for _, sites in _EVENT_CODONS) + " UNION ALL ".join(rates for rates, _ in _EVENT_CODONS))
+def codon_usage_events(spark, folder):
+    """Codon usage of all three events, each with the codons of its residue."""
+    seq = F.translate("text", TEXT_LETTERS, TEXT_BASES)
+    coding = table(spark, folder, "documents").select(
+        F.col("doc_id").cast("string").alias("id"), seq.alias("seq"), F.length(seq).alias("length")
+    )
+    kept = _kept(spark, folder)
+    rates = [
+        codons.codon_usage(kept, coding, e, [o for o in v.EVENTS if o is not e], e.name, "Ctrl") for e in v.EVENTS
+    ]
+    return rounded(joins.stack(*rates), percent=6)
+
+
 @query("""
 SELECT DISTINCT CAST(l.l_suppkey AS VARCHAR) AS gene, CAST(l.l_quantity AS INTEGER) * 7 AS site,
        CASE WHEN CAST(l.l_quantity AS INTEGER) * 21 <= length(d.text)
