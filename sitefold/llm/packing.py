@@ -6,7 +6,6 @@ import re
 import struct
 import zlib
 from bisect import bisect_left, insort
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +42,8 @@ class WordEncoder:
         # byte-level models write a byte that can't be printed as the next character from 256
         byte = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
         self.byte = "".join(map(byte.__getitem__, range(256)))
-        self.word = Memo(self._word, WORD_MEMO)
+        # the memos belong to the encoder: a cache on the class would keep every encoder alive
+        self.word, self.marks = Memo(self._word, WORD_MEMO), Memo(self._run, 1000)
 
     def _run(self, letters: str) -> bytes:
         if not letters.isascii():
@@ -61,12 +61,8 @@ class WordEncoder:
         small = letters.lower()
         ids = self._run(small) if small == word else self.word[small]
         if before:
-            ids = self._marks(before) + ids
-        return ids + self._marks(behind) if behind else ids
-
-    @lru_cache(maxsize=1000)
-    def _marks(self, marks: str) -> bytes:
-        return self._run(marks)
+            ids = self.marks[before] + ids
+        return ids + self.marks[behind] if behind else ids
 
     def ids(self, text: str) -> bytes:
         """Little-endian 32-bit ids; the text is cut at white space that the tokenizer drops."""

@@ -1,5 +1,7 @@
 import bisect
+import gc
 import random
+import weakref
 import zlib
 from collections import Counter
 
@@ -8,7 +10,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from sitefold.llm import packing
+from sitefold.llm import common, packing
 
 
 @pytest.fixture(scope="module")
@@ -63,6 +65,16 @@ def test_words_are_encoded_as_in_the_text(whole):
         assert np.frombuffer(encoder.ids(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text
 
 
+def test_nothing_of_an_encoder_stays_behind_its_task():
+    encoder = packing._encoder(None)
+    assert encoder.ids('(one) "two", three.')
+    left = weakref.ref(encoder)
+    del encoder
+    common.forget()
+    gc.collect()
+    assert left() is None
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_runs_pack_like_single_documents(seed):
     rng = random.Random(seed)
