@@ -150,7 +150,35 @@ def find_benchmark(
     own_names = frame.columns
     frame = frame.select("*", F.lit(None).cast("array<int>").alias("hit"), F.lit(None).cast(f"array<{item_type}>").alias("items"))
 
-    def searched(frame: DataFrame, held) -> DataFrame:
+    # in the pass of the last block: a pass of its own would be a second worker for each task
+    out_type = f"{own_type}, n_words long, n_hit long, item_ids array<{item_type}>, spans array<struct<start:long,end:long>>, kept_text string"
+
+    def spans_of(batch, hits, found):
+        n_words, spans, kept = [], [], []
+        for t, hit in zip(bytes_of(batch.column("text")), hits):
+            n_words.append(len(words(t or b"")))
+            spans.append([])
+            kept.append(t)
+            if hit:
+                places = [m.span() for m in _WORD.finditer(t)]
+                cuts = np.flatnonzero(np.diff(hit) > 1)
+                ends = np.r_[cuts, len(hit) - 1]
+                spans[-1] = [(places[hit[a]][0], places[hit[z]][1]) for a, z in zip(np.r_[0, cuts + 1], ends)]
+                edges = [0, *(x for s in spans[-1] for x in s), len(t)]
+                kept[-1] = b"\n".join(t[a:z] for a, z in zip(edges[::2], edges[1::2]))
+        return pa.RecordBatch.from_arrays(
+            [
+                *batch.columns[:-2],
+                pa.array(n_words, pa.int64()),
+                pa.array([len(h or ()) for h in hits], pa.int64()),
+                found,
+                pa.array([[{"start": a, "end": z} for a, z in s] for s in spans], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+                pa.array([None if k is None else k.decode() for k in kept], pa.string()),
+            ],
+            names=[*own_names, "n_words", "n_hit", "item_ids", "spans", "kept_text"],
+        )
+
+    def searched(frame: DataFrame, held, last: bool) -> DataFrame:
         def run(batches):
             phrases = _phrases(held.value, window)
             for batch in batches:
@@ -159,52 +187,23 @@ def find_benchmark(
                     for i, (at, found) in enumerate(phrases.find([words(t) for t in texts]), first):
                         hits[i] = sorted({*(hits[i] or ()), *at.tolist()})
                         own[i] = sorted({*(own[i] or ()), *found})
-                done = [pa.array(hits, pa.list_(pa.int32())), pa.array(own, batch.column("items").type)]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *done], names=batch.schema.names)
+                found = pa.array(own, batch.column("items").type)
+                if last:
+                    yield spans_of(batch, hits, found)
+                else:
+                    yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(hits, pa.list_(pa.int32())), found], names=batch.schema.names)
             del phrases
             forget()
 
-        return frame.mapInArrow(run, f"{own_type}, hit array<int>, items array<{item_type}>")
+        return frame.mapInArrow(run, out_type if last else f"{own_type}, hit array<int>, items array<{item_type}>")
 
     for b in range(blocks):
         block = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).orderBy("item_id", "text")
         held = spark.sparkContext.broadcast(_Held([(r[0], r[1].encode()) for r in block.collect()]))
-        frame = searched(frame, held)
-        if blocks > 1:
+        frame = searched(frame, held, last=b == blocks - 1)
+        if b < blocks - 1:
             frame = cut_lineage(frame)
-
-    def spans_of(batches):
-        for batch in batches:
-            n_words, spans, kept = [], [], []
-            hits = batch.column("hit").to_pylist()
-            for t, hit in zip(bytes_of(batch.column("text")), hits):
-                n_words.append(len(words(t or b"")))
-                spans.append([])
-                kept.append(t)
-                if hit:
-                    places = [m.span() for m in _WORD.finditer(t)]
-                    cuts = np.flatnonzero(np.diff(hit) > 1)
-                    ends = np.r_[cuts, len(hit) - 1]
-                    spans[-1] = [(places[hit[a]][0], places[hit[z]][1]) for a, z in zip(np.r_[0, cuts + 1], ends)]
-                    edges = [0, *(x for s in spans[-1] for x in s), len(t)]
-                    kept[-1] = b"\n".join(t[a:z] for a, z in zip(edges[::2], edges[1::2]))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *batch.columns[:-2],
-                    pa.array(n_words, pa.int64()),
-                    pa.array([len(h or ()) for h in hits], pa.int64()),
-                    batch.column("items"),
-                    pa.array([[{"start": a, "end": z} for a, z in s] for s in spans], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                    pa.array([None if k is None else k.decode() for k in kept], pa.string()),
-                ],
-                names=[*own_names, "n_words", "n_hit", "item_ids", "spans", "kept_text"],
-            )
-
-    found = frame.mapInArrow(
-        spans_of,
-        f"{own_type}, n_words long, n_hit long, item_ids array<{item_type}>, spans array<struct<start:long,end:long>>, kept_text string",
-    )
-    return found.withColumnsRenamed({f"keep {c}": c for c in keep})
+    return frame.withColumnsRenamed({f"keep {c}": c for c in keep})
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -64,6 +64,11 @@ def test_spans_are_cut_out(spark):
     assert rows[1].kept_text == "Ä keep, One two—three FOUR! rest é \n" and rows[2].kept_text is None
 
 
+def test_a_task_needs_one_python_worker(spark, docs):
+    found = decontamination.find_benchmark(docs, spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet"))
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
 def test_empty_tables(spark, docs, none):
     benchmark = spark.createDataFrame([], "item_id long, text string")
     assert {r.n_hit for r in check(docs, benchmark)} == {0}
