@@ -17,6 +17,10 @@ from sitefold.session import cut_lineage
 CAPACITY = 4096
 #: rows that are ranked together
 RANK_ROWS = 200_000
+#: ranges of sizes that are swept at once; bits of a range's own sequence numbers
+RANGES, RANGE_BITS = 8, 40
+#: ranks of a length that look up their placement together
+BLOCK_RANKS = 1024
 #: words whose ids a worker keeps
 WORD_MEMO = 400_000
 #: a run of Latin letters between marks; anything else goes to the whole tokenizer
@@ -165,20 +169,22 @@ class Gaps:
         return gap, first, count
 
 
-def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
-    """Best-fit decreasing over runs of equal lengths.
+def best_fit(
+    counts: dict[int, int], capacity: int = CAPACITY, gaps: Gaps | None = None, opened: int = 0
+) -> list[tuple[int, int, int, int, int, int]]:
+    """Best-fit decreasing over runs of equal lengths, into open gaps and new sequences.
 
-    A superstep takes one length, the longest left.  Its run of documents sweeps
-    through the gaps from the smallest that holds it; documents and sequences of equal
-    rank meet, each sequence taking as many as fit; the gaps shrink; new sequences are
-    opened for the rest.  This gives what best-fit decreasing gives document by
-    document.
+    The longest length comes first.  Its run of documents sweeps through the gaps from the
+    smallest that holds it; documents and sequences of equal rank meet, each sequence taking
+    as many as fit; the gaps shrink; new sequences, numbered from ``opened``, are opened for
+    the rest.  This gives what best-fit decreasing gives document by document.  ``gaps``
+    holds what is left open afterwards.
 
     Returns placements (length, rank, count, first sequence, per sequence, offset): the
     documents of that length from that rank on go in turn to the sequences from the
     first, ``per`` of them to each, behind the offset.
     """
-    gaps, opened, placed = Gaps(), 0, []
+    gaps, placed = Gaps() if gaps is None else gaps, []
     for length in sorted(counts, reverse=True):
         rank, left = 0, counts[length]
         while left:
@@ -199,55 +205,99 @@ def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int
     return placed
 
 
+def superstep(rows: DataFrame, lows: list[int], capacity: int) -> DataFrame:
+    """Sweep every range of sizes once: placements, and gaps addressed to a lower range.
+
+    Rows are (range, length, gap, first, count): documents of a length, or, with a null
+    length, sequences with a gap.  Range r holds lengths from ``lows[r]`` up to the range
+    before.  A gap that a range leaves open goes to the range of its size, or, if it could
+    hold that range's own lengths, to the next.
+    """
+    names = ["range", "length", "rank", "count", "first", "per", "gap"]
+
+    def sweep(table: pa.Table) -> pa.Table:
+        own = table.column("range")[0].as_py()
+        counts, runs = {}, []
+        for length, gap, first, count in zip(*(table.column(c).to_pylist() for c in ("length", "gap", "first", "count"))):
+            if length is None:
+                runs.append((gap, first, count))
+            else:
+                counts[length] = count
+        gaps = Gaps()
+        for run in sorted(runs):  # the same rows give the same sequences in each superstep
+            gaps.add(*run)
+        placed = best_fit(counts, capacity, gaps, own << RANGE_BITS)
+        out = [(own, length, rank, count, first, per, capacity - offset) for length, rank, count, first, per, offset in placed]
+        for gap, own_runs in gaps.runs.items():
+            to = max(own + 1, sum(gap < low for low in lows))
+            if to < len(lows):
+                out += [(to, None, None, count, first, None, gap) for first, count in own_runs]
+        columns = zip(*out) if out else [()] * len(names)
+        return pa.table([pa.array(c, pa.int64()) for c in columns], names=names)
+
+    schema = ", ".join(f"`{c}` long" for c in names)
+    return rows.repartition(len(lows), "range").groupBy("range").applyInArrow(sweep, schema)
+
+
+def placements(runs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """Where the documents of each length go: length, rank, count, first, per, gap.
+
+    ``runs`` are (length, count).  Lengths and gaps are partitioned by ranges of sizes,
+    and in a superstep all ranges are swept at once, each over its own lengths and the
+    gaps that reached it in the superstep before.  A gap only goes to lower ranges, so
+    the highest range is right after one superstep and each next one after one more; it
+    ends when no gap has changed, after as many supersteps as ranges at most.  What
+    stands then is best-fit decreasing over all lengths, so there are as few sequences
+    as document by document.
+
+    Equal lengths are one row, as are sequences opened together while their gaps are
+    equal, so the rows are bounded by the capacity and not by the corpus.
+    """
+    runs = cut_lineage(runs)
+    cuts = runs.agg(F.percentile_approx("length", [r / RANGES for r in range(1, RANGES)])).first()[0]
+    lows = [*sorted({int(c) for c in cuts or ()} - {1}, reverse=True), 1]
+    places = [F.when(F.col("length") < low, 1).otherwise(0) for low in lows]
+    none = F.lit(None).cast("long")
+    runs = runs.select(sum(places[1:], places[0]).cast("long").alias("range"), "length", none.alias("gap"), none.alias("first"), "count")
+    rows, before = runs, None
+    for _ in lows:
+        state = cut_lineage(superstep(rows, lows, capacity))
+        gaps = state.filter("length IS NULL").select(runs.columns)
+        now = gaps.agg(F.count("*"), F.bit_xor(F.xxhash64(*runs.columns))).first()
+        if now == before:
+            break
+        rows, before = runs.unionByName(gaps), now
+    return state.filter("length IS NOT NULL").drop("range")
+
+
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Add sequence_id and offset to pieces (doc_id, piece, length, ...).
 
-    Pieces are range-sorted by length, and equal lengths form a run; so do sequences
-    with an equal gap.  There are at most ``capacity`` lengths, so what the sweeps of
-    ``best_fit`` see is bounded by the capacity and not by the corpus: the driver gets
-    one count for each length, and the placements that go back to the tasks number at
-    most a few for each length and gap.  The documents themselves are ranked within
-    their length by all tasks, in cells whose sizes are added up, so that a length that
-    a third of all documents share is no single task's, and look up their place by rank.
+    ``placements`` says which ranks of a length go to which sequences.  The documents
+    themselves are ranked within their length by all tasks, in cells whose sizes are added
+    up, and meet the placement of their rank by blocks of ranks, so that a length that a
+    third of all documents share is no single task's.
     """
     spread = F.xxhash64("doc_id", "piece", "ids_crc32")
     pieces = cut_lineage(pieces.withColumn("spread", spread))
-    counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # at most ``capacity`` rows
-    table: dict[int, tuple[np.ndarray, ...]] = {}
-    by_length: dict[int, list] = {}
-    for length, *rest in best_fit(counts, capacity):
-        by_length.setdefault(length, []).append(rest)
-    for length, rows in by_length.items():
-        table[length] = tuple(np.array(rows, dtype=np.int64).T)
-    placements = pieces.sparkSession.sparkContext.broadcast(table)
-
-    cells = max(1, -(-sum(counts.values()) // RANK_ROWS))
+    placed = placements(pieces.groupBy("length").agg(F.count("*").alias("count")), capacity)
+    placed = placed.selectExpr("length", "rank AS low", "rank + count AS high", "first", "per", "gap")
+    placed = placed.withColumn("block", F.expr(f"explode(sequence(low div {BLOCK_RANKS}, (high - 1) div {BLOCK_RANKS}))"))
+
+    cells = max(1, -(-pieces.count() // RANK_ROWS))
+    names = [c for c in pieces.columns if c != "spread"]
     pieces = pieces.withColumn("cell", F.pmod("spread", F.lit(cells)).cast("int"))
     before = Window.partitionBy("length").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = pieces.groupBy("length", "cell").agg(F.count("*").alias("n"))
     offsets = offsets.select("length", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     within = Window.partitionBy("length", "cell").orderBy("spread", "doc_id", "piece")
     ranked = pieces.withColumn("n", F.row_number().over(within)).join(offsets, ["length", "cell"])
-    ranked = ranked.withColumn("rank", F.col("before") + F.col("n") - 1).drop("cell", "n", "before", "spread")
-    at = ranked.columns.index("length"), ranked.columns.index("rank")
-
-    def run(batches):
-        for batch in batches:
-            lengths, ranks = (batch.column(i).to_numpy() for i in at)
-            seq, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-            for length in np.unique(lengths):
-                own = np.flatnonzero(lengths == length)
-                rank, _, first, per, base = placements.value[length]
-                p = np.searchsorted(rank, ranks[own], side="right") - 1
-                inner = ranks[own] - rank[p]
-                seq[own] = first[p] + inner // per[p]
-                offset[own] = base[p] + inner % per[p] * length
-            keep = [c for i, c in enumerate(batch.columns) if i != at[1]]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(seq), pa.array(offset)], names=[*names, "sequence_id", "offset"])
-
-    names = [c for c in ranked.columns if c != "rank"]
-    kinds = ", ".join(f"`{c}` {t}" for c, t in ranked.dtypes if c != "rank")
-    return ranked.mapInArrow(run, f"{kinds}, sequence_id long, offset long")
+    ranked = ranked.withColumn("rank", F.col("before") + F.col("n") - 1)
+    ranked = ranked.withColumn("block", F.expr(f"rank div {BLOCK_RANKS}"))
+    found = ranked.join(placed, ["length", "block"]).filter("low <= rank AND rank < high")
+    return found.selectExpr(
+        *names, "first + (rank - low) div per AS sequence_id", f"{capacity} - gap + (rank - low) % per * length AS offset"
+    )
 
 
 def pack_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, **tokens) -> DataFrame:

@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark import TaskContext
 from tokenizers import Tokenizer
 
 from sitefold.llm import common, packing
@@ -91,6 +92,41 @@ def test_runs_pack_like_single_documents(seed):
     assert Counter(x[2] for x in spots) == Counter(lengths)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_ranges_pack_like_single_documents(spark, seed, monkeypatch):
+    """Few ranges and many, with gaps that pass through several of them."""
+    monkeypatch.setattr(packing, "RANGES", [2, 7, 30][seed])
+    rng = random.Random(seed)
+    lengths = [rng.choice([3, 7, 7, 30, 34, 50, 51, 99, rng.randint(3, 100)]) for _ in range(3000)]
+    runs = spark.createDataFrame(sorted(Counter(lengths).items()), "length long, count long")
+    placed = packing.placements(runs, 100).collect()
+    spots, ranks = [], {}
+    for p in sorted(placed, key=lambda p: (p.length, p.rank)):
+        assert p.rank == ranks.get(p.length, 0)
+        ranks[p.length] = p.rank + p["count"]
+        spots += [(p.first + i // p.per, 100 - p.gap + i % p.per * p.length, p.length) for i in range(p["count"])]
+    filled = {}
+    for s, offset, length in sorted(spots):
+        assert offset == filled.get(s, 0)
+        filled[s] = offset + length
+    assert max(filled.values()) <= 100 and len(filled) == best_fit_decreasing(lengths, 100)
+    assert ranks == Counter(lengths)
+
+
+def test_sweeps_run_in_tasks(docs, monkeypatch):
+    """Each task sweeps a range of its own, and none runs on the driver."""
+    real = packing.best_fit
+
+    def in_task(counts, *args):
+        assert TaskContext.get() is not None and len(counts) < 100
+        return real(counts, *args)
+
+    monkeypatch.setattr(packing, "best_fit", in_task)
+    rows = packing.pack_documents(docs).collect()
+    assert len({r.length for r in rows}) > 100
+    check(rows, 4096)
+
+
 def test_sequences_hold_the_ids(docs, whole):
     some = docs.limit(20)
     text = {r.doc_id: r.text for r in some.collect()}
