@@ -114,7 +114,7 @@ def test_ranges_pack_like_single_documents(spark, seed, monkeypatch):
 
 
 def test_sweeps_run_in_tasks(docs, monkeypatch):
-    """Each task sweeps a range of its own, and none runs on the driver."""
+    """A sweep sees one range of lengths, and none runs on the driver."""
     real = packing.best_fit
 
     def in_task(counts, *args):
