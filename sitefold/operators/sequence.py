@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import (
     DoubleType, IntegerType, LongType, StringType, StructField, StructType,
@@ -103,23 +103,31 @@ def text_windows(
 ) -> DataFrame:
     """Padded windows around the occurrences of a residue inside each whole text.
 
-    The text becomes a character array once; positions and windows are read from
-    it, so the work is linear in the length of the text.  Only (position, window)
-    pairs are exploded, never the text.
+    Every text is searched and sliced as one string in its Arrow batch, so the work is
+    linear in its length, and no character becomes a value of its own.
     """
-    pad = F.array_repeat(F.lit(PAD), flank)
-    base = df.select(*ids, F.concat(pad, chars(seq), pad).alias("_chars"))
-    at = positions_of(F.col("_chars"), residue)
-    if first_only:
-        at = F.slice(at, 1, 1)
-    cut = F.transform(
-        at,
-        lambda p: F.struct(
-            (p - flank).cast("int").alias("site"),
-            F.array_join(F.slice("_chars", p - flank, F.lit(2 * flank + 1)), "").alias("window"),
-        ),
-    )
-    return base.select(*ids, F.explode(cut).alias("_w")).select(*ids, "_w.site", "_w.window")
+    keys = list(ids)
+    edge, width = PAD * flank, 2 * flank + 1
+    frame = df.select(*keys, F.col(seq).cast("string").alias("_text"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner, sites, windows = [], [], []
+            for i, text in enumerate(batch.column(len(keys)).to_pylist()):
+                at = text.find(residue) if text and len(residue) == 1 else -1
+                padded = edge + text + edge if at >= 0 else ""
+                while at >= 0:
+                    owner.append(i)
+                    sites.append(at + 1)
+                    windows.append(padded[at : at + width])
+                    at = -1 if first_only else text.find(residue, at + 1)
+            owned = pa.array(owner, pa.int32())
+            columns = [batch.column(k).take(owned) for k in range(len(keys))]
+            columns += [pa.array(sites, pa.int32()), pa.array(windows, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*keys, "site", "window"])
+
+    kinds = "".join(f"`{c}` {t}, " for c, t in frame.dtypes[:-1])
+    return frame.mapInArrow(cut, kinds + "site int, window string")
 
 
 def all_residue_windows(
@@ -270,13 +278,15 @@ def motif_enrich(
     residue with more windows is fixed first and a step adds at most its -log10.
 
     Both sides are reduced once to distinct windows with two counts, and these to an
-    index of bitmaps (``window_index``).  A step ANDs the bitmaps of the fixed residues,
-    leaves out the windows of earlier motifs and counts bits; the driver sees only its
-    width x alphabet counts, fixes the position and residue with the smallest binomial
-    upper tail against the background share, and goes on.  When nothing is left to fix,
-    the motif is recorded and the search starts again on the same index.  Counts of a set
-    that contains the removed windows are kept up to date by subtraction, so the restart
-    needs no new pass.  Windows that are missing, of another width or without ``centre``
+    index of residue codes (``window_index``).  A step counts the residues of the windows
+    that match the fixed ones and no earlier motif; the driver sees only width x alphabet
+    counts of each task, fixes the position and residue with the smallest binomial upper
+    tail against the background share, and goes on.  When nothing is left to fix, the
+    motif is recorded and the search starts again.  Windows that match the first residue
+    fixed are an index of their own, kept for the motifs that begin with it, so only a
+    new first residue needs a pass over all windows.  Counts of a set that contains the
+    removed windows are kept up to date by subtraction, those of a set without any of them
+    stay as they are.  Windows that are missing, of another width or without ``centre``
     in the middle take no part; an empty side gives no motif.
     """
     mid = width // 2 + 1
@@ -287,9 +297,24 @@ def motif_enrich(
         .groupBy("window").agg(F.sum("fn").alias("fn"), F.sum("bn").alias("bn"))
     )
     index = window_index(windows, letters, width).persist()
+    below: dict[tuple[int, str], tuple[DataFrame, int]] = {}
     found: list[tuple] = []
     removed: list[dict[int, str]] = []
     known: dict[frozenset, dict] = {}
+
+    def cells_of(fixed: dict[int, str]) -> dict:
+        if len(fixed) == 1:
+            return _cells(index, letters, width, fixed, removed)
+        first = list(fixed.items())[1]  # in the order in which they were fixed
+        if first not in below:
+            if len(below) == KEPT_INDEXES:
+                below.pop(next(iter(below)))[0].unpersist()
+            most = sum(known[frozenset({(mid, centre)})][first])  # as many windows, unless some occur again
+            own = _matching(index, letters, width, dict([(mid, centre), first]), removed).repartition(-(-most // INDEX_ROWS))
+            below[first] = (own.persist(), len(removed))
+        own, since = below[first] = below.pop(first)  # the one used last goes last
+        return _cells(own, letters, width, fixed, removed[since:])
+
     try:
         while True:
             fixed: dict[int, str] = {mid: centre}
@@ -298,7 +323,7 @@ def motif_enrich(
             while True:
                 here = frozenset(fixed.items())
                 if here not in known:
-                    known[here] = _cells(index, letters, width, fixed, removed)
+                    known[here] = cells_of(fixed)
                 cells = known[here]
                 last = cells.get((mid, centre), (0, 0))
                 size = size or last
@@ -314,78 +339,131 @@ def motif_enrich(
             fold = (last[0] / size[0]) / (last[1] / size[1]) if last[1] else float("inf")
             found.append((text, score, last[0], size[0], last[1], size[1], fold, len(found) + 1))
             removed.append(fixed)
-            known = {k: _minus(c, cells) for k, c in known.items() if k < here}
+            known = {k: _minus(c, cells) if k < here else c for k, c in known.items() if k < here or _apart(dict(k), fixed)}
     finally:
+        for own, _ in below.values():
+            own.unpersist()
         index.unpersist()
     return fg.sparkSession.createDataFrame(found, MOTIF_SCHEMA)
 
 
+#: indexes of windows below a first residue that are kept at once
+KEPT_INDEXES = 8
+#: windows of a row of the index
+INDEX_ROWS = 200_000
+
+
+def _apart(a: Mapping[int, str], b: Mapping[int, str]) -> bool:
+    """Whether no window can match both."""
+    return any(b.get(pos, letter) != letter for pos, letter in a.items())
+
+
 def window_index(windows: DataFrame, letters: str, width: int) -> DataFrame:
-    """(cells, fn, bn): one row of bitmaps for each Arrow batch of (window, fn, bn).
+    """(codes, fn, bn): rows of up to INDEX_ROWS of the windows (window, fn, bn).
 
-    ``cells`` holds a bitmap for every position and letter in turn, a bit for each window
-    of the batch; ``fn`` and ``bn`` hold the counts bit by bit, lowest first, as bitmaps
-    of the same length.  A window takes width x letters bits, whatever its counts.
+    ``codes`` has a byte or two for each position and window, position by position: the
+    place of the residue in ``letters``, or their number for any other character.
+    ``fn`` and ``bn`` hold the windows' counts.
     """
-    codes = np.frombuffer(letters.encode("utf-32-le"), "<u4")
+    points = np.frombuffer(letters.encode("utf-32-le"), "<u4")
+    order = np.argsort(points)
+    kind = _code_type(letters)
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def parts():
+            for batch in batches:
+                text = "".join(batch.column(0).to_pylist()).encode("utf-32-le", "surrogatepass")
+                text = np.frombuffer(text, "<u4").reshape(-1, width).T
+                place = order[np.minimum(np.searchsorted(points, text, sorter=order), len(points) - 1)]
+                codes = np.where(points[place] == text, place, len(points)).astype(kind)
+                yield codes, batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)
+
+        yield from _index_rows(parts())
+
+    return windows.select("window", "fn", "bn").mapInArrow(build, INDEX_COLUMNS)
+
+
+INDEX_COLUMNS = "codes binary, fn binary, bn binary"
 
-    def packed(bits: np.ndarray) -> bytes:
-        spare = -bits.shape[1] % 64
-        return np.packbits(np.pad(bits, ((0, 0), (0, spare))), axis=1).tobytes()
 
-    def sliced(counts: np.ndarray) -> bytes:
-        places = np.arange(max(1, int(counts.max()).bit_length()))
-        return packed((counts[None, :] >> places[:, None]) & 1 > 0)
+def _code_type(letters: str) -> type:
+    return np.uint8 if len(letters) < 256 else np.uint32
 
-    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            text = np.frombuffer("".join(pdf.window).encode("utf-32-le"), "<u4").reshape(len(pdf), width)
-            cells = (text.T[:, None, :] == codes[None, :, None]).reshape(width * len(codes), len(pdf))
-            yield pd.DataFrame({
-                "cells": [packed(cells)], "fn": [sliced(pdf.fn.to_numpy())], "bn": [sliced(pdf.bn.to_numpy())],
-            })
 
-    return windows.mapInPandas(build, "cells binary, fn binary, bn binary")
+def _index_rows(parts: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """Rows of the index from (codes, fn, bn), gathered up to INDEX_ROWS windows."""
+
+    def row(held: list[tuple]) -> pa.RecordBatch:
+        codes, fn, bn = (np.concatenate(x, axis=-1) for x in zip(*held))
+        fn, bn = fn.astype(np.int64), bn.astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (codes, fn, bn)], names=["codes", "fn", "bn"])
+
+    held, size = [], 0
+    for part in parts:
+        if len(part[1]):
+            held.append(part)
+            size += len(part[1])
+        if size >= INDEX_ROWS:
+            yield row(held)
+            held, size = [], 0
+    if held:
+        yield row(held)
+
+
+def _matched(
+    letters: str, width: int, fixed: Mapping[int, str], removed: Sequence[Mapping[int, str]]
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[tuple]]:
+    """(codes, fn, bn) of the windows that match ``fixed`` and none of ``removed``."""
+    kind = _code_type(letters)
+    wanted = [(pos - 1, letters.index(a)) for pos, a in fixed.items()]
+    # motifs that no such window can match are passed over, and what is fixed holds anyway
+    left_out = [[(pos - 1, letters.index(a)) for pos, a in m.items() if pos not in fixed] for m in removed if not _apart(m, fixed)]
+
+    def agree(codes: np.ndarray, cells: list[tuple[int, int]]) -> np.ndarray:
+        out = np.ones(codes.shape[1], bool)
+        for pos, code in cells:
+            out &= codes[pos] == code
+        return out
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            for held in zip(*(c.to_pylist() for c in batch.columns)):
+                codes = np.frombuffer(held[0], kind).reshape(width, -1)
+                at = np.flatnonzero(agree(codes, wanted))
+                codes = codes[:, at]
+                gone = np.zeros(len(at), bool)
+                for cells in left_out:
+                    gone |= agree(codes, cells)
+                fn, bn = (np.frombuffer(x, np.int64)[at] for x in held[1:])
+                yield codes[:, ~gone], fn[~gone], bn[~gone]
+
+    return parts
+
+
+def _matching(index: DataFrame, letters: str, width: int, fixed: Mapping[int, str], removed: Sequence[Mapping[int, str]]) -> DataFrame:
+    """The index of the windows that match ``fixed`` and none of ``removed``."""
+    parts = _matched(letters, width, fixed, removed)
+    return index.mapInArrow(lambda batches: _index_rows(parts(batches)), INDEX_COLUMNS)
 
 
 def _cells(index: DataFrame, letters: str, width: int, fixed: Mapping[int, str], removed: Sequence[Mapping[int, str]]) -> dict[tuple[int, str], tuple[int, int]]:
     """Counts of both sides per (position, residue) among the windows that match ``fixed``
-    and none of ``removed``: at most width x letters rows."""
-    size = width * len(letters)
-
-    def place(motif: Mapping[int, str]) -> list[int]:
-        return [(pos - 1) * len(letters) + letters.index(a) for pos, a in motif.items()]
-
-    wanted, left_out = place(fixed), [place(m) for m in removed]
-
-    def weigh(bits: np.ndarray, planes: np.ndarray) -> np.ndarray:
-        """Sum of the counts under each bitmap."""
-        return sum(np.bitwise_count(bits & plane).sum(1, dtype=np.int64) << b for b, plane in enumerate(planes))
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            fn, bn = np.zeros(size, np.int64), np.zeros(size, np.int64)
-            for row in pdf.itertuples():
-                cells = np.frombuffer(row.cells, np.uint64).reshape(size, -1)
-                alive = np.bitwise_and.reduce(cells[wanted])
-                for gone in left_out:
-                    alive &= ~np.bitwise_and.reduce(cells[gone])
-                if alive.any():
-                    words = np.flatnonzero(alive)
-                    here = cells[:, words] & alive[words]
-                    fn += weigh(here, np.frombuffer(row.fn, np.uint64).reshape(-1, len(alive))[:, words])
-                    bn += weigh(here, np.frombuffer(row.bn, np.uint64).reshape(-1, len(alive))[:, words])
-            some = np.flatnonzero(fn + bn)
-            yield pd.DataFrame({"cell": some, "fn": fn[some], "bn": bn[some]})
-
-    rows = (
-        index.mapInPandas(count, "cell int, fn bigint, bn bigint")
-        .groupBy("cell").agg(F.sum("fn").alias("fn"), F.sum("bn").alias("bn"))
-        .collect()
-    )
-    return {(r.cell // len(letters) + 1, letters[r.cell % len(letters)]): (r.fn, r.bn) for r in rows}
+    and none of ``removed``: width x letters numbers of each task."""
+    parts = _matched(letters, width, fixed, removed)
+    n = len(letters)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, width, n + 1), np.int64)
+        for codes, *sides in parts(batches):
+            for side, weights in zip(total, sides):
+                for own, at in zip(side, codes):
+                    own += np.bincount(at, weights, n + 1).astype(np.int64)  # sums below 2**53 are exact
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.array([total[:, :, :n].tobytes()], pa.binary())], names=["counts"])
+
+    rows = index.mapInArrow(count, "counts binary").collect()
+    fn, bn = sum((np.frombuffer(r.counts, np.int64).reshape(2, width, n) for r in rows), np.zeros((2, width, n), np.int64))
+    return {(int(i) + 1, letters[j]): (int(fn[i, j]), int(bn[i, j])) for i, j in np.argwhere(fn + bn)}
 
 
 def _minus(cells: dict, removed: dict) -> dict:
@@ -414,8 +492,9 @@ def _best_cell(cells, size, fixed, alphabet, min_seqs, p_cutoff, smallest_p):
 
 
 def _upper_tails(x: np.ndarray, n: int, p: np.ndarray, above: float, below: float) -> np.ndarray:
-    """P(X >= x) where it decides: a value of ``above`` or more may come back as 1 and
-    one of ``below`` or less comes back as ``below``, so most tails need no summation.
+    """P(X >= x) where it decides which is smallest: a value of ``above`` or more, or one
+    that another is surely smaller than, may come back as 1, and one of ``below`` or less
+    comes back as ``below``, so most tails need no summation.
 
     At or below its mean a binomial tail is over a quarter once n * p >= 1; a tail holds
     its first term; and it is at most exp(-n * relative entropy) (Chernoff).
@@ -426,8 +505,11 @@ def _upper_tails(x: np.ndarray, n: int, p: np.ndarray, above: float, below: floa
         bound = -n * (share * np.log(share / p) + rest)
     inside = (p > 0) & (p < 1) & (x > 0)
     over = share > p
-    large = inside & np.where(over, np.exp(binom_log_pmf(x, n, p)) >= above, (above <= 0.25) & (n * p >= 1))
+    first = binom_log_pmf(x, n, p)
+    large = inside & np.where(over, np.exp(first) >= above, (above <= 0.25) & (n * p >= 1))
     small = inside & over & (bound < math.log(below) - 1e-6)
+    least = max(math.log(below), np.min(bound, where=inside & over, initial=0.0)) + 1e-6  # the smallest is at most this
+    large |= inside & over & (first > least + 1e-6)
     out = np.where(large, 1.0, below)
     for i in np.flatnonzero(~large & ~small):
         out[i] = max(binom_upper(int(x[i]), n, float(p[i])), below)

@@ -759,8 +759,8 @@ good AS (SELECT d.* FROM documents d JOIN labels l ON l.doc_id = d.doc_id AND l.
 def _fg_bg(spark, folder, residue="T"):
     """Windows in documents of good quality against windows in all documents."""
     good = table(spark, folder, "labels").where(F.col("quality") == 1).select("doc_id", F.lit(True).alias("good")).distinct()
-    docs = joins.null_safe_join(_documents(spark, folder).select("doc_id", "text"), good, ["doc_id"], "left")
-    win = cut_lineage(sequence.text_windows(docs, ["doc_id", "good"], "text", residue))  # cut once, read for both sides
+    win = sequence.text_windows(_documents(spark, folder), ["doc_id"], "text", residue)  # windows move in fewer bytes than texts
+    win = cut_lineage(joins.null_safe_join(win, good, ["doc_id"], "left"))  # cut once, read for both sides
     return win.where("good").drop("good"), win.drop("good")
 
 

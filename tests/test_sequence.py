@@ -100,6 +100,39 @@ def test_motif_search_against_brute_force(spark):
     assert none.count() == 0
 
 
+def test_motif_steps_read_the_windows_of_their_first_residue(spark, monkeypatch):
+    """Only the first step of a search counts over all windows, and motifs with and without
+    shared residues come out as by brute force when few indexes are kept."""
+    rng = random.Random(8)
+    bg = windows(rng, 600)
+    fg = windows(rng, 50) + windows(rng, 70, hot={8: "P", 2: "E"}) + windows(rng, 60, hot={8: "P", 4: "R", 5: "R"})
+    fg += windows(rng, 50, hot={8: "D", 2: "E"}) + windows(rng, 40, hot={4: "R", 12: "K"}) + windows(rng, 30, hot={8: "P"})
+    monkeypatch.setattr(sq, "KEPT_INDEXES", 1, raising=False)
+    calls, cells = [], sq._cells
+
+    def counted(index, letters, width, fixed, removed):
+        calls.append((len(fixed), index))
+        return cells(index, letters, width, fixed, removed)
+
+    monkeypatch.setattr(sq, "_cells", counted)
+    s = "window string"
+    got = sq.motif_enrich(spark.createDataFrame(fg, s), spark.createDataFrame(bg, s), "S", AA, min_seqs=20, p_cutoff=1e-6)
+    rows = [(r.motif, r.fg_matches, r.fg_size, r.bg_matches, r.bg_size, round(r.score, 6)) for r in got.orderBy("ord").collect()]
+    assert rows == brute_motifs([w for (w,) in fg], [w for (w,) in bg], "S", 20, 1e-6) and len(rows) >= 4
+    whole = calls[0][1]
+    assert calls[0][0] == 1 and all(index is not whole for _, index in calls[1:])
+
+
+def test_text_windows_beyond_the_basic_plane(spark):
+    rows = [(1, "🙂T🙂", True), (2, None, None), (3, "", False), (None, "x" * 9 + "T" + "é" * 9 + "T", None)]
+    df = spark.createDataFrame(rows, "i int, t string, good boolean")
+    got = [tuple(r) for r in sq.text_windows(df, ["i", "good"], "t", "T").collect()]
+    want = [(i, g, k + 1, ("_" * 7 + t + "_" * 7)[k : k + 15]) for i, t, g in rows for k, c in enumerate(t or "") if c == "T"]
+    assert sorted(got, key=str) == sorted(want, key=str) and len(got) == 3
+    first = sq.text_windows(df, ["i"], "t", "T", first_only=True).collect()
+    assert sorted((r.i or 0, r.site) for r in first) == [(0, 10), (1, 2)]
+
+
 def test_position_enrich_brute(spark):
     rng = random.Random(6)
     fg, bg = windows(rng, 40, hot={8: "P"}), windows(rng, 90)
