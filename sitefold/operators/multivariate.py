@@ -171,6 +171,12 @@ WARD_BLOCK = 512
 WARD_LEAF = 256
 #: leaves of a range of the sorted clusters, and children of a node of the tree
 WARD_RANGE, WARD_FAN = 32, 8
+#: clusters that one task merges among themselves, and those of a cell whose box others see
+WARD_TASK, WARD_CELL = 4096, 48
+#: boxes of other tasks' cells that a task compares with each of its clusters
+WARD_BOXES = 512
+#: where less than this share of the clusters merges in tasks, a round of mutual nearest ones follows
+WARD_LEAST = 0.1
 #: leaves that ask one leaf in one task
 WARD_GUESTS = 8
 #: bound and height are computed in different ways, a bound within this share counts as equal
@@ -301,18 +307,183 @@ def _nearest(state: DataFrame, size: int) -> DataFrame:
     return own.select("id", "other", "height").unionByName(met).groupBy("id").agg(nearest).select("id", "m.other", "m.height")
 
 
+def _merge_among(ids: np.ndarray, x: np.ndarray, w: np.ndarray, bound) -> tuple[np.ndarray, list[tuple]]:
+    """Merge clusters that are each other's nearest, as long as none outside can be nearer.
+
+    ``bound(x, w)`` is the least height at which clusters could merge with any outside.
+    ``x`` and ``w`` are changed in place.  Returns the places of the clusters that are
+    left and (child, parent, height) of the merges; ids rise.  By reducibility a nearest
+    one stays the nearest until it merges itself, so only such rows are computed again.
+    """
+    n = len(ids)
+    there = np.ones(n, bool)
+    nearest, height = np.zeros(n, np.int64), np.full(n, np.inf)
+    least = bound(x, w)
+    todo, fresh, out = np.arange(n), True, []
+    while there.sum() > 1:
+        alive = np.flatnonzero(there)
+        for at in range(0, len(todo), 256):
+            own = todo[at : at + 256]
+            d = sum((x[own, i][:, None] - x[alive, i]) ** 2 for i in range(x.shape[1]))
+            d *= w[own][:, None] * w[alive] / (w[own][:, None] + w[alive])
+            d[own[:, None] == alive] = np.inf
+            j = d.argmin(1)  # of equal ones that of the smallest id
+            nearest[own], height[own] = alive[j], d[np.arange(len(own)), j]
+        i = alive[(nearest[nearest[alive]] == alive) & (alive < nearest[alive])]
+        j = nearest[i]
+        sure = height[i] < np.minimum(least[i], least[j]) * (1 - WARD_SLACK)
+        i, j = i[sure], j[sure]
+        if not len(i):
+            if fresh:
+                break
+            todo, fresh = alive, True  # equal heights may have left a ring
+            continue
+        out += zip(ids[j].tolist(), ids[i].tolist(), height[i].tolist())
+        total = w[i] + w[j]
+        x[i] = (x[i] * w[i][:, None] + x[j] * w[j][:, None]) / total[:, None]
+        w[i] = total
+        there[j] = False
+        least[i] = bound(x[i], w[i])
+        moved = np.zeros(n, bool)
+        moved[i] = moved[j] = True
+        todo, fresh = np.flatnonzero(there & (moved | moved[nearest])), False
+    return np.flatnonzero(there), out
+
+
+def _planes(x: np.ndarray, parts: int, shift: float, first: int = 0):
+    """Planes that cut a sample of centres into about equal parts, numbered from ``first``:
+    (dimension, highest value below, parts below, parts above), or a part's number."""
+    if parts < 2 or len(x) < 2:
+        return first
+    i = int(np.ptp(x, axis=0).argmax())
+    values = np.sort(x[:, i])
+    some = parts // 2
+    cut = values[min(int(len(x) * some / parts * shift), len(x) - 2)]
+    if cut == values[-1]:
+        cut = values[max(0, np.searchsorted(values, cut) - 1)]
+    below = x[:, i] <= cut
+    if below.all():
+        return first
+    return i, cut, _planes(x[below], some, shift, first), _planes(x[~below], parts - some, shift, first + some)
+
+
+def _parts_of(x: np.ndarray, planes) -> np.ndarray:
+    """The part of each centre."""
+    if not isinstance(planes, tuple):
+        return np.full(len(x), planes, np.int64)
+    i, cut, low, high = planes
+    below = x[:, i] <= cut
+    out = np.empty(len(x), np.int64)
+    out[below], out[~below] = _parts_of(x[below], low), _parts_of(x[~below], high)
+    return out
+
+
+def _cells_of(x: np.ndarray, own: np.ndarray) -> list[np.ndarray]:
+    """Places of the centres in cells of WARD_CELL at most, cut at medians."""
+    if len(own) <= WARD_CELL:
+        return [own]
+    i = int(np.ptp(x[own], axis=0).argmax())
+    order = own[np.argsort(x[own, i], kind="stable")]
+    return _cells_of(x, order[: len(own) // 2]) + _cells_of(x, order[len(own) // 2 :])
+
+
+def _merged_in_tasks(state: DataFrame, size: int, turn: int) -> DataFrame:
+    """(id, x, w, parent, height): merges, with a parent, and clusters that are left.
+
+    Planes, chosen by a sample, part the centres into about WARD_TASK each.  A task merges
+    the clusters of a part as far as the boxes of the other parts' cells show that nothing
+    outside is nearer.  Merges of other tasks don't change that: what is formed at a lower
+    height is no nearer than its nearest piece.  The planes move from ``turn`` to turn.
+    """
+    parts = -(-size // WARD_TASK)
+    if parts == 1:
+        rows, boxes = state.withColumn("part", F.lit(0).cast("long")), None
+    else:
+        sample = state.select("x").sample(min(1.0, 64 * parts / size), 7 + turn).collect()
+        planes = _planes(np.array([r.x for r in sample]), parts, (1.0, 0.8, 1.2)[turn % 3]) if sample else 0
+        rows, boxes = _parted(state, planes)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        ids, x, w = pdf.id.to_numpy(), np.stack(pdf.x.to_numpy()), pdf.w.to_numpy(float).copy()
+        left, merges = _merge_among(ids, x, w, _outside(x, boxes, pdf.part.iloc[0]))
+        kept = pd.DataFrame({"id": ids[left], "x": list(x[left]), "w": w[left], "parent": None, "height": None})
+        child, parent, height = zip(*merges) if merges else ((), (), ())
+        gone = pd.DataFrame({"id": child, "x": None, "w": None, "parent": parent, "height": height})
+        return pd.concat([side.astype({"parent": "Int64", "w": "Float64", "height": "Float64"}) for side in (kept, gone)])
+
+    return rows.groupBy("part").applyInPandas(run, "id long, x array<double>, w double, parent long, height double")
+
+
+def _parted(state: DataFrame, planes) -> tuple[DataFrame, tuple]:
+    """The clusters with their part, and (part, lows, highs, least weight) of all cells,
+    which are one for some dozens of clusters."""
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                yield pdf.assign(part=_parts_of(np.stack(pdf.x.to_numpy()), planes))
+
+    def box(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, w = np.stack(pdf.x.to_numpy()), pdf.w.to_numpy()
+        cells = _cells_of(x, np.arange(len(x)))
+        lo, hi = [x[c].min(0) for c in cells], [x[c].max(0) for c in cells]
+        return pd.DataFrame({"part": pdf.part.iloc[0], "lo": lo, "hi": hi, "light": [w[c].min() for c in cells]})
+
+    rows = cut_lineage(state.mapInPandas(place, "id long, x array<double>, w double, part long"))
+    found = rows.groupBy("part").applyInPandas(box, "part long, lo array<double>, hi array<double>, light double").toPandas()
+    return rows, (found.part.to_numpy(), np.stack(found.lo.to_numpy()), np.stack(found.hi.to_numpy()), found.light.to_numpy())
+
+
+def _outside(x: np.ndarray, boxes: tuple | None, part: int):
+    """The least height at which clusters among ``x`` could merge with one outside their part.
+
+    The nearest WARD_BOXES boxes count one by one, the others by the least gap and weight.
+    """
+    if boxes is None or (boxes[0] == part).all():
+        return lambda x, w: np.full(len(w), np.inf)
+    other = boxes[0] != part
+    lo, hi, light = (b[other] for b in boxes[1:])
+    gap = (np.maximum(np.maximum(lo - x.max(0), x.min(0) - hi), 0.0) ** 2).sum(1)
+    order = np.argsort(gap)
+    near, rest = order[:WARD_BOXES], order[WARD_BOXES:]
+    lo, hi, far, light, far_light = lo[near], hi[near], gap[rest], light[near], light[rest]
+
+    def bound(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+        least = np.full(len(w), np.inf)
+        if len(far):
+            least = far[0] * (w * far_light.min() / (w + far_light.min()))
+        for at in range(0, len(w), 1024):
+            own, weight = x[at : at + 1024], w[at : at + 1024, None]
+            gaps = sum(np.maximum(np.maximum(lo[:, i] - own[:, [i]], own[:, [i]] - hi[:, i]), 0.0) ** 2 for i in range(x.shape[1]))
+            least[at : at + 1024] = np.minimum(least[at : at + 1024], (gaps * (weight * light / (weight + light))).min(1))
+        return least
+
+    return bound
+
+
 def ward_merges(points: DataFrame) -> DataFrame:
     """(child, parent, height): the whole Ward hierarchy of (id, x, w).
 
     Ward's distance is reducible, so clusters that are each other's nearest can merge at
-    once without a change of the hierarchy.  Every round finds them by a tree of boxes
-    and merges all such pairs as DataFrames; the last WARD_BLOCK clusters, whatever the
-    number of points, are merged pair by pair in one task.
+    once without a change of the hierarchy.  Every round does so in tasks, each over a part
+    of the space, until a nearest one may lie outside; borders move from round to round.
+    Where that merges few, a round finds all mutual nearest clusters by a tree of boxes and
+    merges them as DataFrames.  The last WARD_BLOCK clusters, whatever the number of
+    points, are merged pair by pair in one task.
     """
     state = cut_lineage(points)
     merges = []
     size = state.count()
+    turn = 0
     while size > WARD_BLOCK:
+        done = cut_lineage(_merged_in_tasks(state, size, turn))
+        turn += 1
+        merges.append(done.where("parent IS NOT NULL").select(F.col("id").alias("child"), "parent", "height"))
+        state = done.where("parent IS NULL").select("id", "x", "w")
+        before, size = size, state.count()
+        if size <= WARD_BLOCK or size <= before * (1 - WARD_LEAST):
+            continue
         near = cut_lineage(_nearest(state, size))
         back = near.select(F.col("id").alias("other"), F.col("other").alias("id"))
         pairs = near.join(back, ["id", "other"]).where("id < other")

@@ -211,6 +211,44 @@ def test_ward_in_rounds(spark, monkeypatch):
         assert {frozenset(g) for g in got.values()} == {frozenset(g) for g in want.values()}
 
 
+@pytest.mark.parametrize("kind", ["planes", "weights"])
+def test_ward_merges_in_tasks(spark, monkeypatch, kind):
+    """Parts of the space give the whole hierarchy, in a few rounds."""
+    monkeypatch.setattr(mv, "WARD_BLOCK", 40)
+    monkeypatch.setattr(mv, "WARD_TASK", 300, raising=False)
+    monkeypatch.setattr(mv, "WARD_CELL", 6, raising=False)
+    monkeypatch.setattr(mv, "WARD_BOXES", 20, raising=False)
+    searched = []
+    nearest = mv._nearest
+    monkeypatch.setattr(mv, "_nearest", lambda *a: searched.append(a) or nearest(*a))
+    rng = np.random.default_rng(11)
+    n = 700
+    x = rng.normal(0, 2, (n, 3))
+    w = np.ones(n)
+    if kind == "planes":  # as where folds are masked
+        x[rng.random((n, 3)) < 0.4] = 0.0
+        x = np.unique(x, axis=0)
+    if kind == "weights":
+        w = rng.choice([1.0, 2.0, 300.0], n)
+    n, w = len(x), w[: len(x)]
+    df = spark.createDataFrame([(i, [float(v) for v in p], float(q)) for i, (p, q) in enumerate(zip(x, w))], "id long, x array<double>, w double")
+    got = sorted((r.height, r.child, r.parent) for r in mv.ward_merges(df).collect())
+    y, v, there, want = x.copy(), w.copy(), np.arange(n), []
+    d = ((y[:, None] - y[None]) ** 2).sum(2) * (v[:, None] * v[None] / (v[:, None] + v[None]))
+    np.fill_diagonal(d, np.inf)
+    for _ in range(n - 1):
+        i, j = sorted(divmod(int(d.argmin()), n))
+        want.append((d[i, j], j, i))
+        y[i], v[i] = (y[i] * v[i] + y[j] * v[j]) / (v[i] + v[j]), v[i] + v[j]
+        d[j] = d[:, j] = np.inf
+        there = there[there != j]
+        rest = there[there != i]
+        d[i, rest] = d[rest, i] = ((y[i] - y[rest]) ** 2).sum(1) * (v[i] * v[rest] / (v[i] + v[rest]))
+    assert [r[1:] for r in got] == [r[1:] for r in sorted(want)]
+    assert np.allclose([r[0] for r in got], [r[0] for r in sorted(want)], rtol=1e-9)
+    assert len(searched) <= 2
+
+
 def test_density_of_a_constant_group(spark):
     df = spark.createDataFrame([("c", 4.0)] * 5 + [("v", float(i)) for i in range(9)] + [("one", 1.0)], "g string, x double")
     for trim in (True, False):
