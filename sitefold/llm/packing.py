@@ -300,15 +300,23 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     )
 
 
-def pack_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, **tokens) -> DataFrame:
+def pack_documents(
+    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, with_ids: bool = False, **tokens
+) -> DataFrame:
     """All documents packed into sequences of at most ``capacity`` tokens.
 
-    doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row for each piece
-    of ``tokenized_pieces``.  Sequences are filled from offset 0 without gaps.  Repeated
-    rows and missing ids are documents like others; an empty table gives no rows.
+    doc_id, piece, start, length, ids_crc32, sequence_id, offset and, if asked, ids: one row
+    for each piece of ``tokenized_pieces``.  Sequences are filled from offset 0 without gaps.
+    Repeated rows and missing ids are documents like others; an empty table gives no rows.
+    The ids wait beside the ranking and meet their places once.
     """
-    pieces = tokenized_pieces(docs, doc_id=doc_id, text=text, capacity=capacity, **tokens)
-    return pack(pieces, capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    pieces = tokenized_pieces(docs, doc_id=doc_id, text=text, capacity=capacity, with_ids=with_ids, **tokens)
+    if not with_ids:
+        return pack(pieces, capacity).select(*names)
+    pieces = cut_lineage(pieces.withColumn("at", F.monotonically_increasing_id()))  # numbers stand once they are written
+    places = pack(pieces.drop("ids"), capacity)
+    return places.join(pieces.select("at", "ids"), "at").select(*names, "ids")
 
 
 def sequences(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, **tokens) -> DataFrame:

@@ -1,6 +1,8 @@
 import random
 import re
 import shutil
+import struct
+import zlib
 from collections import defaultdict
 
 import duckdb
@@ -129,3 +131,25 @@ def test_run_leaves_one_of_each_group_of_copies(spark, docs, tmp_path):
     for r in held:
         same[r.text].add(r.doc_id)
     assert not [own for text, own in same.items() if text and len(own & left) > 1]
+
+
+@pytest.mark.parametrize("kind", ["docs", "odd"])
+def test_pack_gives_the_token_ids_of_whole_documents(spark, docs, odd, kind):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    frame = (docs if kind == "docs" else odd).select(*corpus_pipeline.COLUMNS)
+    pieces = corpus_pipeline.pack(spark, frame, FOLDER).collect()
+    want = sorted(zlib.crc32(struct.pack(f"<{len(x)}I", *x)) for r in frame.collect() for i in [[*whole.encode(r.text or "", add_special_tokens=False).ids, 1]] for x in (i[a : a + 4096] for a in range(0, len(i), 4096)))
+    assert sorted(zlib.crc32(struct.pack(f"<{len(r.ids)}I", *r.ids)) for r in pieces) == want
+    assert all(len(r.ids) == r.length and zlib.crc32(struct.pack(f"<{r.length}I", *r.ids)) == r.ids_crc32 for r in pieces)
+    filled = defaultdict(list)
+    for r in pieces:
+        filled[r.sequence_id].append((r.offset, r.ids))
+    for own in filled.values():
+        ids = []
+        for offset, part in sorted(own):
+            assert offset == len(ids)
+            ids += part
+        assert len(ids) <= 4096
